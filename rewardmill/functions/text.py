@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +14,6 @@ WORD = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 )
 
-HEX_DIGITS = "0123456789abcdef"
-
 
 def count_of(text: Column, needle: str) -> Column:
     """Non-overlapping occurrences of a literal, left to right."""
@@ -45,3 +45,8 @@ def seeded_int(seed: int, low: int, high: int, *row_key: Column) -> Column:
         raise ValueError(f"empty range [{low}, {high}]")
     bits = F.conv(F.substring(seeded_key(seed, *row_key), 1, 7), 16, 10).cast("bigint")
     return (F.lit(low) + F.pmod(bits, F.lit(high - low + 1))).cast("int")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
