@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rewardmill.functions.text import let
+
 
 def _braced(depth: int) -> str:
     """Body of a brace group nested up to ``depth``.
@@ -117,27 +119,35 @@ def expression_gold(answer: Column) -> Column:
     return F.coalesce(last_boxed(answer), last_span(answer), last_number(answer))
 
 
+# Layout without meaning: spacing and sizing commands, dollar signs, percent, degrees, blanks.
+_NOISE = (
+    r"\\(?:left|right|displaystyle|quad|qquad)\b|\\[,;:!]|[$~]|\\?%|\^\{?\\circ\}?|\x{b0}|\s+"
+)
 # Ordered rewrite rules of ``normalise``: (pattern, replacement).
 _REWRITES = (
     (BOXED, "$1"),
-    (r"\\(?:left|right|displaystyle|quad|qquad)\b|\\[,;:!]|[$~]", ""),
+    (_NOISE, ""),
     (r"\\[dtc]frac\b", r"\\frac"),
-    (r"^\s*\\(?:text|mathrm|textbf|mbox)\s*\{([^{}]*)\}\s*$", "$1"),
-    (r"\\(?:text|mathrm|textbf|mbox)\s*\{[^{}]*\}", ""),
-    (r"\\?%|\^\{?\\circ\}?|\x{b0}", ""),
+    (r"^\\(?:text|mathrm|textbf|mbox)\{([^{}]*)\}$", "$1"),
+    (r"\\(?:text|mathrm|textbf|mbox)\{[^{}]*\}", ""),
     (r"^.*=", ""),
-    (r"\s+", ""),
     (r"\.+$", ""),
 )
+_PLAIN = r"^[-+]?\d+(?:\.\d+)?$"
 _GROUPED_DIGITS = r"^[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?$"
 
 
 def normalise(answer: Column) -> Column:
     """Canonical text of an answer: wrappers, spacing, units and ``name =`` removed."""
-    out = answer
-    for pattern, replacement in _REWRITES:
-        out = F.regexp_replace(out, pattern, replacement)
-    return F.when(F.rlike(out, F.lit(_GROUPED_DIGITS)), F.replace(out, F.lit(","), F.lit(""))).otherwise(out)
+    def rewritten(text: Column) -> Column:
+        for pattern, replacement in _REWRITES:
+            text = F.regexp_replace(text, pattern, replacement)
+        return let(text, ungrouped)
+
+    def ungrouped(text: Column) -> Column:
+        return F.when(F.rlike(text, F.lit(_GROUPED_DIGITS)), F.replace(text, F.lit(","), F.lit(""))).otherwise(text)
+
+    return let(answer, lambda text: F.when(F.rlike(text, F.lit(_PLAIN)), text).otherwise(rewritten(text)))
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardmill.functions import answers as an
-from rewardmill.functions.text import seeded_int
+from rewardmill.functions.text import let, seeded_int
 from rewardmill.registry import (
     CHOICE_QUERY,
     DEFAULT_TOKEN_LIMIT,
@@ -90,7 +90,8 @@ def _match(df: DataFrame, gold: Column, prediction: Column, gold_form: Callable[
         an.normalise(gold_form(gold)).alias("__gold"),
         an.normalise(an.expression_prediction(prediction)).alias("__prediction"),
     )
-    same = an.same_answer(F.col("__gold"), F.col("__prediction"), MATCH_PLACES)
+    pair = F.struct(F.col("__gold").alias("gold"), F.col("__prediction").alias("prediction"))
+    same = let(pair, lambda p: an.same_answer(p["gold"], p["prediction"], MATCH_PLACES))
     score = F.coalesce(same, F.lit(False)).cast("double")
     return read.withColumn("score", score).drop("__gold", "__prediction")
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from rewardmill.functions import answers as an
 from rewardmill.functions.chat import content_of
 from rewardmill.functions.rewards import Reward, RolloutColumns
+from rewardmill.functions.text import let
 from rewardmill.operators.skew import with_group_stats
 
 BATCH_KEYS = ("run_id", "step", "process_id")
@@ -49,18 +50,23 @@ def _with_correctness(df: DataFrame, solution: str, checker: Checker | None) ->
         an.normalise(an.final_answer(F.col(_TEXT))).alias(_ANSWER),
     )
 
-    def verdict(gold: str) -> Column:
-        same = an.same_answer(F.col(gold), F.col(_ANSWER))
+    def verdict(pair: Column) -> Column:
+        gold, answer = pair["gold"], pair["answer"]
+        same = an.same_answer(gold, answer)
         if checker is not None:
-            same = F.when(same, F.lit(True)).otherwise(checker(F.col(gold), F.col(_ANSWER)))
+            same = F.when(same, F.lit(True)).otherwise(checker(gold, answer))
         return (
-            F.when(F.col(gold).isNull(), F.lit(None).cast("boolean"))
-            .when(F.col(_ANSWER).isNull(), F.lit(False))
-            .otherwise(same)
+            F.when(gold.isNull(), F.lit(None).cast("boolean")).when(answer.isNull(), F.lit(False)).otherwise(same)
         )
 
+    pair = F.struct(F.col(_GOLD).alias("gold"), F.col(_ANSWER).alias("answer"))
+    # With ``let`` the comparison names each answer once. Were a filter on a reward pushed below
+    # this projection, it would otherwise repeat the extraction for every mention. A pandas UDF
+    # cannot run inside it, so a caller's checker gets the plain form.
+    correct = verdict(pair) if checker is not None else let(pair, verdict)
+
     # The two golds differ only where the gold holds no LaTeX at all.
-    return extracted.select("*", verdict(_GOLD).alias(_CORRECT)).select(
+    return extracted.select("*", correct.alias(_CORRECT)).select(
         "*",
         F.when(F.col(_LATEX_GOLD).isNull(), F.lit(True))
         .otherwise(F.coalesce(F.col(_CORRECT), F.lit(False)))
