@@ -7,30 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters Python's str.split() treats as whitespace, as a
-# negated class. Java's \s knows only the ASCII ones.
-WORD = (
-    r"[^\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-)
-
-
 def count_of(text: Column, needle: str) -> Column:
-    """Non-overlapping occurrences of a literal, left to right."""
-    gone = F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))
-    return (gone / F.lit(len(needle))).cast("int")
-
-
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-
-
-def word_ngrams(tokens: Column, n: int) -> Column:
-    """n-grams as joined strings: array_distinct hashes strings but compares structs pairwise."""
-    total = F.size(tokens) - F.lit(n - 1)
-    starts = F.sequence(F.lit(1), total)
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-    return F.when(total > 0, grams).otherwise(F.array().cast("array<string>"))
+    """Non-overlapping occurrences of a literal, left to right. Byte lengths are kept, not counted."""
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(needle), F.lit("")))
+    return (gone / F.lit(len(needle.encode()))).cast("int")
 
 
 def seeded_key(seed: int, *row_key: Column) -> Column:

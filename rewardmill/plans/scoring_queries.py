@@ -33,13 +33,13 @@ def _single(name: str, **params):
 
 
 def reward_repetition_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = v.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("completion"))
+    docs = v.spread(v.table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("completion"))
     scored = sc.score_rewards(docs, [rw.repetition_penalty()], keep=["doc_id"])
     return scored.select("doc_id", *v.rounded("repetition_penalty"))
 
 
 def reward_steps_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = v.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("completion"))
+    docs = v.spread(v.table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("completion"))
     scored = sc.score_rewards(docs, [rw.reasoning_steps(), rw.format_tags(), rw.tag_count()], keep=["doc_id"])
     return scored.select("doc_id", *v.rounded("reasoning_steps", "format", "tag_count"))
 

@@ -20,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of fewer files than cores out to all cores, ahead of costly per-row work.
+
+    The given tables are single files of one row group, which one task would read
+    and score alone. With enough files nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def rounded(*columns: str, places: int = 6) -> list[Column]:
     """Doubles as they are compared: rounded, and without negative zero."""
     return [(F.round(F.col(c), places) + F.lit(0.0)).alias(c) for c in columns]
@@ -32,7 +44,7 @@ def rollouts(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None
     fraction, decimal or equation; some golds are empty, some are bare numbers.
     ``lineitem`` may be a stream.
     """
-    lines = table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
+    lines = spread(table(spark, sf_dir, "lineitem") if lineitem is None else lineitem)
     bench = table(spark, sf_dir, "benchmark")
     n_items = bench.count()
     joined = lines.join(bench, F.pmod(F.col("l_partkey"), F.lit(n_items)) == F.col("item_id"))
@@ -115,7 +127,7 @@ def metrics(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line joined to its part as a benchmark prediction of one model, task and seed."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     q = F.col("l_quantity").cast("bigint")
     half = (q.cast("double") / F.lit(2.0)).cast("string")
