@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rewardmill.session import checkpointed
 
 # At most 1/HEAVY_SHARE keys can be heavy, so anything keyed by them is bounded.
-HEAVY_SHARE = 0.005
+HEAVY_SHARE = 0.001
 HEAVY_ROWS = 1_000_000
 _SKETCH_COUNTERS = 10_000
 
@@ -83,6 +83,17 @@ def with_group_stats(
     return windowed(rows.filter(~is_heavy)).unionByName(joined.select(*df.columns, *stats))
 
 
+def join_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
+    """Add per-group aggregates to wide rows, which a window would shuffle whole.
+
+    The aggregate is partial and narrow. Spark broadcasts it when its size allows;
+    otherwise the join is by key, and adaptive execution splits a heavy key's rows.
+    """
+    _require_keys(keys)
+    totals = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
+    return null_safe_join(df, totals, keys, "inner")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join in which a NULL key meets a NULL key; keeps the left key columns."""
     renamed = right

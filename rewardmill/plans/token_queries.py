@@ -56,16 +56,30 @@ def seq_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _on_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = gr.with_advantages(v.token_rows(spark, sf_dir), ["minibatch_id"])
-    return ls.on_policy_sequences(rows, v.EOS)
+    sequences = ls.on_policy_sequences(v.token_rows(spark, sf_dir), v.EOS)
+    return gr.with_advantages(sequences, ["minibatch_id"])
 
 
 def kl_per_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ls.on_policy_sequences(v.token_rows(spark, sf_dir).withColumn("advantage", F.lit(0.0)), v.EOS)
+    rows = ls.on_policy_sequences(v.token_rows(spark, sf_dir), v.EOS)
     per_token = rows.withColumn("mean_kl", F.col("sum_kl") / F.col("n_tokens"))
     return per_token.select("vec_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), *v.rounded("sum_kl", "mean_kl"))
 
 
+def surrogate_per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratio and clipped loss of every token, with the label's distance from 4.5 as advantage."""
+    rows = v.token_rows(spark, sf_dir).withColumn("advantage", F.col("reward") - F.lit(4.5))
+    ratio = tk.token_ratio(F.col("cur_logps"), F.col("ref_logps"))
+    tokens = rows.withColumn("ratio", ratio).withColumn(
+        "loss", tk.clipped_surrogate(F.col("ratio"), F.col("advantage"))
+    )
+    return tokens.select(
+        "vec_id", F.posexplode(F.arrays_zip("ratio", "loss")).alias("position", "token")
+    ).select("vec_id", "position", F.col("token.ratio").alias("ratio"), F.col("token.loss").alias("loss")).select(
+        "vec_id", "position", *v.rounded("ratio", "loss")
+    )
+
+
 def _on_policy_loss(scale: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         loss = ls.on_policy_loss(_on_policy(spark, sf_dir), ["step"], scale)
@@ -75,8 +89,8 @@ def _on_policy_loss(scale: bool):
 
 
 def _off_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = gr.with_batch_advantages(v.token_rows(spark, sf_dir), ["minibatch_id"])
-    return ls.off_policy_loss(ls.off_policy_sequences(rows), ["minibatch_id"])
+    sequences = ls.off_policy_sequences(v.token_rows(spark, sf_dir))
+    return ls.off_policy_loss(gr.with_batch_advantages(sequences, ["minibatch_id"]), ["minibatch_id"])
 
 
 def offpolicy_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +113,7 @@ QUERIES = {
     "truncate_pad": truncate_pad,
     "seq_logprob": seq_logprob,
     "kl_per_sequence": kl_per_sequence,
+    "surrogate_per_token": surrogate_per_token,
     "onpolicy_loss_seq": _on_policy_loss(True),
     "onpolicy_loss_token": _on_policy_loss(False),
     "offpolicy_loss": offpolicy_loss,
@@ -161,6 +176,12 @@ FROM (SELECT *, max(len(p)) OVER (PARTITION BY step) AS pmax, max(len(c)) OVER (
     "kl_per_sequence": _sql(
         f"SELECT vec_id, n_tokens, {o.r('sum_kl', 'sum_kl')}, {o.r('sum_kl / n_tokens', 'mean_kl')} FROM v_on", _ON
     ),
+    "surrogate_per_token": _sql(
+        f"""SELECT vec_id, position, {o.r('ratio', 'ratio')},
+       {o.r('-least(ratio * a, greatest(0.9::DOUBLE, least(ratio, 1.1::DOUBLE)) * a)', 'loss')}
+FROM (SELECT vec_id, i - 1 AS position, exp(cur_logps[i] - ref_logps[i]) AS ratio, reward - 4.5::DOUBLE AS a
+      FROM (SELECT *, unnest(range(1, size + 1)) AS i FROM v_masked))"""
+    ),
     "onpolicy_loss_seq": _sql(
         f"SELECT step, {o.r('avg(sum_loss / n_tokens)', 'loss')}, {o.r('avg(sum_kl / n_tokens)', 'mean_kl')}, "
         f"{o.r('avg(n_tokens)', 'completion_length')} FROM v_loss GROUP BY step",
