@@ -82,10 +82,18 @@ def last_span(text: Column) -> Column:
 
 
 def anchored_span(text: Column) -> Column:
-    """Body of the rightmost LaTeX environment that follows an answer phrase."""
-    final = last_span(_last(_all(text, FINAL_ANSWER_SPAN)))
-    loose = last_span(_last(_all(text, ANSWER_SPAN)))
-    return F.when(F.contains(F.lower(text), F.lit("answer")), F.coalesce(final, loose))
+    """Body of the rightmost LaTeX environment that follows an answer phrase.
+
+    The patterns run only over texts in which a plain search finds their words.
+    """
+    def search(lowered: Column) -> Column:
+        final = F.when(
+            F.contains(lowered, F.lit("final answer")), last_span(_last(_all(text, FINAL_ANSWER_SPAN)))
+        )
+        loose = last_span(_last(_all(text, ANSWER_SPAN)))
+        return F.when(F.contains(lowered, F.lit("answer")), F.coalesce(final, loose))
+
+    return let(F.lower(text), search)
 
 
 def last_number(text: Column) -> Column:
@@ -172,9 +180,16 @@ _POWER_OF_TEN = rf"^([-+]?)({NUMBER})\\(?:times|cdot)10\^\{{?([-+]?\d+)\}}?$"
 
 def number_of(text: Column) -> Column:
     """Numeric value of a normalised answer, NULL when it is not a supported number."""
-    def quotient(pattern: str) -> Column:
-        value = _double(_part(text, pattern, 2)) / F.nullif(_double(_part(text, pattern, 3)), F.lit(0.0))
-        return _signed(_part(text, pattern, 1), value)
+    def fraction(brace: str) -> Column:
+        """Sign, numerator and denominator by plain search: the pattern has matched already."""
+        above = F.substring_index(F.substring_index(text, brace[1], 1), brace[0], -1)
+        below = F.substring_index(F.substring_index(text, brace[0], -1), brace[1], 1)
+        value = _double(above) / F.nullif(_double(below), F.lit(0.0))
+        return F.when(F.startswith(text, F.lit("-\\")), -value).otherwise(value)
+
+    ratio = _double(F.substring_index(text, "/", 1)) / F.nullif(
+        _double(F.substring_index(text, "/", -1)), F.lit(0.0)
+    )
 
     def factor(pattern: str) -> Column:
         return F.coalesce(_double(_part(text, pattern, 2)), F.lit(1.0))
@@ -187,8 +202,8 @@ def number_of(text: Column) -> Column:
     )
     return (
         F.when(F.rlike(text, F.lit(_DECIMAL)), text.try_cast("double"))
-        .when(F.rlike(text, F.lit(_FRACTION)), quotient(_FRACTION))
-        .when(F.rlike(text, F.lit(_RATIO)), quotient(_RATIO))
+        .when(F.contains(text, F.lit(r"\frac")) & F.rlike(text, F.lit(_FRACTION)), fraction("{}"))
+        .when(F.contains(text, F.lit("/")) & F.rlike(text, F.lit(_RATIO)), ratio)
         .when(F.contains(text, F.lit(r"\sqrt")) & F.rlike(text, F.lit(_ROOT)), root)
         .when(F.contains(text, F.lit(r"\pi")) & F.rlike(text, F.lit(_PI)), pi)
         .when(F.contains(text, F.lit("10^")) & F.rlike(text, F.lit(_POWER_OF_TEN)), power)

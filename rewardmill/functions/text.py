@@ -8,9 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 def count_of(text: Column, needle: str) -> Column:
-    """Non-overlapping occurrences of a literal, left to right. Byte lengths are kept, not counted."""
+    """Non-overlapping occurrences of a literal, left to right; 0 for a missing text.
+
+    Byte lengths are stored with the text, and texts without the literal are not copied.
+    """
     gone = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(needle), F.lit("")))
-    return (gone / F.lit(len(needle.encode()))).cast("int")
+    count = (gone / F.lit(len(needle.encode()))).cast("int")
+    return F.when(F.contains(text, F.lit(needle)), count).otherwise(F.lit(0))
 
 
 def seeded_key(seed: int, *row_key: Column) -> Column:

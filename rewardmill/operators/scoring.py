@@ -31,24 +31,25 @@ def completion_text(df: DataFrame, completion: str = "completion") -> Column:
     return content_of(F.element_at(F.col(completion), 1))
 
 
-def with_answers(df: DataFrame, completion: str = "completion", solution: str = "solution") -> DataFrame:
-    """Add ``gold``, ``gold_latex`` and ``answer``, all normalised; NULL when none is found."""
-    return df.select(
+def _extracted(df: DataFrame, text: Column, solution: str, gold: str, latex_gold: str, answer: str) -> DataFrame:
+    """Add normalised answers. The any-form gold falls back on what the LaTeX gold lacks."""
+    read = df.select(
         "*",
-        an.normalise(an.any_gold(F.col(solution))).alias("gold"),
-        an.normalise(an.latex_gold(F.col(solution))).alias("gold_latex"),
-        an.normalise(an.final_answer(completion_text(df, completion))).alias("answer"),
+        an.normalise(an.latex_gold(F.col(solution))).alias(latex_gold),
+        an.normalise(an.final_answer(text)).alias(answer),
     )
+    plain = an.normalise(an.last_number(F.col(solution)))
+    return read.select("*", F.coalesce(F.col(latex_gold), plain).alias(gold))
+
+
+def with_answers(df: DataFrame, completion: str = "completion", solution: str = "solution") -> DataFrame:
+    """Add ``gold``, ``gold_latex`` and ``answer``, all normalised; NULL when none is found."""
+    return _extracted(df, completion_text(df, completion), solution, "gold", "gold_latex", "answer")
 
 
 def _with_correctness(df: DataFrame, solution: str, checker: Checker | None) -> DataFrame:
     """Verify once; every reward that needs it reads the same two columns."""
-    extracted = df.select(
-        "*",
-        an.normalise(an.any_gold(F.col(solution))).alias(_GOLD),
-        an.normalise(an.latex_gold(F.col(solution))).alias(_LATEX_GOLD),
-        an.normalise(an.final_answer(F.col(_TEXT))).alias(_ANSWER),
-    )
+    extracted = _extracted(df, F.col(_TEXT), solution, _GOLD, _LATEX_GOLD, _ANSWER)
 
     def verdict(pair: Column) -> Column:
         gold, answer = pair["gold"], pair["answer"]

@@ -24,7 +24,9 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _rollout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.rollouts(spark, sf_dir, lineitem=_stream(spark, sf_dir, "lineitem"))
+    # The whole table arrives as one unsplittable file: its rows are dealt out before the text work.
+    lines = _stream(spark, sf_dir, "lineitem").repartition(spark.sparkContext.defaultParallelism)
+    return v.rollouts(spark, sf_dir, lineitem=lines)
 
 
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
