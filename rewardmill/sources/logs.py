@@ -11,7 +11,8 @@ from rewardmill.operators.groups import every_k_steps
 def append_completions(rows: DataFrame, path: str, every: int = 1) -> None:
     """Append ``(step, prompt, completion[, reward])`` of every ``every``-th step."""
     columns = [c for c in ("step", "prompt", "completion", "reward") if c in rows.columns]
-    due = every_k_steps(rows, every).select(*columns)
+    # Rebalancing gives a step's folder few files, and splits a step that is too large for one.
+    due = every_k_steps(rows, every).select(*columns).hint("rebalance", "step")
     due.write.mode("append").partitionBy("step").parquet(path)
 
 
@@ -24,7 +25,7 @@ def append_metrics(metrics: DataFrame, path: str, evaluation: bool = False) -> N
     """Append ``(run_id, step, name, value)``; evaluation names get the ``eval_`` prefix."""
     name = F.concat(F.lit("eval_"), F.col("name")) if evaluation else F.col("name")
     long = metrics.select("run_id", "step", name.alias("name"), "value")
-    long.repartition("run_id").write.mode("append").partitionBy("run_id").parquet(path)
+    long.hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").parquet(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

@@ -47,10 +47,10 @@ def result_records(runs: DataFrame, metric: str = "extractive_match") -> DataFra
 def write_results(records: DataFrame, path: str) -> None:
     """Append records under ``task=.../seed=...``.
 
-    Rows are brought together by run before writing, so that a folder gets a few
-    files instead of one per task of the job.
+    Rows are rebalanced by run before writing, so that a folder gets a few files
+    instead of one per task of the job.
     """
-    placed = records.repartition("task", "seed")
+    placed = records.hint("rebalance", "task", "seed")
     placed.write.mode("append").partitionBy("task", "seed").option("ignoreNullFields", "false").json(path)
 
 
