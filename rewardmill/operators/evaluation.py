@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,49 +85,86 @@ def eval_docs(df: DataFrame, task: Task, **options) -> DataFrame:
 # Matching.
 
 
-def _match(df: DataFrame, gold: Column, prediction: Column, gold_form: Callable[[Column], Column]) -> DataFrame:
-    read = df.select(
-        "*",
-        an.normalise(gold_form(gold)).alias("__gold"),
-        an.normalise(an.expression_prediction(prediction)).alias("__prediction"),
-    )
-    pair = F.struct(F.col("__gold").alias("gold"), F.col("__prediction").alias("prediction"))
-    same = let(pair, lambda p: an.same_answer(p["gold"], p["prediction"], MATCH_PLACES))
-    score = F.coalesce(same, F.lit(False)).cast("double")
-    return read.withColumn("score", score).drop("__gold", "__prediction")
+@dataclass(frozen=True)
+class Matcher:
+    """How a benchmark reads its gold and a prediction, and when the two agree."""
+
+    read_gold: Callable[[Column], Column]
+    read_prediction: Callable[[Column], Column]
+    same: Callable[[Column, Column], Column]
+
 
+def _same_value(gold: Column, prediction: Column) -> Column:
+    return an.same_answer(gold, prediction, MATCH_PLACES)
 
-def match_expression(df: DataFrame, gold: str = "gold", prediction: str = "prediction") -> DataFrame:
-    """Score 1 or 0 against a gold given as an expression."""
-    return _match(df, F.col(gold), F.col(prediction), an.expression_gold)
 
+def _normalised(read: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda text: an.normalise(read(text))
 
-def match_latex(df: DataFrame, gold: str = "gold", prediction: str = "prediction") -> DataFrame:
-    """Score 1 or 0 against a gold that must be LaTeX."""
-    return _match(df, F.col(gold), F.col(prediction), an.latex_gold)
 
+METRICS = {
+    "expression": Matcher(_normalised(an.expression_gold), _normalised(an.expression_prediction), _same_value),
+    "latex": Matcher(_normalised(an.latex_gold), _normalised(an.expression_prediction), _same_value),
+    "choice": Matcher(lambda letter: letter, an.choice_letter, lambda gold, prediction: gold == prediction),
+}
 
-def match_choice(df: DataFrame, gold_index: str = "gold_index", prediction: str = "prediction") -> DataFrame:
-    """Score 1 or 0 against the letter of the right choice."""
-    right = F.element_at(F.array(*[F.lit(x) for x in LETTERS]), F.col(gold_index) + 1)
-    hit = F.coalesce(an.choice_letter(F.col(prediction)) == right, F.lit(False))
-    return df.withColumn("score", hit.cast("double"))
 
+def register_metric(name: str, matcher: Matcher) -> None:
+    """Plug in a matcher under a task's metric name."""
+    METRICS[name] = matcher
 
-METRICS = {"expression": match_expression, "latex": match_latex, "choice": match_choice}
+
+def match(df: DataFrame, metric: str, gold: str | Column = "gold", prediction: str = "prediction") -> DataFrame:
+    """Add ``score``, 1 or 0, of each prediction against its gold."""
+    matcher = METRICS[metric]
+    read = df.select(
+        "*",
+        matcher.read_gold(F.col(gold) if isinstance(gold, str) else gold).alias("__gold"),
+        matcher.read_prediction(F.col(prediction)).alias("__prediction"),
+    )
+    pair = F.struct(F.col("__gold").alias("gold"), F.col("__prediction").alias("prediction"))
+    same = let(pair, lambda p: matcher.same(p["gold"], p["prediction"]))
+    return read.withColumn("score", F.coalesce(same, F.lit(False)).cast("double")).drop("__gold", "__prediction")
 
 
-def register_metric(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
-    """Plug in a matcher: a function that adds ``score`` to a table of predictions."""
-    METRICS[name] = fn
+def match_expression(df: DataFrame) -> DataFrame:
+    """Against a gold given as an expression."""
+    return match(df, "expression")
+
+
+def match_latex(df: DataFrame) -> DataFrame:
+    """Against a gold that must be LaTeX."""
+    return match(df, "latex")
+
+
+def match_choice(df: DataFrame, gold_index: str = "gold_index") -> DataFrame:
+    """Against the letter of the right choice."""
+    letters = F.array(*[F.lit(x) for x in LETTERS])
+    return match(df, "choice", F.get(letters, F.col(gold_index)))
 
 
 def best_of_golds(
-    df: DataFrame, doc_key: Sequence[str], golds: str = "golds", metric: str = "expression"
+    df: DataFrame,
+    doc_key: Sequence[str],
+    golds: str = "golds",
+    metric: str = "expression",
+    prediction: str = "prediction",
 ) -> DataFrame:
-    """Score per document as the best over all its golds and predictions."""
-    exploded = df.withColumn("gold", F.explode(golds))
-    return METRICS[metric](exploded).groupBy(*doc_key).agg(F.max("score").alias("score"))
+    """Score per document as the best over all its golds and predictions.
+
+    A prediction is read once and compared in place; only keys and scores are grouped.
+    """
+    matcher = METRICS[metric]
+    read = df.select(
+        *doc_key,
+        F.transform(golds, matcher.read_gold).alias("__golds"),
+        matcher.read_prediction(F.col(prediction)).alias("__prediction"),
+    )
+    hit = F.exists(
+        "__golds", lambda gold: F.coalesce(matcher.same(gold, F.col("__prediction")), F.lit(False))
+    )
+    scored = read.select(*doc_key, hit.cast("double").alias("score"))
+    return scored.groupBy(*doc_key).agg(F.max("score").alias("score"))
 
 
 def task_accuracy(scored: DataFrame, keys: Sequence[str] = ("model", "task", "seed")) -> DataFrame:

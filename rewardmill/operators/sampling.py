@@ -16,6 +16,7 @@ from rewardmill.session import checkpointed
 
 # Digits of the hash that name a rank bucket: 16**3 buckets, equally full because md5 is uniform.
 _BUCKET_DIGITS = 3
+TOP_N_IN_ONE_TASK = 100_000
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -29,27 +30,7 @@ def shuffled_rank(df: DataFrame, seed: int, row_key: Sequence[str], output: str
     gives each bucket's offset (at most 4096 numbers); inside its bucket a row is
     ranked by a window. Both passes are functions of the data alone.
     """
-    keyed = df.withColumn("__key", seeded_key(seed, *_cols(row_key))).withColumn(
-        "__bucket", F.substring("__key", 1, _BUCKET_DIGITS)
-    )
-    sizes = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).collect()
-    return _ranked(keyed, "__bucket", ["__key", *row_key], sizes, output, "string").drop("__key")
-
-
-def _ranked(
-    df: DataFrame, bucket: str, order: Sequence[str], sizes: list, output: str, bucket_type: str
-) -> DataFrame:
-    offsets, seen = [], 0
-    for row in sorted(sizes, key=lambda r: r[0]):
-        offsets.append((row[0], seen))
-        seen += row[1]
-    table = df.sparkSession.createDataFrame(offsets, f"{bucket} {bucket_type}, __offset bigint")
-    within = F.row_number().over(Window.partitionBy(bucket).orderBy(*_cols(order)))
-    # The offsets table has one row per bucket, a number fixed above, never by the data's size.
-    ranked = df.withColumn("__within", within).join(F.broadcast(table), bucket)
-    return ranked.withColumn(output, F.col("__offset") + F.col("__within") - 1).drop(
-        bucket, "__offset", "__within"
-    )
+    return _shuffled(df, seed, row_key, output)[0]
 
 
 def ordered_rank(df: DataFrame, order: Sequence[str], output: str = "order_rank") -> DataFrame:
@@ -59,26 +40,44 @@ def ordered_rank(df: DataFrame, order: Sequence[str], output: str = "order_rank"
     pass and the ranking pass see the same layout; the offsets are one number per
     partition. Select the columns you need first: all of ``df`` is stored.
     """
-    position = F.monotonically_increasing_id()
+    return _ordered(df, order, output)[0]
+
+
+def _with_offsets(df: DataFrame, part: str, part_type: str, within: Column, output: str) -> tuple[DataFrame, int]:
+    """Rank = rows in earlier parts + position within the part. Also gives the number of rows.
+
+    The broadcast table has one row per part: a number fixed by the layout, not by the data's size.
+    """
+    sizes = df.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()
+    offsets, seen = [], 0
+    for name, n in sorted((row[part], row["n"]) for row in sizes):
+        offsets.append((name, seen))
+        seen += n
+    table = df.sparkSession.createDataFrame(offsets, f"{part} {part_type}, __offset bigint")
+    ranked = df.withColumn("__within", within).join(F.broadcast(table), part)
+    return ranked.withColumn(output, F.col("__offset") + F.col("__within")).drop(part, "__offset", "__within"), seen
+
+
+def _shuffled(df: DataFrame, seed: int, row_key: Sequence[str], output: str) -> tuple[DataFrame, int]:
+    keyed = df.withColumn("__key", seeded_key(seed, *_cols(row_key))).withColumn(
+        "__bucket", F.substring("__key", 1, _BUCKET_DIGITS)
+    )
+    in_bucket = Window.partitionBy("__bucket").orderBy("__key", *_cols(row_key))
+    ranked, total = _with_offsets(keyed, "__bucket", "string", F.row_number().over(in_bucket) - 1, output)
+    return ranked.drop("__key"), total
+
+
+def _ordered(df: DataFrame, order: Sequence[str], output: str) -> tuple[DataFrame, int]:
     stored = checkpointed(
         df.repartitionByRange(*_cols(order))
         .sortWithinPartitions(*_cols(order))
-        .withColumn("__position", position)
+        .withColumn("__position", F.monotonically_increasing_id())
     )
     # monotonically_increasing_id: partition number in the upper bits, row number in the lower 33.
     parts = stored.withColumn("__part", F.shiftright("__position", 33).cast("int"))
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()
-    offsets, seen = [], 0
-    for part, n in sorted((r["__part"], r["n"]) for r in sizes):
-        offsets.append((part, seen))
-        seen += n
-    table = df.sparkSession.createDataFrame(offsets, "__part int, __offset bigint")
     row_in_part = F.col("__position").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        parts.join(F.broadcast(table), "__part")
-        .withColumn(output, F.col("__offset") + row_in_part)
-        .drop("__part", "__position", "__offset")
-    )
+    ranked, total = _with_offsets(parts, "__part", "int", row_in_part, output)
+    return ranked.drop("__position"), total
 
 
 def repeat_shuffled(df: DataFrame, repeats: int, seed: int, row_key: Sequence[str]) -> DataFrame:
@@ -88,7 +87,13 @@ def repeat_shuffled(df: DataFrame, repeats: int, seed: int, row_key: Sequence[st
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, row_key: Sequence[str]) -> DataFrame:
-    """``n`` distinct rows at random: a top-n by the seeded key, no full sort."""
+    """``n`` distinct rows at random: the first of the seeded order.
+
+    A small sample is a top-n by the seeded key, merged in one task without a full
+    sort; a large one is cut by rank, in parallel.
+    """
+    if n > TOP_N_IN_ONE_TASK:
+        return shuffled_rank(df, seed, row_key).filter(F.col("order_rank") < n).drop("order_rank")
     keyed = df.withColumn("__key", seeded_key(seed, *_cols(row_key)))
     return keyed.orderBy("__key", *row_key).limit(n).drop("__key")
 
@@ -108,14 +113,14 @@ def _shard_of(rank: Column, total: int, shards: int) -> Column:
 
 def shard_contiguous(df: DataFrame, shards: int, order: Sequence[str]) -> DataFrame:
     """Equal contiguous shards in the given order; the last one takes the remainder."""
-    total = df.count()
-    return ordered_rank(df, order).withColumn("shard", _shard_of(F.col("order_rank"), total, shards))
+    ranked, total = _ordered(df, order, "order_rank")
+    return ranked.withColumn("shard", _shard_of(F.col("order_rank"), total, shards))
 
 
 def shard_shuffled(df: DataFrame, shards: int, seed: int, row_key: Sequence[str]) -> DataFrame:
     """Equal shards of a seeded shuffle; the last one takes the remainder."""
-    total = df.count()
-    return shuffled_rank(df, seed, row_key).withColumn("shard", _shard_of(F.col("order_rank"), total, shards))
+    ranked, total = _shuffled(df, seed, row_key, "order_rank")
+    return ranked.withColumn("shard", _shard_of(F.col("order_rank"), total, shards))
 
 
 def minibatches(df: DataFrame, size: int, seed: int, row_key: Sequence[str]) -> DataFrame:

@@ -28,7 +28,7 @@ def completion_text(df: DataFrame, completion: str = "completion") -> Column:
     """Plain text of a completion column, whether text or a list of messages."""
     if isinstance(df.schema[completion].dataType, T.StringType):
         return F.col(completion)
-    return content_of(F.element_at(F.col(completion), 1))
+    return content_of(F.get(F.col(completion), F.lit(0)))
 
 
 def _extracted(df: DataFrame, text: Column, solution: str, gold: str, latex_gold: str, answer: str) -> DataFrame:

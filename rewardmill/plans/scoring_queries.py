@@ -124,17 +124,15 @@ def log_window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses of three workers, each read as its own table and put together again."""
     scored = sc.score_rewards(
         v.rollouts(spark, sf_dir), [rw.accuracy()], keep=["prompt_id", "worker_id", "completion"]
     )
-    rows = scored.select(
+    return scored.select(
         F.concat(F.lit("order "), F.col("prompt_id").cast("string")).alias("prompt"),
         "completion",
         F.col("accuracy").alias("reward"),
         "worker_id",
     )
-    return wk.union_workers([rows.filter(F.col("worker_id") == w) for w in range(3)])
 
 
 def worker_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +140,10 @@ def worker_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aggregated_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wk.aggregated_set(_responses(spark, sf_dir)).select(
+    """The tables of three workers put together."""
+    rows = _responses(spark, sf_dir)
+    merged = wk.union_workers([rows.filter(F.col("worker_id") == w) for w in range(3)])
+    return wk.aggregated_set(merged).select(
         "prompt", F.length("completion").alias("len"), *v.rounded("reward", "importance_weight"), "worker_id"
     )
 

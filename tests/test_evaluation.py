@@ -55,9 +55,10 @@ def test_best_of_golds(spark):
 
 
 def test_metrics_can_be_plugged_in(spark):
-    ev.register_metric("any", lambda df: df.withColumn("score", F.lit(1.0)))
-    df = spark.createDataFrame([(1, ["x"], "y")], "doc int, golds array<string>, prediction string")
+    ev.register_metric("any", ev.Matcher(F.lower, F.lower, lambda gold, prediction: gold == prediction))
+    df = spark.createDataFrame([(1, ["x", "y"], "Y")], "doc int, golds array<string>, prediction string")
     assert ev.best_of_golds(df, ["doc"], metric="any").head()["score"] == 1.0
+    assert ev.match(df.withColumn("gold", F.lit("z")), "any").head()["score"] == 0.0
 
 
 def test_accuracy_and_leaderboard(spark):

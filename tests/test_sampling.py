@@ -43,6 +43,13 @@ def test_sample(spark):
     assert sorted(got) == sorted(shuffled(100)[:10])
 
 
+def test_large_samples_are_cut_by_rank(spark, monkeypatch):
+    small = sa.sample_rows(ids(spark, 100), 40, 42, ["id"])
+    monkeypatch.setattr(sa, "TOP_N_IN_ONE_TASK", 10)
+    large = sa.sample_rows(ids(spark, 100), 40, 42, ["id"])
+    assert large.count() == 40 and small.exceptAll(large).count() == 0
+
+
 def test_first_rows(spark):
     assert [r["id"] for r in sa.first_rows(ids(spark, 500), ["id"]).collect()] == list(range(100))
     assert sa.first_rows(ids(spark, 5), ["id"]).count() == 5
