@@ -5,6 +5,7 @@ from __future__ import annotations
 from rewardmill.plans import (
     curation_queries,
     evaluation_queries,
+    lifecycle_queries,
     sampling_queries,
     scoring_queries,
     stream_queries,
@@ -18,6 +19,7 @@ _MODULES = (
     sampling_queries,
     evaluation_queries,
     stream_queries,
+    lifecycle_queries,
 )
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}

@@ -15,22 +15,27 @@ from rewardmill.registry import (
     CHOICE_QUERY,
     DEFAULT_SYSTEM_PROMPT,
     MATH_QUERY,
+    SFT_SOURCES,
     TASKS,
     training_dataset,
 )
+from rewardmill.sources.datasets import Location, read_benchmark, read_sft_set, read_training_set
 
 SEED = 42
 
 
+def _at(sf_dir: str, name: str):
+    """Every source id leads to one of the given tables."""
+    return lambda source, config, split: Location(f"{sf_dir}/{name}.parquet")
+
+
 def normalize_answer_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = v.table(spark, sf_dir, "part").select(
-        "p_partkey", F.col("p_name").alias("question"), F.col("p_brand").alias("answer")
-    )
-    return cu.normalise_dataset(raw, training_dataset("limr"))
+    dataset = training_dataset("limr")
+    return _problems(spark, sf_dir, dataset)
 
 
 def normalize_answer_over_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = v.table(spark, sf_dir, "part").select(
+    raw = read_training_set(spark, "deepscaler", _at(sf_dir, "part")).select(
         "p_partkey",
         F.col("p_name").alias("problem"),
         F.col("p_type").alias("solution"),
@@ -50,7 +55,7 @@ def normalize_messages_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _problems(spark: SparkSession, sf_dir: str, dataset) -> DataFrame:
-    raw = v.table(spark, sf_dir, "part").select(
+    raw = read_training_set(spark, dataset.name, _at(sf_dir, "part")).select(
         "p_partkey", F.col("p_name").alias("question"), F.col("p_brand").alias("answer")
     )
     return cu.normalise_dataset(raw, dataset)
@@ -68,7 +73,8 @@ def _build(dataset_name: str):
 
 def _sft(trace_free: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        built = cu.sft_conversations(v.question_pairs(spark, sf_dir), "GAIR/LIMO", trace_free)
+        turns = read_sft_set(spark, "qwen_rationale_limo", _at(sf_dir, "conversations"))
+        built = cu.sft_conversations(v.question_pairs(turns), SFT_SOURCES["qwen_rationale_limo"], trace_free)
         return cu.render(built, "plain", eos="</s>").select("conv_id", "turn", "text")
 
     return run
@@ -100,15 +106,15 @@ def prefill_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_math_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.table(spark, sf_dir, "part").select(
-        "p_partkey", F.col("p_name").alias("problem"), F.col("p_brand").alias("solution"), "p_retailprice"
+    rows = read_benchmark(spark, "math_500", _at(sf_dir, "part")).select(
+        "p_partkey", F.col("p_name").alias("problem"), F.col("p_brand").alias("solution")
     )
     docs = ev.eval_docs(rows, TASKS["math_500"], keep=["p_partkey"])
     return docs.select("p_partkey", "task_name", "query", F.col("choices")[0].alias("gold"), "gold_index")
 
 
 def eval_choice_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.table(spark, sf_dir, "part").select(
+    rows = read_benchmark(spark, "gpqa:diamond", _at(sf_dir, "part")).select(
         "p_partkey",
         F.concat(F.lit("Which one? "), F.col("p_name")).alias("Question"),
         F.col("p_brand").alias("Correct Answer"),

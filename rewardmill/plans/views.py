@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardmill.functions import chat
+from rewardmill.operators.curation import conversations_from_turns
 
 ROLLOUT_KEY = ("prompt_id", "part_key", "supp_key", "line_no")
 EVAL_KEY = ("doc", "part_key", "supp_key", "seed")
@@ -151,14 +151,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per conversation with its messages in turn order."""
-    from rewardmill.operators.curation import conversations_from_turns
-
     return conversations_from_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
-def question_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def question_pairs(turns: DataFrame) -> DataFrame:
     """Every user turn with the assistant turn that follows it."""
-    turns = table(spark, sf_dir, "conversations")
     asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     replied = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
@@ -173,7 +170,3 @@ def messages_as_text(messages: Column) -> Column:
     return F.array_join(
         F.transform(messages, lambda m: F.concat(m["role"], F.lit("="), F.coalesce(m["content"], F.lit("")))), "|"
     )
-
-
-def prompt_message(role: str, text: Column) -> Column:
-    return chat.message(role, text)
