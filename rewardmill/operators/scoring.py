@@ -12,7 +12,7 @@ from rewardmill.functions import answers as an
 from rewardmill.functions.chat import content_of
 from rewardmill.functions.rewards import Reward, RolloutColumns
 from rewardmill.functions.text import let
-from rewardmill.operators.skew import with_group_stats
+from rewardmill.operators.skew import left_join_unique, with_group_stats
 
 BATCH_KEYS = ("run_id", "step", "process_id")
 
@@ -31,26 +31,22 @@ def completion_text(df: DataFrame, completion: str = "completion") -> Column:
     return content_of(F.get(F.col(completion), F.lit(0)))
 
 
-def _extracted(df: DataFrame, text: Column, solution: str, gold: str, latex_gold: str, answer: str) -> DataFrame:
-    """Add normalised answers. The any-form gold falls back on what the LaTeX gold lacks."""
-    read = df.select(
-        "*",
-        an.normalise(an.latex_gold(F.col(solution))).alias(latex_gold),
-        an.normalise(an.final_answer(text)).alias(answer),
-    )
+def _golds(df: DataFrame, solution: str, gold: str, latex_gold: str) -> DataFrame:
+    """Add normalised golds. The any-form gold falls back on what the LaTeX gold lacks."""
     plain = an.normalise(an.last_number(F.col(solution)))
-    return read.select("*", F.coalesce(F.col(latex_gold), plain).alias(gold))
+    return df.select("*", an.normalise(an.latex_gold(F.col(solution))).alias(latex_gold)).select(
+        "*", F.coalesce(F.col(latex_gold), plain).alias(gold)
+    )
 
 
 def with_answers(df: DataFrame, completion: str = "completion", solution: str = "solution") -> DataFrame:
     """Add ``gold``, ``gold_latex`` and ``answer``, all normalised; NULL when none is found."""
-    return _extracted(df, completion_text(df, completion), solution, "gold", "gold_latex", "answer")
+    answered = df.withColumn("answer", an.normalise(an.final_answer(completion_text(df, completion))))
+    return _golds(answered, solution, "gold", "gold_latex")
 
 
 def _with_correctness(df: DataFrame, solution: str, checker: Checker | None) -> DataFrame:
     """Verify once; every reward that needs it reads the same two columns."""
-    extracted = _extracted(df, F.col(_TEXT), solution, _GOLD, _LATEX_GOLD, _ANSWER)
-
     def verdict(pair: Column) -> Column:
         gold, answer = pair["gold"], pair["answer"]
         same = an.same_answer(gold, answer)
@@ -67,7 +63,7 @@ def _with_correctness(df: DataFrame, solution: str, checker: Checker | None) ->
     correct = verdict(pair) if checker is not None else let(pair, verdict)
 
     # The two golds differ only where the gold holds no LaTeX at all.
-    return extracted.select("*", correct.alias(_CORRECT)).select(
+    return _golds(df, solution, _GOLD, _LATEX_GOLD).select("*", correct.alias(_CORRECT)).select(
         "*",
         F.when(F.col(_LATEX_GOLD).isNull(), F.lit(True))
         .otherwise(F.coalesce(F.col(_CORRECT), F.lit(False)))
@@ -83,22 +79,22 @@ def score_rewards(
     completion: str = "completion",
     solution: str = "solution",
     checker: Checker | None = None,
+    golds: DataFrame | None = None,
+    gold_keys: Sequence[str] = ("prompt_id",),
 ) -> DataFrame:
     """One nullable double column per reward.
 
-    All text work happens in a single map-side projection. Only ``keep`` columns
-    and numbers are carried into the shuffle that the batch rewards need; with
-    ``keep=None`` every input column stays.
+    All text work happens in a single map-side projection, and no text is shuffled:
+    only ``keep`` columns, numbers and the short extracted answers go further. With
+    ``keep=None`` every input column stays. When the golds live in a table of their
+    own, one row per ``gold_keys``, pass it as ``golds``; it is joined to the narrow rows.
     """
     names = [r.name for r in rewards]
     if len(set(names)) != len(names):
         raise ValueError(f"duplicate reward names in {names}")
     keep = list(rollouts.columns if keep is None else keep)
-    text = completion_text(rollouts, completion)
-    prepared = rollouts.withColumn(_TEXT, text).withColumn(_LENGTH, F.length(F.col(_TEXT)))
-    if any(r.needs_answer for r in rewards):
-        prepared = _with_correctness(prepared, solution, checker)
-
+    needs_answer = any(r.needs_answer for r in rewards)
+    needs_batch = any(r.needs_batch for r in rewards)
     columns = RolloutColumns(
         text=F.col(_TEXT),
         length=F.col(_LENGTH),
@@ -109,17 +105,41 @@ def score_rewards(
         batch_max_length=F.col(_MAX),
         column=F.col,
     )
-    by_row = [r for r in rewards if not r.needs_batch]
-    by_batch = [r for r in rewards if r.needs_batch]
-    scored = [r.build(columns).alias(r.name) for r in by_row]
-    if not by_batch:
-        return prepared.select(*keep, *scored).select(*keep, *names)
-
-    carried = dict.fromkeys([*keep, *batch_keys, *[i for r in by_batch for i in r.inputs], _LENGTH, _GRADED])
-    narrow = prepared.select(*carried, *scored)
-    bounds = {_MIN: F.min(_LENGTH), _MAX: F.max(_LENGTH)}
-    batched = with_group_stats(narrow, batch_keys, bounds)
-    return batched.select("*", *[r.build(columns).alias(r.name) for r in by_batch]).select(*keep, *names)
+
+    # 1. Text to answers, lengths and the rewards that read only the text.
+    text = completion_text(rollouts, completion)
+    by_text = [r for r in rewards if not r.needs_answer and not r.needs_batch]
+    later = [r for r in rewards if r not in by_text]
+    carried = dict.fromkeys(keep)
+    if needs_batch:
+        carried |= dict.fromkeys(batch_keys)
+    carried |= dict.fromkeys(i for r in later for i in r.inputs)
+    if needs_answer:
+        carried |= dict.fromkeys([solution] if golds is None else gold_keys)
+    if golds is not None:
+        carried = dict.fromkeys(c for c in carried if c not in golds.columns or c in gold_keys)
+    prepared = rollouts.withColumn(_TEXT, text).withColumn(_LENGTH, F.length(F.col(_TEXT)))
+    answer = [an.normalise(an.final_answer(F.col(_TEXT))).alias(_ANSWER)] if needs_answer else []
+    rows = prepared.select(*carried, _LENGTH, *answer, *[r.build(columns).alias(r.name) for r in by_text])
+
+    # 2. Answers against golds.
+    if golds is not None:
+        rows = left_join_unique(rows, golds, gold_keys)
+    if needs_answer:
+        rows = _with_correctness(rows, solution, checker)
+    by_answer = [r for r in later if not r.needs_batch]
+    rows = rows.select("*", *[r.build(columns).alias(r.name) for r in by_answer])
+
+    # 3. Lengths against the extremes of their batch.
+    by_batch = [r for r in later if r.needs_batch]
+    if by_batch:
+        done = [r.name for r in rewards if not r.needs_batch]
+        inputs = [i for r in by_batch for i in r.inputs]
+        narrow = rows.select(*dict.fromkeys([*keep, *batch_keys, *inputs, _LENGTH, _GRADED, *done]))
+        bounds = {_MIN: F.min(_LENGTH), _MAX: F.max(_LENGTH)}
+        batched = with_group_stats(narrow, batch_keys, bounds)
+        rows = batched.select("*", *[r.build(columns).alias(r.name) for r in by_batch])
+    return rows.select(*keep, *names)
 
 
 def weighted_total(names: Sequence[str], weights: Sequence[float] | None = None) -> Column:

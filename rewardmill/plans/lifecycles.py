@@ -11,7 +11,6 @@ from rewardmill.operators import groups as gr
 from rewardmill.operators import losses as ls
 from rewardmill.operators import sampling as sa
 from rewardmill.operators import scoring as sc
-from rewardmill.operators.skew import left_join_unique
 from rewardmill.registry import Preset
 
 
@@ -20,13 +19,15 @@ def training_run(
 ) -> tuple[DataFrame, DataFrame]:
     """Completions of prepared prompts to (rows with advantages, metrics per step).
 
-    ``prompts`` has one row per prompt. A prompt with a large share of all
-    completions is joined and grouped on the heavy-key way.
+    ``prompts`` has one row per prompt. Completions are reduced to answers and numbers
+    before their prompt's gold is joined, so their text is never shuffled; a prompt with
+    a large share of all completions is joined and grouped on the heavy-key way.
     """
     columns = [c for c in ("solution", "target_length") if c in prompts.columns]
-    rollouts = left_join_unique(completions, prompts.select(prompt_key, *columns), [prompt_key])
     group = ["run_id", "step", prompt_key]
-    scored = sc.score_preset(rollouts, preset, keep=group)
+    scored = sc.score_preset(
+        completions, preset, keep=group, golds=prompts.select(prompt_key, *columns), gold_keys=[prompt_key]
+    )
     rows = gr.with_advantages(scored, group, scale=preset.scale_rewards)
     return rows, gr.step_metrics(rows, preset.reward_names)
 
