@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewardmill.operators.skew import null_safe_join, with_group_stats
+from rewardmill.operators.skew import balanced_join, null_safe_join, with_group_stats
 
 STD_FLOOR = 1e-4
 
@@ -53,10 +53,13 @@ def incomplete_groups(rollouts: DataFrame, generations: int, keys: Sequence[str]
 
 
 def complete_groups_only(
-    rollouts: DataFrame, generations: int, keys: Sequence[str] = ("prompt_id",)
+    rollouts: DataFrame, generations: int, keys: Sequence[str] = ("prompt_id",), **skew
 ) -> DataFrame:
     """Rows of groups with exactly ``generations`` rows."""
-    return null_safe_join(rollouts, incomplete_groups(rollouts, generations, keys), keys, "left_anti")
+    def without(rows: DataFrame, wrong: DataFrame) -> DataFrame:
+        return null_safe_join(rows, wrong, keys, "left_anti")
+
+    return balanced_join(rollouts, incomplete_groups(rollouts, generations, keys), keys, without, **skew)
 
 
 def step_metrics(

@@ -9,7 +9,7 @@ aggregate, and the few resulting rows are broadcast back.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,15 +83,47 @@ def with_group_stats(
     return windowed(rows.filter(~is_heavy)).unionByName(joined.select(*df.columns, *stats))
 
 
-def join_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
+def join_group_stats(
+    df: DataFrame,
+    keys: Sequence[str],
+    stats: Mapping[str, Column],
+    share: float = HEAVY_SHARE,
+    min_rows: int = HEAVY_ROWS,
+) -> DataFrame:
     """Add per-group aggregates to wide rows, which a window would shuffle whole.
 
-    The aggregate is partial and narrow. Spark broadcasts it when its size allows;
-    otherwise the join is by key, and adaptive execution splits a heavy key's rows.
+    The aggregate is partial and narrow. Spark broadcasts it when its size allows and
+    joins by key otherwise; rows of heavy keys always get theirs by broadcast.
     """
-    _require_keys(keys)
     totals = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return null_safe_join(df, totals, keys, "inner")
+
+    def join(rows: DataFrame, few: DataFrame) -> DataFrame:
+        return null_safe_join(rows, few, keys, "inner")
+
+    return balanced_join(df, totals, keys, join, share, min_rows)
+
+
+def balanced_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    join: Callable[[DataFrame, DataFrame], DataFrame],
+    share: float = HEAVY_SHARE,
+    min_rows: int = HEAVY_ROWS,
+) -> DataFrame:
+    """Join to a table with one row per key; rows of heavy keys are not shuffled.
+
+    ``join`` joins two tables on ``keys``. The broadcast part of ``right`` has one row
+    per heavy key, at most ``1/share``.
+    """
+    _require_keys(keys)
+    heavy = heavy_key_hashes(left, keys, share, min_rows)
+    if not heavy:
+        return join(left, right)
+    is_heavy = _key_hash(keys).isin(heavy)
+    hot = join(left.filter(is_heavy), F.broadcast(right.filter(is_heavy)))
+    cold = join(left.filter(~is_heavy), right.filter(~is_heavy))
+    return hot.unionByName(cold)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -113,16 +145,5 @@ def left_join_unique(
     share: float = HEAVY_SHARE,
     min_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """Left join against a table with one row per key, balanced for heavy left keys.
-
-    Rows of heavy keys meet their (at most ``1/share``) partners by broadcast and
-    are never shuffled; the rest joins as Spark chooses from its own size estimates.
-    """
-    _require_keys(keys)
-    heavy = heavy_key_hashes(left, keys, share, min_rows)
-    if not heavy:
-        return left.join(right, list(keys), "left")
-    is_heavy = _key_hash(keys).isin(heavy)
-    hot = left.filter(is_heavy).join(F.broadcast(right.filter(is_heavy)), list(keys), "left")
-    cold = left.filter(~is_heavy).join(right.filter(~is_heavy), list(keys), "left")
-    return hot.unionByName(cold)
+    """Left join against a table with one row per key, balanced for heavy left keys."""
+    return balanced_join(left, right, keys, lambda a, b: a.join(b, list(keys), "left"), share, min_rows)

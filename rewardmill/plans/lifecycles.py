@@ -11,6 +11,7 @@ from rewardmill.operators import groups as gr
 from rewardmill.operators import losses as ls
 from rewardmill.operators import sampling as sa
 from rewardmill.operators import scoring as sc
+from rewardmill.operators.skew import balanced_join
 from rewardmill.registry import Preset
 
 
@@ -42,7 +43,7 @@ def evaluation_run(
 ) -> DataFrame:
     """Predictions of the runs still pending to one accuracy per run."""
     pending = ev.pending_runs(plan, results, keys, overwrite).select(*keys)
-    due = predictions.join(pending, list(keys), "left_semi")
+    due = balanced_join(predictions, pending.distinct(), keys, lambda a, b: a.join(b, list(keys), "left_semi"))
     return ev.task_accuracy(ev.match(due, metric), keys)
 
 

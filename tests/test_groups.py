@@ -70,6 +70,8 @@ def test_completeness(spark):
     df = scored(spark, [(i, 1, 0.0) for i in range(4)] + [(10 + i, 2, 0.0) for i in range(3)])
     assert [tuple(r) for r in gr.incomplete_groups(df, 4).collect()] == [(2, 3)]
     assert {r["id"] for r in gr.complete_groups_only(df, 4).collect()} == {0, 1, 2, 3}
+    many = df.unionByName(scored(spark, [(100 + i, 9, 0.0) for i in range(50)]))
+    assert {r["id"] for r in gr.complete_groups_only(many, 4, share=0.5, min_rows=1).collect()} == {0, 1, 2, 3}
     gr.check_generations(8, 2, 4)
     with pytest.raises(ValueError):
         gr.check_generations(3, 1, 2)
@@ -107,3 +109,13 @@ def test_left_join_unique_with_and_without_heavy_keys(spark):
 def test_std_is_sample_deviation(spark):
     df = scored(spark, [(0, 1, 1.0), (1, 1, 3.0)])
     assert by_id(gr.with_advantages(df), "group_std")[0] == pytest.approx(math.sqrt(2))
+
+
+def test_joined_stats_equal_windowed_stats(spark):
+    rows = [(i, None if i % 5 == 0 else (7 if i % 3 == 0 else i // 4), float(i % 11)) for i in range(600)]
+    df = scored(spark, rows)
+    stats = {"top": F.max("reward"), "n": F.count(F.lit(1))}
+    want = {tuple(r) for r in skew.with_group_stats(df, ["prompt_id"], stats).collect()}
+    for options in ({}, {"share": 0.1, "min_rows": 1}):
+        got = skew.join_group_stats(df, ["prompt_id"], stats, **options).collect()
+        assert len(got) == 600 and {tuple(r) for r in got} == want
