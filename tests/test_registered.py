@@ -4,12 +4,13 @@ import pytest
 
 import __spark_entry__ as registered
 from compare import compare, connect
+from rewardmill.plans import catalog
 from rewardmill.plans import views as v
 from rewardmill.operators import groups as gr
 from rewardmill.operators import scoring as sc
 from rewardmill.registry import PRESETS
 
-QUERIES, ORACLES = registered.queries(), registered.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
