@@ -19,14 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    """``mapInArrow`` with this package importable in the Python workers of a local session."""
-    environment = df.sparkSession.sparkContext.environment
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers of a local session import this package; a cluster gets it as any other code."""
+    environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in known:
         environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, known)])
+
+
+def map_batches(
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
+) -> DataFrame:
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
