@@ -11,13 +11,14 @@ Equal fingerprints are one row before tiles are made.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from rewardmill.llm.common import map_batches, pieces, ship, stored
 from rewardmill.llm.components import connected_components
@@ -63,11 +64,13 @@ def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, size: int, lanes: int = 1, seed: int = 42) -> DataFrame:
-    """doc_id and ``fp``, an array of ``lanes`` bigints (64 bits each), for every row of ``docs``.
+def fingerprints(docs: DataFrame, size: int, lanes: int = 1, seed: int = 42, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``fp``, an array of ``lanes`` bigints (64 bits each), for every row of ``docs``.
 
     A null or blank text has a fingerprint of zeros. Rows stay where they are read.
     """
+    kept = docs.select(*keep)
+    schema = StructType([*kept.schema.fields, StructField("fp", ArrayType(LongType()))])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -78,11 +81,10 @@ def fingerprints(docs: DataFrame, size: int, lanes: int = 1, seed: int = 42) ->
                     out.append([bits_of(_mixed(hashes, lane)) for lane in range(lanes)])
                 words = np.array(out, "u8").view("i8").reshape(-1)
                 offsets = np.arange(0, len(words) + 1, lanes, dtype="i4")
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(words))], ["doc_id", "fp"]
-                )
+                prints = pa.ListArray.from_arrays(pa.array(offsets), pa.array(words))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], prints], [*keep, "fp"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), compute, "doc_id long, fp array<bigint>")
+    return map_batches(docs.select(*keep, "text"), compute, schema)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +154,22 @@ def tile_links(ids: np.ndarray, fps: np.ndarray, left: np.ndarray, right: np.nda
     return _forest(np.concatenate(a), np.concatenate(b))
 
 
+def one_of_each_group(docs: DataFrame, size: int = 5, lanes: int = 4, radius: int = 51) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the smallest doc_id, then text hash.
+
+    Texts are alike if at least 0.8 of the bits of their fingerprints over ``size``-word shingles agree
+    (51 of 256 may differ). Two texts with a Jaccard similarity of 0.8 over their shingles differ in 39 bits on
+    average, with a deviation of 6. A group is whatever such links hold together. Null and blank texts are alike.
+    Of repeated rows with one id and text one stays. Fingerprints are narrow; the wide rows are shuffled once.
+    """
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__text": F.xxhash64("text")})
+    prints = stored(fingerprints(keyed, size, lanes, keep=("doc_id", "__id", "__text")), "simhash")
+    groups = near_duplicate_groups(prints, radius, fields=1, width=26)
+    winners = groups.groupBy("root").agg(F.min(F.struct("doc_id", "__text", "__id")).alias("w")).select("w.__id", "w.__text")
+    kept = keyed.join(winners, ["__id", "__text"]).dropDuplicates(["__id", "__text"])
+    return kept.select(*docs.columns)
+
+
 def near_links(nodes: DataFrame, radius: int, fields: int, width: int, tile: int = TILE, least_tiles: int = 8) -> DataFrame:
     """Links (a, b) that join all rows of ``nodes`` (node bigint, fp array<bigint>) within ``radius`` bits.
 
@@ -182,16 +200,17 @@ def near_links(nodes: DataFrame, radius: int, fields: int, width: int, tile: int
 
 
 def near_duplicate_groups(prints: DataFrame, radius: int, fields: int = 2, width: int = 1) -> DataFrame:
-    """``prints`` (doc_id, fp) with ``component_id``: the smallest doc_id reachable by links of at most ``radius`` bits.
+    """``prints`` (doc_id, fp, ...) with ``component_id``: the smallest doc_id reachable by links of at most ``radius`` bits.
 
     Every row comes back, repeated rows and null ids too; a component of null ids only has a null id.
+    ``root`` names a component also then. Columns of these two names are replaced.
     ``prints`` is read several times: store it first.
     """
     node = F.when(F.size("fp") == 1, F.element_at("fp", 1)).otherwise(F.xxhash64("fp"))
-    rows = prints.withColumn("node", node)
+    rows = prints.drop("component_id", "root").withColumn("node", node)
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "fingerprints")
     roots = connected_components(near_links(nodes.select("node", "fp"), radius, fields, width))
     labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = labelled.join(least, "root").select("node", "component_id")
+    of_node = labelled.join(least, "root").select("node", "root", "component_id")
     return rows.join(of_node, "node").drop("node")
