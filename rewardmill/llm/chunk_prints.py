@@ -28,21 +28,21 @@ from rewardmill.llm.common import map_batches, pieces
 class Chunking:
     """Lengths in bytes; ``strict`` and ``loose`` are the zero bits that a cut needs before and after ``normal``."""
 
-    least: int = 32
-    normal: int = 64
-    greatest: int = 256
-    strict: int = 7
-    loose: int = 4
+    least: int = 16
+    normal: int = 32
+    greatest: int = 128
+    strict: int = 6
+    loose: int = 3
 
 
 #: Bytes that the gear hash sees: one bit of it is shifted out for each byte.
-WINDOW = 32
+WINDOW = 16
 # One random 32-bit number for each byte, by rule.
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 0) for b in range(256)], "u4")
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """The gear hash at every byte: sum of gear[b] << age over the last 32 bytes, by doubling."""
+    """The gear hash at every byte: sum of gear[b] << age over the last ``WINDOW`` bytes, by doubling."""
     h = _GEAR[data]
     span = 1
     while span < WINDOW:
@@ -57,7 +57,7 @@ def cuts(data: np.ndarray, bounds: np.ndarray, rule: Chunking) -> tuple[np.ndarr
     """Start of every chunk of all texts, and the text it belongs to; ``bounds`` are the texts' places in ``data``.
 
     All texts advance together, one chunk in each step. No cut lies within ``least`` bytes of a
-    text's start, so with ``least`` of at least 32 a text's cuts do not depend on what lies before it.
+    text's start, so with ``least`` no shorter than the window a text's cuts do not depend on what lies before it.
     """
     if rule.least < WINDOW:
         raise ValueError("least must be no shorter than the hash's window")

@@ -19,7 +19,7 @@ def brute_chunks(raw, rule=RULE):
                 cut = at
                 break
             h = 0
-            for b in raw[max(0, at - 32) : at]:
+            for b in raw[max(0, at - cp.WINDOW) : at]:
                 h = (h * 2 + gear[b]) % 2**32
             need = rule.strict if at < start + rule.normal else rule.loose
             if h >> (32 - need) == 0:
