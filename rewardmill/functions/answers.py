@@ -20,20 +20,10 @@ from pyspark.sql import functions as F
 from rewardmill.functions.text import let
 
 
-def _braced(depth: int) -> str:
-    """Body of a brace group nested up to ``depth``.
-
-    Possessive loops: Java then iterates instead of recursing, so a long body
-    cannot overflow the matcher's stack.
-    """
-    if depth == 0:
-        return r"[^{}]*+"
-    return r"[^{}]*+(?:\{" + _braced(depth - 1) + r"\}[^{}]*+)*+"
-
-
-BRACED = _braced(5)
-BOXED = r"\\boxed\s*\{(" + BRACED + r")\}"
-BOXED_AT_START = r"^\s*\{(" + BRACED + r")\}"
+BOX_MARK = r"\boxed"
+# A brace group after the marker whose body holds at most one inner level: the usual answers.
+_FLAT_BODY = r"^\s*\{((?:[^{}]|\{[^{}]*+\})*+)\}"
+_BRACE_PIECES = r"[{}]|[^{}]+"
 
 LATEX_SPAN = (
     r"\$\$[^$]++\$\$|\$[^$]++\$"
@@ -42,7 +32,7 @@ LATEX_SPAN = (
 )
 SPAN_MARKS = r"^(?:\$\$|\$|\\\[|\\\()|(?:\$\$|\$|\\\]|\\\))$"
 FINAL_ANSWER_SPAN = r"(?i)final answer is:?\s*(?:" + LATEX_SPAN + ")"
-ANSWER_SPAN = r"(?i)answer[^$\\]{0,50}(?:" + LATEX_SPAN + ")"
+ANSWER_SPAN = r"(?i)answer[^$\\]*+(?:" + LATEX_SPAN + ")"
 PLAIN_NUMBER = r"[-+]?(?:\d[\d,]*(?:\.\d+)?|\.\d+)(?:\s*/\s*\d+)?"
 
 NUMBER = r"(?:\d+\.?\d*|\.\d+)"
@@ -60,16 +50,43 @@ def _non_empty(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
+def _brace_body(tail: Column) -> Column:
+    """Body of the brace group that opens a text, at any depth; NULL when it does not close.
+
+    Braces are counted over the pieces between them. The usual short groups are
+    found by one pattern, with the same result.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("state"), F.array().cast("array<string>").alias("body"))
+
+    def step(a: Column, piece: Column) -> Column:
+        # state: 0 before the group, 1 inside, 2 closed, 3 no group here
+        depth = a["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        state = (
+            F.when(a["state"] >= 2, a["state"])
+            .when(a["state"] == 0, F.when(piece == "{", 1).when(F.trim(piece) == "", 0).otherwise(3))
+            .otherwise(F.when(depth == 0, 2).otherwise(1))
+        )
+        inside = (a["state"] == 1) & (depth > 0)
+        body = F.when(inside, F.concat(a["body"], F.array(piece))).otherwise(a["body"])
+        return F.struct(depth.alias("depth"), state.alias("state"), body.alias("body"))
+
+    counted = F.aggregate(
+        _all(tail, _BRACE_PIECES), start, step, lambda a: F.when(a["state"] == 2, F.array_join(a["body"], ""))
+    )
+    return F.when(F.rlike(tail, F.lit(_FLAT_BODY)), F.regexp_extract(tail, _FLAT_BODY, 1)).otherwise(counted)
+
+
 def last_boxed(text: Column) -> Column:
-    r"""Content of the rightmost ``\boxed{...}``.
+    r"""Content of the rightmost ``\boxed{...}`` that closes, at any depth of braces.
 
     The tail behind the last marker is found by plain search; only if its brace
-    group is broken (a cut-off completion) is the whole text matched.
+    group is broken (a cut-off completion) are the earlier markers looked at.
     """
-    tail = F.substring_index(text, r"\boxed", -1)
-    quick = _non_empty(F.regexp_extract(tail, BOXED_AT_START, 1))
-    full = _non_empty(_last(F.regexp_extract_all(text, F.lit(BOXED), F.lit(1))))
-    return F.when(F.contains(text, F.lit(r"\boxed")), F.coalesce(quick, full))
+    quick = _non_empty(_brace_body(F.substring_index(text, r"\boxed", -1)))
+    tails = F.split(text, r"\\boxed")
+    bodies = F.transform(F.slice(tails, F.lit(2), F.size(tails)), lambda tail: _non_empty(_brace_body(tail)))
+    earlier = _last(F.filter(bodies, lambda body: body.isNotNull()))
+    return F.when(F.contains(text, F.lit(r"\boxed")), F.coalesce(quick, earlier))
 
 
 def _span_body(span: Column) -> Column:
@@ -101,13 +118,14 @@ def last_number(text: Column) -> Column:
 
 
 def latex_gold(solution: Column) -> Column:
-    """Gold answer when only LaTeX forms are allowed."""
-    return F.coalesce(last_boxed(solution), anchored_span(solution), last_span(solution))
+    """Gold answer when only LaTeX forms are allowed. A boxed answer that cannot be read leaves none."""
+    unboxed = F.coalesce(anchored_span(solution), last_span(solution))
+    return F.when(F.contains(solution, F.lit(BOX_MARK)), last_boxed(solution)).otherwise(unboxed)
 
 
-def any_gold(solution: Column) -> Column:
-    """Gold answer in any supported form."""
-    return F.coalesce(latex_gold(solution), last_number(solution))
+def plain_gold(solution: Column) -> Column:
+    """Gold answer outside LaTeX: the last number of a solution without a boxed answer."""
+    return F.when(~F.contains(solution, F.lit(BOX_MARK)), last_number(solution))
 
 
 def final_answer(completion: Column) -> Column:
@@ -133,9 +151,10 @@ _NOISE = (
 )
 # Ordered rewrite rules of ``normalise``: (pattern, replacement).
 _REWRITES = (
-    (BOXED, "$1"),
     (_NOISE, ""),
-    (r"\\[dtc]frac\b", r"\\frac"),
+    (r"\\[dtc]frac(?![a-z])", r"\\frac"),
+    (r"\\(frac|sqrt)([0-9])", r"\\$1{$2}"),
+    (r"(\\frac\{(?:[^{}]|\{[^{}]*\})*\})([0-9])", "$1{$2}"),
     (r"^\\(?:text|mathrm|textbf|mbox)\{([^{}]*)\}$", "$1"),
     (r"\\(?:text|mathrm|textbf|mbox)\{[^{}]*\}", ""),
     (r"^.*=", ""),
@@ -155,7 +174,10 @@ def normalise(answer: Column) -> Column:
     def ungrouped(text: Column) -> Column:
         return F.when(F.rlike(text, F.lit(_GROUPED_DIGITS)), F.replace(text, F.lit(","), F.lit(""))).otherwise(text)
 
-    return let(answer, lambda text: F.when(F.rlike(text, F.lit(_PLAIN)), text).otherwise(rewritten(text)))
+    def unboxed(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit(BOX_MARK)), F.coalesce(last_boxed(text), text)).otherwise(text)
+
+    return let(answer, lambda text: F.when(F.rlike(text, F.lit(_PLAIN)), text).otherwise(rewritten(unboxed(text))))
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:
@@ -171,63 +193,110 @@ def _signed(sign: Column, value: Column) -> Column:
 
 
 _DECIMAL = rf"^([-+]?)({NUMBER})$"
-_FRACTION = rf"^([-+]?)\\frac\{{([-+]?{NUMBER})\}}\{{([-+]?{NUMBER})\}}$"
 _RATIO = rf"^([-+]?)({NUMBER})/({NUMBER})$"
-_ROOT = rf"^([-+]?)({NUMBER})?\\sqrt\{{({NUMBER})\}}$"
-_PI = rf"^([-+]?)({NUMBER})?\\pi$"
-_POWER_OF_TEN = rf"^([-+]?)({NUMBER})\\(?:times|cdot)10\^\{{?([-+]?\d+)\}}?$"
+_TIMES = r"(?:\\times|\\cdot|\*)?"
+# A product: coefficient, root, multiple of pi; each may be missing, not all.
+_PRODUCT = rf"^(?=.)([-+]?)({NUMBER})?{_TIMES}(?:\\sqrt\{{({NUMBER})\}})?{_TIMES}(\\pi)?$"
+# A power, with or without a factor before it.
+_POWER = rf"^([-+]?)(?:({NUMBER})(?:\\times|\\cdot|\*))?({NUMBER})\^(?:\{{([-+]?{NUMBER})\}}|(\d))$"
+# What may stand before and behind a fraction, and its two parts.
+_QUOTIENT = r"^([-+]?)([^\\{}]*(?:\\sqrt\{[^{}]*\}|\\pi|\\times|\\cdot)*)\\frac\{((?:[^{}]|\{[^{}]*\})*)\}\{((?:[^{}]|\{[^{}]*\})*)\}(.*)$"
+_WHOLE = r"^\d+$"
+
+
+def _product(text: Column) -> Column:
+    """Value of a coefficient times a root times pi; NULL for anything else."""
+    coefficient = F.coalesce(_double(_part(text, _PRODUCT, 2)), F.lit(1.0))
+    root = F.coalesce(F.sqrt(_double(_part(text, _PRODUCT, 3))), F.lit(1.0))
+    pi = F.when(_part(text, _PRODUCT, 4) != "", F.lit(math.pi)).otherwise(F.lit(1.0))
+    something = F.rlike(text, F.lit(r"\d|\\pi"))
+    return F.when(something & F.rlike(text, F.lit(_PRODUCT)), _signed(_part(text, _PRODUCT, 1), coefficient * root * pi))
+
+
+def _quotient(text: Column) -> Column:
+    """Value of a fraction of products with products around it; a whole number before it makes a mixed number."""
+    parts = F.array(
+        F.regexp_replace(_part(text, _QUOTIENT, 2), r"(?:\\times|\\cdot|\*)$", ""),
+        _part(text, _QUOTIENT, 3), _part(text, _QUOTIENT, 4),
+        F.regexp_replace(_part(text, _QUOTIENT, 5), r"^(?:\\times|\\cdot|\*)", ""),
+    )
+
+    def value(p: Column) -> Column:
+        before, above, below, behind = (p[n]["value"] for n in range(4))
+        mixed = F.forall(F.slice(p, 1, 3), lambda x: F.rlike(x["text"], F.lit(_WHOLE)))
+        quotient = above / F.nullif(below, F.lit(0.0))
+        return F.when(mixed, before + quotient).otherwise(before * quotient) * behind
+
+    def read(part: Column) -> Column:
+        return F.struct(part.alias("text"), F.when(part == "", F.lit(1.0)).otherwise(_product(part)).alias("value"))
 
+    return _signed(_part(text, _QUOTIENT, 1), let(F.transform(parts, read), value))
 
-def number_of(text: Column) -> Column:
-    """Numeric value of a normalised answer, NULL when it is not a supported number."""
-    def fraction(brace: str) -> Column:
-        """Sign, numerator and denominator by plain search: the pattern has matched already."""
-        above = F.substring_index(F.substring_index(text, brace[1], 1), brace[0], -1)
-        below = F.substring_index(F.substring_index(text, brace[0], -1), brace[1], 1)
-        value = _double(above) / F.nullif(_double(below), F.lit(0.0))
-        return F.when(F.startswith(text, F.lit("-\\")), -value).otherwise(value)
 
+def number_of(answer: Column) -> Column:
+    """Numeric value of a normalised answer, NULL when it is not a supported number.
+
+    Decimals, ratios, powers, products of a number, a root and pi, fractions of such products, mixed numbers.
+    """
+    return let(answer, _number_in)
+
+
+def _number_in(text: Column) -> Column:
     ratio = _double(F.substring_index(text, "/", 1)) / F.nullif(
         _double(F.substring_index(text, "/", -1)), F.lit(0.0)
     )
-
-    def factor(pattern: str) -> Column:
-        return F.coalesce(_double(_part(text, pattern, 2)), F.lit(1.0))
-
-    root = _signed(_part(text, _ROOT, 1), factor(_ROOT) * F.sqrt(_double(_part(text, _ROOT, 3))))
-    pi = _signed(_part(text, _PI, 1), factor(_PI) * F.lit(math.pi))
+    exponent = F.coalesce(_double(_part(text, _POWER, 4)), _double(_part(text, _POWER, 5)))
     power = _signed(
-        _part(text, _POWER_OF_TEN, 1),
-        factor(_POWER_OF_TEN) * F.pow(F.lit(10.0), _double(_part(text, _POWER_OF_TEN, 3))),
+        _part(text, _POWER, 1),
+        F.coalesce(_double(_part(text, _POWER, 2)), F.lit(1.0)) * F.pow(_double(_part(text, _POWER, 3)), exponent),
     )
     return (
         F.when(F.rlike(text, F.lit(_DECIMAL)), text.try_cast("double"))
-        .when(F.contains(text, F.lit(r"\frac")) & F.rlike(text, F.lit(_FRACTION)), fraction("{}"))
+        .when(F.contains(text, F.lit(r"\frac")), F.when(F.rlike(text, F.lit(_QUOTIENT)), _quotient(text)))
         .when(F.contains(text, F.lit("/")) & F.rlike(text, F.lit(_RATIO)), ratio)
-        .when(F.contains(text, F.lit(r"\sqrt")) & F.rlike(text, F.lit(_ROOT)), root)
-        .when(F.contains(text, F.lit(r"\pi")) & F.rlike(text, F.lit(_PI)), pi)
-        .when(F.contains(text, F.lit("10^")) & F.rlike(text, F.lit(_POWER_OF_TEN)), power)
+        .when(F.contains(text, F.lit("^")), F.when(F.rlike(text, F.lit(_POWER)), power))
+        .when(F.contains(text, F.lit(r"\sqrt")) | F.contains(text, F.lit(r"\pi")), _product(text))
     )
 
 
+_INTEGER = r"^[-+]?\d+(?:\.0*)?$"
+
+
+def _digits(text: Column) -> Column:
+    """An integer's digits without sign of plus, leading zeros and empty decimals."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"\.0*$", ""), r"^([-+]?)0+(?=\d)", "$1")
+    return F.regexp_replace(F.regexp_replace(bare, r"^\+", ""), "^-0$", "0")
+
+
+def _same_numbers(left: Column, right: Column, places: int) -> Column:
+    """Integers by their digits, decimals exactly to ``places``, everything else as doubles rounded to ``places``."""
+    def both(pattern: str) -> Column:
+        return F.rlike(left, F.lit(pattern)) & F.rlike(right, F.lit(pattern))
+
+    exact = F.round(left.try_cast("decimal(38,10)"), places) == F.round(right.try_cast("decimal(38,10)"), places)
+    both_numbers = F.transform(F.array(left, right), _number_in)
+    rounded = let(both_numbers, lambda n: F.round(n[0], places) == F.round(n[1], places))
+    return F.when(both(_INTEGER), _digits(left) == _digits(right)).when(both(_DECIMAL), F.coalesce(exact, rounded)).otherwise(rounded)
+
+
 _LIST = r"^(\(|\[|\\\{)(.*)(\)|\]|\\\})$"
 
 
 def _same_lists(left: Column, right: Column, places: int) -> Column:
-    def items(text: Column) -> Column:
-        body = _part(text, _LIST, 2)
-        return F.transform(
-            F.split(body, ","),
+    def read(text: Column) -> Column:
+        items = F.transform(
+            F.split(_part(text, _LIST, 2), ","),
             lambda item: F.coalesce(F.round(number_of(item), places).cast("string"), item),
         )
+        return F.struct(F.concat(_part(text, _LIST, 1), _part(text, _LIST, 3)).alias("marks"), items.alias("items"))
 
-    def marks(text: Column) -> Column:
-        return F.concat(_part(text, _LIST, 1), _part(text, _LIST, 3))
+    def compared(sides: Column) -> Column:
+        l, r = sides[0], sides[1]
+        any_order = F.array_sort(F.array_distinct(l["items"])) == F.array_sort(F.array_distinct(r["items"]))
+        same = F.when(l["marks"] == F.lit(r"\{\}"), any_order).otherwise(l["items"] == r["items"])
+        return (l["marks"] == r["marks"]) & same
 
-    is_set = marks(left) == F.lit(r"\{\}")
-    in_order = items(left) == items(right)
-    any_order = F.array_sort(F.array_distinct(items(left))) == F.array_sort(F.array_distinct(items(right)))
-    return (marks(left) == marks(right)) & F.when(is_set, any_order).otherwise(in_order)
+    return let(F.transform(F.array(left, right), read), compared)
 
 
 def same_answer(left: Column, right: Column, places: int = 6) -> Column:
@@ -236,15 +305,18 @@ def same_answer(left: Column, right: Column, places: int = 6) -> Column:
     Equal text, equal numbers after rounding, or equal lists: tuples and
     intervals by position, sets without regard to order.
     """
-    numbers = F.round(number_of(left), places) == F.round(number_of(right), places)
-    listed = F.rlike(left, F.lit(_LIST)) & F.rlike(right, F.lit(_LIST)) & F.contains(left, F.lit(","))
-    return (
-        F.when(left.isNull() | right.isNull(), F.lit(None).cast("boolean"))
-        .when((left == "") | (right == ""), F.lit(False))
-        .when(left == right, F.lit(True))
-        .when(listed, _same_lists(left, right, places))
-        .otherwise(F.coalesce(numbers, F.lit(False)))
-    )
+    def compared(pair: Column) -> Column:
+        l, r = pair["l"], pair["r"]
+        listed = F.rlike(l, F.lit(_LIST)) & F.rlike(r, F.lit(_LIST)) & F.contains(l, F.lit(","))
+        return (
+            F.when(l.isNull() | r.isNull(), F.lit(None).cast("boolean"))
+            .when((l == "") | (r == ""), F.lit(False))
+            .when(l == r, F.lit(True))
+            .when(listed, _same_lists(l, r, places))
+            .otherwise(F.coalesce(_same_numbers(l, r, places), F.lit(False)))
+        )
+
+    return let(F.struct(left.alias("l"), right.alias("r")), compared)
 
 
 CHOICE = r"Answer:\s*\$?([ABCD])\b"

@@ -33,7 +33,7 @@ def completion_text(df: DataFrame, completion: str = "completion") -> Column:
 
 def _golds(df: DataFrame, solution: str, gold: str, latex_gold: str) -> DataFrame:
     """Add normalised golds. The any-form gold falls back on what the LaTeX gold lacks."""
-    plain = an.normalise(an.last_number(F.col(solution)))
+    plain = an.normalise(an.plain_gold(F.col(solution)))
     return df.select("*", an.normalise(an.latex_gold(F.col(solution))).alias(latex_gold)).select(
         "*", F.coalesce(F.col(latex_gold), plain).alias(gold)
     )

@@ -43,7 +43,7 @@ def span(text: str) -> str:
 
 def anchored(text: str) -> str:
     final = rf"regexp_extract_all({text}, '(?i)final answer is:?\s*(?:{_SPAN})')[-1]"
-    loose = rf"regexp_extract_all({text}, '(?i)answer[^$\\]{{0,50}}(?:{_SPAN})')[-1]"
+    loose = rf"regexp_extract_all({text}, '(?i)answer[^$\\]*(?:{_SPAN})')[-1]"
     return f"coalesce({span(final)}, {span(loose)})"
 
 

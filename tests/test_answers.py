@@ -51,7 +51,7 @@ def test_final_answer_must_be_anchored(spark, text, expected):
     ],
 )
 def test_gold(spark, text, any_form, latex_form):
-    assert one(spark, text, an.any_gold) == any_form
+    assert one(spark, text, lambda t: F.coalesce(an.latex_gold(t), an.plain_gold(t))) == any_form
     assert one(spark, text, an.latex_gold) == latex_form
 
 
@@ -128,3 +128,53 @@ def test_long_body_and_many_boxes_do_not_overflow(spark):
 def test_choice_letter(spark):
     assert one(spark, "Answer: A, no, Answer: $C", an.choice_letter) == "C"
     assert one(spark, "Answer: E", an.choice_letter) is None
+
+
+def nested(depth):
+    return r"\sqrt{1+" * depth + "2" + "}" * depth
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3, 6, 20])
+def test_boxed_at_any_depth(spark, depth):
+    assert one(spark, r"so \boxed{" + nested(depth) + "} and on", an.last_boxed) == nested(depth)
+    assert one(spark, r"\boxed{" + nested(depth) + r"} then cut off \boxed{\frac{" + nested(depth), an.last_boxed) == nested(depth)
+
+
+@pytest.mark.parametrize("distance", [5, 60, 500])
+def test_answer_word_far_from_its_span(spark, distance):
+    assert one(spark, "The answer" + " so" * distance + " $42$", an.final_answer) == "42"
+
+
+def test_unreadable_box_gives_no_gold(spark):
+    text = r"with 1 and $2$ we get \boxed{\frac{3}{"
+    assert one(spark, text, an.latex_gold) is None and one(spark, text, an.plain_gold) is None
+
+
+@pytest.mark.parametrize(
+    "left, right, expected",
+    [
+        (r"\frac12", "0.5", True),
+        (r"\sqrt2", r"\sqrt{2}", True),
+        ("2^{3}", "8", True),
+        ("2^3", "8", True),
+        ("10^{-3}", "0.001", True),
+        (r"\frac{\sqrt{3}}{2}", r"\frac{1}{2}\sqrt{3}", True),
+        (r"\frac{\pi}{2}", "1.570796", True),
+        (r"1\frac{1}{2}", "1.5", True),
+        (r"-1\frac{1}{2}", "-1.5", True),
+        (r"\frac{-1}{2}", "-0.5", True),
+        (r"\dfrac{2\sqrt{3}}{4}", r"\frac{\sqrt3}2", True),
+        (r"2\pi\sqrt{2}", "8.9", False),
+        (r"3\times10^{2}", "300", True),
+        (r"\frac{1}{0}", "1", False),
+        ("10000000000000000", "10000000000000001", False),
+        ("10000000000000000", "+0010000000000000000.0", True),
+        ("0.1234561", "0.1234562", True),
+        ("12345678901234567890.5", "12345678901234567890.25", False),
+        ("-0", "0", True),
+    ],
+)
+def test_answer_forms(spark, left, right, expected):
+    df = spark.createDataFrame([(left, right)], "l string, r string")
+    same = an.same_answer(an.normalise(F.col("l")), an.normalise(F.col("r")))
+    assert df.select(same.alias("x")).head()["x"] is expected
