@@ -7,34 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewardmill.operators.skew import balanced_join, null_safe_join, with_group_stats
+from rewardmill.operators.skew import null_safe_join, with_group_stats
 
 STD_FLOOR = 1e-4
+# A group is what one step of one run generated for a prompt.
+GROUP_KEYS = ("run_id", "step", "prompt_id")
 
 
 def with_advantages(
     scored: DataFrame,
-    keys: Sequence[str] = ("prompt_id",),
+    keys: Sequence[str] = GROUP_KEYS,
     reward: str = "reward",
     scale: bool = True,
-    **skew,
 ) -> DataFrame:
     """Add ``group_mean``, ``group_std`` (sample) and ``advantage``.
 
     A group of one row has no sample deviation: its scaled advantage is NULL.
     """
     stats = {"group_mean": F.avg(reward), "group_std": F.stddev_samp(reward)}
-    grouped = with_group_stats(scored, keys, stats, **skew)
+    grouped = with_group_stats(scored, keys, stats)
     centred = F.col(reward) - F.col("group_mean")
     advantage = centred / (F.col("group_std") + F.lit(STD_FLOOR)) if scale else centred
     return grouped.withColumn("advantage", advantage)
 
 
 def with_batch_advantages(
-    scored: DataFrame, keys: Sequence[str] = ("minibatch_id",), reward: str = "reward", **skew
+    scored: DataFrame, keys: Sequence[str] = ("minibatch_id",), reward: str = "reward"
 ) -> DataFrame:
     """Advantage against the mean of the whole minibatch, whatever prompts it mixes."""
-    grouped = with_group_stats(scored, keys, {"baseline": F.avg(reward)}, **skew)
+    grouped = with_group_stats(scored, keys, {"baseline": F.avg(reward)})
     return grouped.withColumn("advantage", F.col(reward) - F.col("baseline"))
 
 
@@ -46,20 +47,17 @@ def check_generations(batch_rows: int, processes: int, generations: int) -> None
         raise ValueError(f"{generations} generations do not divide a global batch of {total}; valid: {valid}")
 
 
-def incomplete_groups(rollouts: DataFrame, generations: int, keys: Sequence[str] = ("prompt_id",)) -> DataFrame:
+def incomplete_groups(rollouts: DataFrame, generations: int, keys: Sequence[str] = GROUP_KEYS) -> DataFrame:
     """Groups that do not have exactly ``generations`` rows, with their size."""
     sizes = rollouts.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"))
     return sizes.filter(F.col("group_size") != generations)
 
 
 def complete_groups_only(
-    rollouts: DataFrame, generations: int, keys: Sequence[str] = ("prompt_id",), **skew
+    rollouts: DataFrame, generations: int, keys: Sequence[str] = GROUP_KEYS
 ) -> DataFrame:
     """Rows of groups with exactly ``generations`` rows."""
-    def without(rows: DataFrame, wrong: DataFrame) -> DataFrame:
-        return null_safe_join(rows, wrong, keys, "left_anti")
-
-    return balanced_join(rollouts, incomplete_groups(rollouts, generations, keys), keys, without, **skew)
+    return null_safe_join(rollouts, incomplete_groups(rollouts, generations, keys), keys, "left_anti")
 
 
 def step_metrics(

@@ -1,83 +1,79 @@
 """Seeded shuffles, repeats, samples, shards and minibatches.
 
 A random order is the order of ``md5(seed:row key)``: the same rows come out on
-any cluster and after any lost executor. ``row_key`` must identify a row.
+any cluster and after any lost executor. ``row_key`` must identify a row; a
+repeated key fails the job.
+
+Ranks are found on the order columns alone: range partitions, as many as Spark makes
+of them, sorted in parallel and stored once; one count per partition gives the
+offsets. Wide rows are only joined with their ranks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardmill.functions.text import seeded_key
+from rewardmill.operators.skew import left_join_unique
 from rewardmill.session import checkpointed
 
-# Digits of the hash that name a rank bucket: 16**3 buckets, equally full because md5 is uniform.
-_BUCKET_DIGITS = 3
-TOP_N_IN_ONE_TASK = 100_000
-
 
 def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
 
-def shuffled_rank(df: DataFrame, seed: int, row_key: Sequence[str], output: str = "order_rank") -> DataFrame:
-    """Zero-based rank of every row in the seeded order, without a one-task sort.
+def _ranks(keys: DataFrame, order: Sequence[str], output: str) -> tuple[DataFrame, int]:
+    """``keys`` with the zero-based rank of every row in the order of ``order``, and the number of rows.
 
-    Rows fall into hash-prefix buckets. A counting pass over the key columns
-    gives each bucket's offset (at most 4096 numbers); inside its bucket a row is
-    ranked by a window. Both passes are functions of the data alone.
+    All of ``keys`` is stored: pass narrow columns. The broadcast table has one row per range partition.
     """
-    return _shuffled(df, seed, row_key, output)[0]
+    # monotonically_increasing_id: partition number in the upper bits, row number in the lower 33.
+    stored = checkpointed(
+        keys.repartitionByRange(*_cols(order)).sortWithinPartitions(*_cols(order)).withColumn("__position", F.monotonically_increasing_id())
+    )
+    parts = stored.withColumn("__part", F.shiftright("__position", 33).cast("int"))
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()
+    offsets, seen = [], 0
+    for part, n in sorted(map(tuple, sizes)):
+        offsets.append((part, seen))
+        seen += n
+    table = keys.sparkSession.createDataFrame(offsets, "__part int, __offset bigint")
+    within = F.col("__position").bitwiseAND(F.lit((1 << 33) - 1))
+    ranked = parts.join(F.broadcast(table), "__part").withColumn(output, F.col("__offset") + within)
+    return ranked.select(*keys.columns, output), seen
 
 
-def ordered_rank(df: DataFrame, order: Sequence[str], output: str = "order_rank") -> DataFrame:
-    """Zero-based rank of every row in the order of ``order``, which must be total.
+def _ranked(df: DataFrame, keys: DataFrame, order: Sequence[str], row_key: Sequence[str], output: str, keep: Column | None = None):
+    """``df`` with its ranks (only those where ``keep`` holds), and the number of rows."""
+    ranks, total = _ranks(keys, order, output)
+    ranks = ranks.filter(keep) if keep is not None else ranks
+    narrow = ranks.select(*row_key, output)
+    if set(df.columns) <= set(row_key):
+        return narrow.select(*df.columns, output), total
+    joined = left_join_unique(df, narrow, row_key)
+    return (joined.filter(F.col(output).isNotNull()) if keep is not None else joined), total
 
-    Range partitions are sorted in parallel and stored once, so that the counting
-    pass and the ranking pass see the same layout; the offsets are one number per
-    partition. Select the columns you need first: all of ``df`` is stored.
-    """
-    return _ordered(df, order, output)[0]
 
+def _shuffled(df: DataFrame, seed: int, row_key: Sequence[str], output: str, keep: Column | None = None) -> tuple[DataFrame, int]:
+    keys = df.select(*row_key, seeded_key(seed, *_cols(row_key)).alias("__key"))
+    return _ranked(df, keys, ["__key", *row_key], row_key, output, keep)
 
-def _with_offsets(df: DataFrame, part: str, part_type: str, within: Column, output: str) -> tuple[DataFrame, int]:
-    """Rank = rows in earlier parts + position within the part. Also gives the number of rows.
 
-    The broadcast table has one row per part: a number fixed by the layout, not by the data's size.
-    """
-    sizes = df.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()
-    offsets, seen = [], 0
-    for name, n in sorted((row[part], row["n"]) for row in sizes):
-        offsets.append((name, seen))
-        seen += n
-    table = df.sparkSession.createDataFrame(offsets, f"{part} {part_type}, __offset bigint")
-    ranked = df.withColumn("__within", within).join(F.broadcast(table), part)
-    return ranked.withColumn(output, F.col("__offset") + F.col("__within")).drop(part, "__offset", "__within"), seen
+def _ordered(df: DataFrame, order: Sequence[str], output: str, keep: Column | None = None) -> tuple[DataFrame, int]:
+    return _ranked(df, df.select(*order), order, order, output, keep)
 
 
-def _shuffled(df: DataFrame, seed: int, row_key: Sequence[str], output: str) -> tuple[DataFrame, int]:
-    keyed = df.withColumn("__key", seeded_key(seed, *_cols(row_key))).withColumn(
-        "__bucket", F.substring("__key", 1, _BUCKET_DIGITS)
-    )
-    in_bucket = Window.partitionBy("__bucket").orderBy("__key", *_cols(row_key))
-    ranked, total = _with_offsets(keyed, "__bucket", "string", F.row_number().over(in_bucket) - 1, output)
-    return ranked.drop("__key"), total
+def shuffled_rank(df: DataFrame, seed: int, row_key: Sequence[str], output: str = "order_rank") -> DataFrame:
+    """Zero-based rank of every row in the seeded order, without a one-task sort."""
+    return _shuffled(df, seed, row_key, output)[0]
 
 
-def _ordered(df: DataFrame, order: Sequence[str], output: str) -> tuple[DataFrame, int]:
-    stored = checkpointed(
-        df.repartitionByRange(*_cols(order))
-        .sortWithinPartitions(*_cols(order))
-        .withColumn("__position", F.monotonically_increasing_id())
-    )
-    # monotonically_increasing_id: partition number in the upper bits, row number in the lower 33.
-    parts = stored.withColumn("__part", F.shiftright("__position", 33).cast("int"))
-    row_in_part = F.col("__position").bitwiseAND(F.lit((1 << 33) - 1))
-    ranked, total = _with_offsets(parts, "__part", "int", row_in_part, output)
-    return ranked.drop("__position"), total
+def ordered_rank(df: DataFrame, order: Sequence[str], output: str = "order_rank") -> DataFrame:
+    """Zero-based rank of every row in the order of ``order``, which must identify a row."""
+    return _ordered(df, order, output)[0]
 
 
 def repeat_shuffled(df: DataFrame, repeats: int, seed: int, row_key: Sequence[str]) -> DataFrame:
@@ -87,15 +83,8 @@ def repeat_shuffled(df: DataFrame, repeats: int, seed: int, row_key: Sequence[st
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, row_key: Sequence[str]) -> DataFrame:
-    """``n`` distinct rows at random: the first of the seeded order.
-
-    A small sample is a top-n by the seeded key, merged in one task without a full
-    sort; a large one is cut by rank, in parallel.
-    """
-    if n > TOP_N_IN_ONE_TASK:
-        return shuffled_rank(df, seed, row_key).filter(F.col("order_rank") < n).drop("order_rank")
-    keyed = df.withColumn("__key", seeded_key(seed, *_cols(row_key)))
-    return keyed.orderBy("__key", *row_key).limit(n).drop("__key")
+    """``n`` distinct rows at random: the first of the seeded order, cut by rank."""
+    return _shuffled(df, seed, row_key, "order_rank", F.col("order_rank") < n)[0].drop("order_rank")
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n: int = 100) -> DataFrame:
@@ -129,18 +118,28 @@ def minibatches(df: DataFrame, size: int, seed: int, row_key: Sequence[str]) ->
     return ranked.withColumn("minibatch_id", F.floor(F.col("order_rank") / F.lit(size)).cast("bigint"))
 
 
-def schedule_minibatches(batched: DataFrame, steps: int, n_batches: int) -> DataFrame:
-    """Rows for each of ``steps`` optimisation steps, starting over when the batches run out."""
-    batch = F.col("minibatch_id")
-    rounds = F.floor((F.lit(steps - 1) - batch) / F.lit(n_batches))
-    repeats = F.when(batch < steps, F.sequence(F.lit(0).cast("bigint"), rounds.cast("bigint")))
-    return batched.withColumn("__round", F.explode(repeats)).select(
-        *batched.columns, (F.col("__round") * F.lit(n_batches) + batch).alias("step")
-    )
+def schedule_minibatches(df: DataFrame, size: int, steps: int, seed: int, row_key: Sequence[str]) -> DataFrame:
+    """The key and ``minibatch_id`` of every row in each of ``steps`` optimisation steps.
+
+    When the batches run out, the rows are shuffled anew, by ``md5(seed:round:row key)``, and dealt out again. Join
+    the wide rows to the result by ``row_key``.
+    """
+    keys = df.select(*row_key)
+    n = keys.count()
+    if not n or steps < 1:
+        return keys.filter("false").select("*", F.lit(0).cast("bigint").alias("minibatch_id"), F.lit(0).cast("bigint").alias("step"))
+    n_batches = -(-n // size)
+    rounds = -(-steps // n_batches)
+    each = keys.withColumn("__round", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rounds - 1).cast("bigint"))))
+    each = each.withColumn("__key", seeded_key(seed, F.col("__round"), *_cols(row_key)))
+    ranked, _ = _ranks(each, ["__round", "__key", *row_key], "__rank")
+    batch = F.floor((F.col("__rank") - F.col("__round") * F.lit(n)) / F.lit(size)).cast("bigint")
+    step = F.col("__round") * F.lit(n_batches) + F.col("minibatch_id")
+    return ranked.withColumn("minibatch_id", batch).withColumn("step", step).filter(F.col("step") < steps).select(*row_key, "minibatch_id", "step")
 
 
 def process_slice(df: DataFrame, process: int, per_process: int, order: Sequence[str]) -> DataFrame:
     """The rows of one process when all rows, in order, are dealt out in equal slices."""
-    ranked = ordered_rank(df, order)
     low = process * per_process
-    return ranked.filter((F.col("order_rank") >= low) & (F.col("order_rank") < low + per_process))
+    mine = (F.col("order_rank") >= low) & (F.col("order_rank") < low + per_process)
+    return _ordered(df, order, "order_rank", mine)[0]

@@ -1,51 +1,20 @@
-"""Group statistics and joins that stay balanced when one key holds most rows.
+"""Group statistics and joins with one plan for every size.
 
-A window sends every row of a group to one task. That is the cheapest plan for
-the usual groups of a few rows, and the wrong one for a group with a third of
-the table. So heavy groups are found first with a fixed-size frequency sketch,
-and only those take another way: their statistics come from a partial
-aggregate, and the few resulting rows are broadcast back.
+Statistics are a partial aggregate, combined before the shuffle, and are joined
+back to the rows by key. A key with a third of the table is then a skewed
+partition of a join, which adaptive execution splits over tasks; a window would
+send all its rows to one. Nothing is run or measured while a plan is built.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewardmill.session import checkpointed
-
-# At most 1/HEAVY_SHARE keys can be heavy, so anything keyed by them is bounded.
-HEAVY_SHARE = 0.001
-HEAVY_ROWS = 1_000_000
-_SKETCH_COUNTERS = 10_000
-
-
-def _key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(k) for k in keys])
-
-
-def heavy_key_hashes(
-    df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, min_rows: int = HEAVY_ROWS
-) -> list[int]:
-    """Hashes of the keys that hold more than ``share`` of all rows (and ``min_rows``).
-
-    One pass over the key columns with a map-side sketch; no shuffle by key. A
-    hash shared by two keys only sends a light group down the heavy path, which
-    gives the same result.
-    """
-    limit = int(1 / share)
-    row = (
-        df.select(_key_hash(keys).alias("h"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.expr(f"approx_top_k(h, {limit}, {_SKETCH_COUNTERS})").alias("top"),
-        )
-        .head()
-    )
-    floor = max(min_rows, row["n"] * share)
-    return [item["item"] for item in (row["top"] or []) if item["count"] > floor]
+from rewardmill.session import released_later
 
 
 def _require_keys(keys: Sequence[str]) -> None:
@@ -53,77 +22,21 @@ def _require_keys(keys: Sequence[str]) -> None:
         raise ValueError("an empty key list would put the whole table into one group")
 
 
-def with_group_stats(
-    df: DataFrame,
-    keys: Sequence[str],
-    stats: Mapping[str, Column],
-    share: float = HEAVY_SHARE,
-    min_rows: int = HEAVY_ROWS,
-) -> DataFrame:
-    """Add per-group aggregates to every row: one shuffle by ``keys``, skew-safe.
+def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
+    """Add per-group aggregates to every row of a narrow table.
 
-    ``df`` should be narrow: do the text work before and drop the text columns.
-    """
-    _require_keys(keys)
-    group = Window.partitionBy(*keys)
-
-    def windowed(rows: DataFrame) -> DataFrame:
-        return rows.select("*", *[agg.over(group).alias(name) for name, agg in stats.items()])
-
-    heavy = heavy_key_hashes(df, keys, share, min_rows)
-    if not heavy:
-        return windowed(df)
-
-    # Several passes follow, so the rows are stored once instead of recomputed.
-    rows = checkpointed(df)
-    is_heavy = _key_hash(keys).isin(heavy)
-    few = rows.filter(is_heavy)
-    totals = few.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    joined = null_safe_join(few, F.broadcast(totals), keys, "inner")
-    return windowed(rows.filter(~is_heavy)).unionByName(joined.select(*df.columns, *stats))
-
-
-def join_group_stats(
-    df: DataFrame,
-    keys: Sequence[str],
-    stats: Mapping[str, Column],
-    share: float = HEAVY_SHARE,
-    min_rows: int = HEAVY_ROWS,
-) -> DataFrame:
-    """Add per-group aggregates to wide rows, which a window would shuffle whole.
-
-    The aggregate is partial and narrow. Spark broadcasts it when its size allows and
-    joins by key otherwise; rows of heavy keys always get theirs by broadcast.
+    ``df`` should hold keys and numbers only: it is kept on the executors (spilled to their disks,
+    recomputed if one is lost), so that the aggregate and the join compute it once.
+    ``session.release`` frees it.
     """
-    totals = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-
-    def join(rows: DataFrame, few: DataFrame) -> DataFrame:
-        return null_safe_join(rows, few, keys, "inner")
-
-    return balanced_join(df, totals, keys, join, share, min_rows)
-
+    return join_group_stats(released_later(df.persist(StorageLevel.MEMORY_AND_DISK)), keys, stats)
 
-def balanced_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    join: Callable[[DataFrame, DataFrame], DataFrame],
-    share: float = HEAVY_SHARE,
-    min_rows: int = HEAVY_ROWS,
-) -> DataFrame:
-    """Join to a table with one row per key; rows of heavy keys are not shuffled.
 
-    ``join`` joins two tables on ``keys``. The broadcast part of ``right`` has one row
-    per heavy key, at most ``1/share``.
-    """
+def join_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
+    """Add per-group aggregates to every row; ``df`` is read twice, the aggregate reads only what it needs."""
     _require_keys(keys)
-    heavy = heavy_key_hashes(left, keys, share, min_rows)
-    if not heavy:
-        return join(left, right)
-    is_heavy = _key_hash(keys).isin(heavy)
-    hot = join(left.filter(is_heavy), F.broadcast(right.filter(is_heavy)))
-    cold = join(left.filter(~is_heavy), right.filter(~is_heavy))
-    return hot.unionByName(cold)
+    totals = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
+    return null_safe_join(df, totals, keys, "inner").select(*df.columns, *stats)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -138,12 +51,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"__right_{k}" for k in keys])
 
 
-def left_join_unique(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    share: float = HEAVY_SHARE,
-    min_rows: int = HEAVY_ROWS,
-) -> DataFrame:
-    """Left join against a table with one row per key, balanced for heavy left keys."""
-    return balanced_join(left, right, keys, lambda a, b: a.join(b, list(keys), "left"), share, min_rows)
+def left_join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join to a table with one row per key; two rows of one key fail the job instead of adding rows.
+
+    The check is part of the plan: a partial aggregate of ``right`` by its keys.
+    """
+    others = [c for c in right.columns if c not in keys]
+    several = F.raise_error(F.concat(F.lit("several rows for one key of "), F.lit(", ".join(keys))))
+    whole = F.struct(*[F.col(c) for c in others])
+    one = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(whole).alias("__row"))
+    checked = one.select(*keys, F.when(F.col("__n") == 1, F.col("__row")).otherwise(several.cast(one.schema["__row"].dataType)).alias("__row"))
+    return left.join(checked, list(keys), "left").select(*left.columns, *[F.col("__row")[c].alias(c) for c in others])

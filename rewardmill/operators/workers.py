@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,10 +30,25 @@ def aggregated_set(
     )
 
 
-def flatten_completions(responses: DataFrame, completions: str = "completions") -> DataFrame:
-    """One row per completion from list-valued responses."""
-    others = [c for c in responses.columns if c != completions]
-    return responses.select(*others, F.explode(completions).alias("completion"))
+def flatten_completions(
+    responses: DataFrame, completions: str = "completions", along: Mapping[str, str] | None = None
+) -> DataFrame:
+    """One row per completion from list-valued responses.
+
+    ``along`` names further lists, as {list column: value column}, whose values travel with the completions;
+    by default a list column ``rewards`` gives ``reward``. A row whose lists differ in length
+    fails the job. Rows with a null or empty list of completions give none.
+    """
+    lists_of = {name for name, kind in responses.dtypes if kind.startswith("array<")}
+    along = {"rewards": "reward"} if along is None and "rewards" in lists_of else dict(along or {})
+    lists = [completions, *along]
+    others = [c for c in responses.columns if c not in lists]
+    uneven = [F.size(F.coalesce(F.col(c), F.array())) != F.size(completions) for c in along]
+    zipped = F.arrays_zip(*lists)
+    for differs in uneven:
+        zipped = F.when(differs, F.raise_error(F.lit("lists of one response differ in length")).cast(responses.select(F.arrays_zip(*lists).alias("z")).schema["z"].dataType)).otherwise(zipped)
+    rows = responses.filter(F.col(completions).isNotNull()).withColumn("__one", F.explode(zipped))
+    return rows.select(*others, F.col("__one")[completions].alias("completion"), *[F.col("__one")[c].alias(v) for c, v in along.items()])
 
 
 def first_row_per_prompt(dataset: DataFrame, row_id: str, prompt: str = "prompt") -> DataFrame:
@@ -44,7 +59,7 @@ def first_row_per_prompt(dataset: DataFrame, row_id: str, prompt: str = "prompt"
 
 
 def attach_first_match(
-    responses: DataFrame, dataset: DataFrame, row_id: str, prompt: str = "prompt", **skew
+    responses: DataFrame, dataset: DataFrame, row_id: str, prompt: str = "prompt"
 ) -> DataFrame:
     """Add the columns of the first dataset row with the response's prompt; NULL when there is none."""
-    return left_join_unique(responses, first_row_per_prompt(dataset, row_id, prompt), [prompt], **skew)
+    return left_join_unique(responses, first_row_per_prompt(dataset, row_id, prompt), [prompt])

@@ -11,7 +11,6 @@ from rewardmill.operators import groups as gr
 from rewardmill.operators import losses as ls
 from rewardmill.operators import sampling as sa
 from rewardmill.operators import scoring as sc
-from rewardmill.operators.skew import balanced_join
 from rewardmill.registry import Preset
 
 
@@ -21,8 +20,8 @@ def training_run(
     """Completions of prepared prompts to (rows with advantages, metrics per step).
 
     ``prompts`` has one row per prompt. Completions are reduced to answers and numbers
-    before their prompt's gold is joined, so their text is never shuffled; a prompt with
-    a large share of all completions is joined and grouped on the heavy-key way.
+    before their prompt's gold is joined, so their text is never shuffled; adaptive execution
+    splits a prompt with a large share of all completions.
     """
     columns = [c for c in ("solution", "target_length") if c in prompts.columns]
     group = ["run_id", "step", prompt_key]
@@ -43,7 +42,7 @@ def evaluation_run(
 ) -> DataFrame:
     """Predictions of the runs still pending to one accuracy per run."""
     pending = ev.pending_runs(plan, results, keys, overwrite).select(*keys)
-    due = balanced_join(predictions, pending.distinct(), keys, lambda a, b: a.join(b, list(keys), "left_semi"))
+    due = predictions.join(pending.distinct(), list(keys), "left_semi")
     return ev.task_accuracy(ev.match(due, metric), keys)
 
 

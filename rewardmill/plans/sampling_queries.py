@@ -50,8 +50,7 @@ def minibatch_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _orders(spark, sf_dir)
     n_batches = -(-orders.count() // BATCH)
     steps = n_batches + n_batches // 2
-    batched = sa.minibatches(orders, BATCH, SEED, KEY).select("o_orderkey", "minibatch_id")
-    return sa.schedule_minibatches(batched, steps, n_batches)
+    return sa.schedule_minibatches(orders, BATCH, steps, SEED, KEY)
 
 
 def process_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +85,13 @@ ORACLES = {
     f"(SELECT o_orderkey, {_SHUFFLED} AS order_rank FROM orders)",
     "minibatches": f"SELECT o_orderkey, ({_SHUFFLED}) // {BATCH} AS minibatch_id FROM orders",
     "minibatch_schedule": f"""
-WITH b AS (SELECT o_orderkey, ({_SHUFFLED}) // {BATCH} AS minibatch_id FROM orders),
-n AS (SELECT max(minibatch_id) + 1 AS n_batches FROM b),
-s AS (SELECT unnest(range(n_batches + n_batches // 2)) AS step, n_batches FROM n)
-SELECT b.o_orderkey, b.minibatch_id, s.step FROM s JOIN b ON b.minibatch_id = s.step % s.n_batches""",
+WITH n AS (SELECT CAST(ceil(count(*) / {BATCH}.0) AS BIGINT) AS n_batches FROM orders),
+b AS (
+  SELECT o_orderkey, round, n_batches, (row_number() OVER (PARTITION BY round ORDER BY md5('{SEED}:' || round || ':' || o_orderkey), o_orderkey) - 1) // {BATCH} AS minibatch_id
+  FROM orders, n, range(2) r(round)
+)
+SELECT o_orderkey, minibatch_id, round * n_batches + minibatch_id AS step FROM b
+WHERE round * n_batches + minibatch_id < n_batches + n_batches // 2""",
     "process_slice": f"""
 SELECT o_orderkey, process_id, order_rank FROM (
   SELECT o_orderkey, o_custkey % {PROCESSES} AS process_id,

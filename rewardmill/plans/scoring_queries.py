@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from rewardmill.operators import workers as wk
 from rewardmill.plans import oracle as o
 from rewardmill.plans import views as v
 from rewardmill.registry import PRESETS
+from rewardmill.session import released_later
 
 KEY = list(v.ROLLOUT_KEY)
 GROUP_SIZE = 4
@@ -87,7 +89,7 @@ def cadence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incomplete_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.incomplete_groups(v.rollouts(spark, sf_dir), GROUP_SIZE)
+    return gr.incomplete_groups(v.rollouts(spark, sf_dir), GROUP_SIZE).select("prompt_id", "group_size")
 
 
 def complete_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +102,7 @@ def _scored(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
 
 def _advantages(scale: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = gr.with_advantages(_scored(spark, sf_dir), scale=scale)
+        rows = gr.with_advantages(_scored(spark, sf_dir, "run_id", "step"), scale=scale)
         return rows.select(*KEY, *v.rounded("reward", "group_mean", "group_std", "advantage"))
 
     return run
@@ -112,7 +114,7 @@ def advantages_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def step_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = gr.with_advantages(_scored(spark, sf_dir, "run_id", "step"), ["run_id", "step", "prompt_id"])
+    rows = gr.with_advantages(_scored(spark, sf_dir, "run_id", "step"))
     metrics = gr.step_metrics(rows, ["format", "accuracy"])
     doubles = ["mean_format", "mean_accuracy", "mean_reward", "mean_reward_std"]
     return metrics.select("run_id", "step", *v.rounded(*doubles), "unscored_accuracy", "n_unscored", "n_rows")
@@ -140,8 +142,8 @@ def worker_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aggregated_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables of three workers put together."""
-    rows = _responses(spark, sf_dir)
+    """The tables of three workers put together; the text is scored once."""
+    rows = released_later(_responses(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK))
     merged = wk.union_workers([rows.filter(F.col("worker_id") == w) for w in range(3)])
     return wk.aggregated_set(merged).select(
         "prompt", F.length("completion").alias("len"), *v.rounded("reward", "importance_weight"), "worker_id"

@@ -20,16 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of fewer files than cores out to all cores, ahead of costly per-row work.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal rows out to ``partitions`` tasks (as many as cores by default) ahead of costly per-row work.
 
     The given tables are single files of one row group, which one task would read
-    and score alone. With enough files nothing is moved.
+    and score alone. Call it only for such tables; a stream is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or len(df.inputFiles()) >= cores:
+    if df.isStreaming:
         return df
-    return df.repartition(cores)
+    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
 
 
 def rounded(*columns: str, places: int = 6) -> list[Column]:

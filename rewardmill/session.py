@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: list[str] = []
+_persisted: list[DataFrame] = []
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench. On a cluster, pass your own session instead."""
@@ -15,6 +20,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         .appName("rewardmill")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
@@ -38,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="rewardmill-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(made)
     return made
 
@@ -49,5 +58,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one table below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one table below the shared folder; ``release`` removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def released_later(kept: DataFrame) -> DataFrame:
+    """Remember a persisted table for ``release``."""
+    _persisted.append(kept)
+    return kept
+
+
+def release(spark: SparkSession) -> None:
+    """Free what operators have kept for results that are no longer needed: persisted and scratch tables.
+
+    Call it when the results built so far have been consumed; results read afterwards that
+    rest on a scratch table fail.
+    """
+    while _persisted:
+        _persisted.pop().unpersist()
+    jvm = spark.sparkContext._jvm
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

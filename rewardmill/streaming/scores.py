@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rewardmill.functions.rewards import Reward
-from rewardmill.operators.groups import with_advantages
+from rewardmill.operators.groups import GROUP_KEYS, with_advantages
 from rewardmill.operators.scoring import score
 
-GROUP_KEYS = ("run_id", "prompt_id")
 
 
 def score_stream(rollouts: DataFrame, rewards: Sequence[Reward], weights: Sequence[float], **options) -> DataFrame:

@@ -10,7 +10,8 @@ from rewardmill.operators import skew
 
 
 def scored(spark, rows):
-    return spark.createDataFrame(rows, "id int, prompt_id int, reward double")
+    df = spark.createDataFrame(rows, "id int, prompt_id int, reward double")
+    return df.withColumns({"run_id": F.lit("r"), "step": F.lit(0)})
 
 
 def by_id(df, column):
@@ -27,31 +28,56 @@ def test_advantages(spark):
     assert by_id(gr.with_advantages(df, scale=False), "advantage")[4] == 0.0
 
 
-def test_heavy_groups_take_the_other_way_with_equal_results(spark):
+def test_a_group_with_a_third_of_all_rows(spark):
     rng = random.Random(1)
     rows = [(i, 7 if i % 3 == 0 else i // 4 + 100, rng.random()) for i in range(3000)]
-    df = scored(spark, rows)
-    assert len(skew.heavy_key_hashes(df, ["prompt_id"], share=0.1, min_rows=1)) == 1
-    assert skew.heavy_key_hashes(df, ["prompt_id"], share=0.1, min_rows=10_000) == []
-    plain = by_id(gr.with_advantages(df), "advantage")
-    split = by_id(gr.with_advantages(df, share=0.1, min_rows=1), "advantage")
-    assert plain.keys() == split.keys() and len(split) == 3000
-    for key, value in plain.items():
-        assert (value is None) == (split[key] is None)
-        if value is not None:
-            assert value == pytest.approx(split[key])
+    got = gr.with_advantages(scored(spark, rows))
     hot = [r for _, p, r in rows if p == 7]
-    assert by_id(gr.with_advantages(df, share=0.1, min_rows=1), "group_std")[0] == pytest.approx(
-        statistics.stdev(hot)
-    )
+    assert got.count() == 3000
+    assert by_id(got, "group_std")[0] == pytest.approx(statistics.stdev(hot))
+    assert by_id(got, "group_mean")[0] == pytest.approx(statistics.mean(hot))
 
 
-def test_null_keys_form_a_group_on_both_ways(spark):
+def test_null_keys_form_a_group(spark):
     rows = [(i, None if i % 2 else i, float(i)) for i in range(200)]
-    df = scored(spark, rows)
-    plain = by_id(gr.with_advantages(df, scale=False), "advantage")
-    split = by_id(gr.with_advantages(df, scale=False, share=0.1, min_rows=1), "advantage")
-    assert plain == pytest.approx(split)
+    got = by_id(gr.with_advantages(scored(spark, rows), scale=False), "advantage")
+    assert all(got[i] == (i - 100.0 if i % 2 else 0.0) for i in range(200))
+
+
+def test_steps_of_one_prompt_are_groups_of_their_own(spark):
+    rows = [(0, 1, 1, 1.0), (1, 1, 1, 0.0), (2, 2, 1, 1.0), (3, 2, 1, 1.0)]
+    df = spark.createDataFrame([("r", *r) for r in rows], "run_id string, id int, step int, prompt_id int, reward double")
+    assert by_id(gr.with_advantages(df), "group_mean") == {0: 0.5, 1: 0.5, 2: 1.0, 3: 1.0}
+
+
+def test_no_job_while_a_plan_is_built(spark):
+    df = scored(spark, [(i, i % 3, 1.0) for i in range(30)])
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    gr.complete_groups_only(gr.with_advantages(df), 10)
+    assert set(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_adaptive_execution_splits_a_hot_group(spark):
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 200_000, 1, 8).selectExpr(
+            "id", "'r' AS run_id", "0 AS step", "IF(id % 2 = 0, 7, id) AS prompt_id", "rand(1) AS reward"
+        )
+        got = gr.with_advantages(rows)
+        assert got.count() == 200_000
+        got.write.format("noop").mode("overwrite").save()
+        got.collect()
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_empty_keys_are_refused(spark):
@@ -68,10 +94,10 @@ def test_advantages_sum_to_zero(spark):
 
 def test_completeness(spark):
     df = scored(spark, [(i, 1, 0.0) for i in range(4)] + [(10 + i, 2, 0.0) for i in range(3)])
-    assert [tuple(r) for r in gr.incomplete_groups(df, 4).collect()] == [(2, 3)]
+    assert [tuple(r) for r in gr.incomplete_groups(df, 4).collect()] == [("r", 0, 2, 3)]
     assert {r["id"] for r in gr.complete_groups_only(df, 4).collect()} == {0, 1, 2, 3}
     many = df.unionByName(scored(spark, [(100 + i, 9, 0.0) for i in range(50)]))
-    assert {r["id"] for r in gr.complete_groups_only(many, 4, share=0.5, min_rows=1).collect()} == {0, 1, 2, 3}
+    assert {r["id"] for r in gr.complete_groups_only(many, 4).collect()} == {0, 1, 2, 3}
     gr.check_generations(8, 2, 4)
     with pytest.raises(ValueError):
         gr.check_generations(3, 1, 2)
@@ -97,13 +123,13 @@ def test_log_points(spark):
     assert got == {(0, "eval_loss"): 2.0, (1, "eval_loss"): 5.0}
 
 
-def test_left_join_unique_with_and_without_heavy_keys(spark):
+def test_left_join_unique(spark):
     left = spark.createDataFrame([(i, 0 if i % 3 == 0 else i) for i in range(300)], "id int, k int")
     right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 200)], "k int, v string")
-    plain = {r["id"]: r["v"] for r in skew.left_join_unique(left, right, ["k"]).collect()}
-    split = {r["id"]: r["v"] for r in skew.left_join_unique(left, right, ["k"], share=0.1, min_rows=1).collect()}
-    assert plain == split and len(split) == 300
-    assert split[299] is None and split[0] == "v0"
+    got = {r["id"]: r["v"] for r in skew.left_join_unique(left, right, ["k"]).collect()}
+    assert len(got) == 300 and got[299] is None and got[0] == "v0" and got[1] == "v1"
+    with pytest.raises(Exception, match="several rows for one key"):
+        skew.left_join_unique(left, right.union(right.filter("k = 5")), ["k"]).collect()
 
 
 def test_std_is_sample_deviation(spark):
@@ -116,6 +142,5 @@ def test_joined_stats_equal_windowed_stats(spark):
     df = scored(spark, rows)
     stats = {"top": F.max("reward"), "n": F.count(F.lit(1))}
     want = {tuple(r) for r in skew.with_group_stats(df, ["prompt_id"], stats).collect()}
-    for options in ({}, {"share": 0.1, "min_rows": 1}):
-        got = skew.join_group_stats(df, ["prompt_id"], stats, **options).collect()
-        assert len(got) == 600 and {tuple(r) for r in got} == want
+    got = skew.join_group_stats(df, ["prompt_id"], stats).collect()
+    assert len(got) == 600 and {tuple(r) for r in got} == want

@@ -35,15 +35,14 @@ def exchanges(plan):
     return [line for line in plan.splitlines() if re.search(r"Exchange (hash|range|Single|RoundRobin)", line)]
 
 
-def test_advantages_shuffle_once_and_carry_no_text(spark, small):
+def test_advantages_shuffle_no_text(spark, small):
     rows = spark.read.parquet(f"{small}/lineitem.parquet")
-    rollouts = v.rollouts(spark, small, lineitem=rows.repartition(8))
-    scored = sc.score_preset(rollouts, PRESETS["deepscaler"], keep=["prompt_id"])
+    rollouts = v.rollouts(spark, small, lineitem=rows)
+    scored = sc.score_preset(rollouts, PRESETS["deepscaler"], keep=list(gr.GROUP_KEYS))
     plan = plan_of(gr.with_advantages(scored))
-    by_key = [e for e in exchanges(plan) if "RoundRobin" not in e]
-    assert len(by_key) == 1 and "hashpartitioning(prompt_id" in by_key[0]
-    window = next(line for line in plan.splitlines() if "Window [" in line)
-    assert "completion" not in window and "__text" not in window
+    assert "Window" not in plan
+    outer = plan.split("InMemoryRelation")[0]
+    assert "completion" not in outer and "__text" not in outer
 
 
 @pytest.mark.parametrize("name", ["shard_shuffled", "repeat_sample", "minibatches", "shard_contiguous", "process_slice"])

@@ -43,11 +43,18 @@ def test_sample(spark):
     assert sorted(got) == sorted(shuffled(100)[:10])
 
 
-def test_large_samples_are_cut_by_rank(spark, monkeypatch):
-    small = sa.sample_rows(ids(spark, 100), 40, 42, ["id"])
-    monkeypatch.setattr(sa, "TOP_N_IN_ONE_TASK", 10)
-    large = sa.sample_rows(ids(spark, 100), 40, 42, ["id"])
-    assert large.count() == 40 and small.exceptAll(large).count() == 0
+def test_wide_columns_stay_out_of_the_ranking(spark):
+    df = ids(spark, 100).withColumn("wide", F.lit("w"))
+    rows = sa.sample_rows(df, 40, 42, ["id"])
+    assert sorted(r["id"] for r in rows.collect()) == sorted(shuffled(100)[:40]) and "wide" in rows.columns
+    plan = sa.minibatches(df, 8, 42, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "rangepartitioning" not in plan
+
+
+def test_a_repeated_row_key_fails(spark):
+    df = ids(spark, 20).union(ids(spark, 1)).withColumn("wide", F.lit("w"))
+    with pytest.raises(Exception, match="several rows for one key"):
+        sa.shuffled_rank(df, 42, ["id"]).collect()
 
 
 def test_first_rows(spark):
@@ -75,10 +82,13 @@ def test_minibatches_and_schedule(spark):
     batched = sa.minibatches(ids(spark, 10), 4, 42, ["id"])
     sizes = {r["minibatch_id"]: r["count"] for r in batched.groupBy("minibatch_id").count().collect()}
     assert sizes == {0: 4, 1: 4, 2: 2}
-    steps = sa.schedule_minibatches(batched, 5, 3)
+    steps = sa.schedule_minibatches(ids(spark, 10), 4, 5, 42, ["id"])
     got = {r["step"]: r["b"] for r in steps.groupBy("step").agg(F.first("minibatch_id").alias("b")).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 0, 4: 1}
-    assert sa.schedule_minibatches(batched, 2, 3).select("minibatch_id").distinct().count() == 2
+    order = lambda low, high: [r["id"] for r in steps.filter(F.col("step").between(low, high)).orderBy("step", "id").collect()]
+    assert sorted(order(0, 2)) == list(range(10)) and order(0, 1) != order(3, 4)
+    assert sa.schedule_minibatches(ids(spark, 10), 4, 2, 42, ["id"]).select("minibatch_id").distinct().count() == 2
+    assert sa.schedule_minibatches(ids(spark, 0), 4, 2, 42, ["id"]).count() == 0
 
 
 def test_process_slice(spark):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from rewardmill.operators import groups as gr
@@ -29,8 +30,16 @@ def test_first_match(spark):
         [(0, "p", ["a", "b"]), (1, "missing", ["c"])], "worker_id int, prompt string, completions array<string>"
     )
     flat = wk.flatten_completions(responses)
-    for options in ({}, {"share": 0.4, "min_rows": 1}):
-        rows = wk.attach_first_match(flat, dataset, "row_id", **options).collect()
-        got = sorted((r["completion"], r["row_id"], r["solution"]) for r in rows if r["solution"])
-        assert got == [("a", 1, "first"), ("b", 1, "first")]
-        assert [r["solution"] for r in rows if r["prompt"] == "missing"] == [None]
+    rows = wk.attach_first_match(flat, dataset, "row_id").collect()
+    got = sorted((r["completion"], r["row_id"], r["solution"]) for r in rows if r["solution"])
+    assert got == [("a", 1, "first"), ("b", 1, "first")]
+    assert [r["solution"] for r in rows if r["prompt"] == "missing"] == [None]
+
+
+def test_rewards_travel_with_completions(spark):
+    schema = "worker_id int, completions array<string>, rewards array<double>"
+    df = spark.createDataFrame([(0, ["a", "b"], [0.0, 1.0]), (1, [], []), (2, None, None)], schema)
+    assert sorted(map(tuple, wk.flatten_completions(df).collect())) == [(0, "a", 0.0), (0, "b", 1.0)]
+    uneven = spark.createDataFrame([(0, ["a", "b"], [0.0])], schema)
+    with pytest.raises(Exception, match="differ in length"):
+        wk.flatten_completions(uneven).collect()
