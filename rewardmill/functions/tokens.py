@@ -44,6 +44,13 @@ def after_prompt_mask(ids: Column, prompt_length: Column) -> Column:
     return F.concat(F.array_repeat(F.lit(0), prompt), F.array_repeat(F.lit(1), F.size(ids) - prompt))
 
 
+def attention_mask(prompt_length: Column, prompt_width: Column, completion_ids: Column, eos: int) -> Column:
+    """Mask of a prompt padded on the left to ``prompt_width``, followed by its completion's."""
+    padding = F.greatest(prompt_width - prompt_length, F.lit(0))
+    prompt = F.concat(F.array_repeat(F.lit(0), padding), F.array_repeat(F.lit(1), prompt_length))
+    return F.concat(prompt, completion_mask(completion_ids, eos))
+
+
 def pad_left(ids: Column, width: Column, value: int) -> Column:
     return F.concat(F.array_repeat(F.lit(value), F.greatest(width - F.size(ids), F.lit(0))), ids)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from rewardmill.plans import (
     curation_queries,
     evaluation_queries,
+    form_queries,
     lifecycle_queries,
     sampling_queries,
     scoring_queries,
@@ -20,6 +21,7 @@ _MODULES = (
     evaluation_queries,
     stream_queries,
     lifecycle_queries,
+    form_queries,
 )
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}

@@ -45,7 +45,7 @@ def stream_completed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         _rollout_stream(spark, sf_dir).withColumn("ts", issued),
         ROW_PRESET.rewards(),
         ROW_PRESET.weights,
-        keep=["run_id", "prompt_id", "ts"],
+        keep=["run_id", "step", "prompt_id", "ts"],
     )
     path = scratch_path(spark, "groups")
     groups = ss.completed_groups(scored, GROUP_SIZE)
@@ -69,7 +69,7 @@ def stream_batch_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
         preset.weights,
         sink,
         scratch_path(spark, "offsets"),
-        keep=[*KEY, "run_id"],
+        keep=[*KEY, "run_id", "step"],
     )
     query.awaitTermination()
     return spark.read.parquet(path).select(*KEY, *v.rounded("length", "reward", "advantage"))

@@ -42,7 +42,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_groups_come_out_once_their_time_has_passed(spark, tmp_path):
     stream, _ = rollouts(spark, str(tmp_path), FILES)
-    scored = ss.score_stream(stream, REWARDS, WEIGHTS, keep=["run_id", "prompt_id", "ts"])
+    scored = ss.score_stream(stream, REWARDS, WEIGHTS, keep=["run_id", "step", "prompt_id", "ts"])
     groups = ss.completed_groups(scored, generations=2)
     ss.append_to(groups, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = {r["prompt_id"]: (r["group_size"], r["group_mean"], r["is_complete"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
@@ -56,7 +56,7 @@ def test_batches_score_whole_groups(spark, tmp_path):
     def sink(rows, number):
         rows.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={number}")
 
-    keep = ["run_id", "prompt_id"]
+    keep = ["run_id", "step", "prompt_id"]
     ss.score_batches(stream, rewards, WEIGHTS, sink, f"{tmp_path}/cp", keep=keep).awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").drop("batch")
     want = with_advantages(score(batch, rewards, WEIGHTS, keep=keep), ss.GROUP_KEYS)
