@@ -12,6 +12,7 @@ from rewardmill.registry import PRESETS
 from rewardmill.session import scratch_path
 from rewardmill.streaming import metrics as sm
 from rewardmill.streaming import scores as ss
+from rewardmill.streaming.closing import run_to_the_end, with_closing
 
 KEY = list(v.ROLLOUT_KEY)
 ROW_PRESET = PRESETS["deepscaler"]
@@ -39,7 +40,7 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_completed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Group statistics in append mode: a step's groups come out once its minute has passed."""
+    """Group statistics in append mode, the last groups brought out when the stream is over."""
     issued = F.timestamp_seconds(F.col("step") * 60)
     scored = ss.score_stream(
         _rollout_stream(spark, sf_dir).withColumn("ts", issued),
@@ -47,9 +48,9 @@ def stream_completed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         ROW_PRESET.weights,
         keep=["run_id", "step", "prompt_id", "ts"],
     )
-    path = scratch_path(spark, "groups")
-    groups = ss.completed_groups(scored, GROUP_SIZE)
-    ss.append_to(groups, path, scratch_path(spark, "offsets")).awaitTermination()
+    path, closing, offsets = (scratch_path(spark, n) for n in ("groups", "closing", "offsets"))
+    groups = ss.completed_groups(with_closing(scored, closing), GROUP_SIZE)
+    run_to_the_end(lambda: ss.append_to(groups, path, offsets), scored, closing)
     return spark.read.parquet(path).select(
         "prompt_id", "group_size", *v.rounded("group_mean", "group_std"), "is_complete"
     )
@@ -76,21 +77,11 @@ def stream_batch_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_metric_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly means of every metric, written whole at each trigger."""
-    path = scratch_path(spark, "windows")
-    means = sm.windowed_means(v.metrics(spark, sf_dir, events=_stream(spark, sf_dir, "events")))
-
-    def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    query = (
-        means.writeStream.outputMode("complete")
-        .foreachBatch(sink)
-        .option("checkpointLocation", scratch_path(spark, "offsets"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    """Hourly means of every metric, appended when their hour is over, the last ones at the end of the stream."""
+    path, closing, offsets = (scratch_path(spark, n) for n in ("windows", "closing", "offsets"))
+    metrics = v.metrics(spark, sf_dir, events=_stream(spark, sf_dir, "events"))
+    means = sm.windowed_means(with_closing(metrics, closing))
+    run_to_the_end(lambda: ss.append_to(means, path, offsets), metrics, closing)
     return spark.read.parquet(path).select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "run_id",
@@ -116,8 +107,7 @@ ORACLES = {
     "stream_completed_groups": o.with_ctes(
         f"""SELECT prompt_id, count(*) AS group_size, {o.r('avg(reward)', 'group_mean')},
        {o.r('stddev_samp(reward)', 'group_std')}, count(*) = {GROUP_SIZE} AS is_complete
-FROM v_scored WHERE step * 60 + 60 <= (SELECT max(step) FROM v_rollouts) * 60 - 600
-GROUP BY prompt_id""",
+FROM v_scored GROUP BY prompt_id""",
         *sq._BASE,
     ),
     "stream_batch_advantages": o.with_ctes(

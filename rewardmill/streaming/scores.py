@@ -36,15 +36,16 @@ def completed_groups(
     wait: str = "10 minutes",
     keys: Sequence[str] = GROUP_KEYS,
 ) -> DataFrame:
-    """Per prompt group, its statistics once the group's time window has closed.
+    """Per prompt group, its statistics once no row of it has come for ``wait``.
 
-    ``ts`` must be one event time for a whole group (the time its step was
-    issued). The state per group is an aggregate of fixed size, not its rows.
-    ``is_complete`` tells full groups from short, late or oversized ones.
+    A group is a session of its key: rows less than ``wait`` apart belong together, wherever the hour turns. The
+    state per group is an aggregate of fixed size, not its rows. ``is_complete`` tells full groups
+    from short and oversized ones. A stream that ends is closed with ``closing.run_to_the_end``; rows
+    later than ``wait`` behind the watermark are dropped by Spark.
     """
     return (
         scored.withWatermark(ts, wait)
-        .groupBy(F.window(ts, "1 minute"), *keys)
+        .groupBy(F.session_window(ts, wait), *keys)
         .agg(
             F.count(F.lit(1)).alias("group_size"),
             F.avg("reward").alias("group_mean"),
