@@ -33,6 +33,8 @@ TEMPLATES = (
 )
 # Words that name no licence.
 STOP_WORDS = ("a", "and", "any", "are", "for", "in", "into", "is", "of", "or", "the", "this", "to", "under", "use", "with", "without")
+# Words of the notices that are common in any text; they count, but start no comparison if others can.
+COMMON_WORDS = ("any", "by", "fee", "form", "free", "purpose", "source", "this", "work")
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.[^/]*)?$"
 _TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 THRESHOLD = 0.7
@@ -54,7 +56,7 @@ class Vectors:
             self.rows += [(name, t, w) for t, w in sorted(unit.items())]
             # What shares only the remaining terms has a cosine of at most their norm: below the threshold.
             left = 1.0
-            for t, w in sorted(unit.items(), key=lambda x: (-x[1], x[0])):
+            for t, w in sorted(unit.items(), key=lambda x: (x[0] in COMMON_WORDS, -x[1], x[0])):
                 if left < threshold * threshold:
                     break
                 cues.add(t)
@@ -94,18 +96,20 @@ def notices(spark: SparkSession, files: DataFrame, templates: Sequence[tuple[str
     candidates = F.concat(segments(F.col("text")), whole)
     found = files.filter(F.lower("text").rlike(cue)).select("path_key", F.posexplode(candidates).alias("segment", "said"))
     found = found.filter(F.lower("said").rlike(cue)).select("path_key", "segment", F.xxhash64("said").alias("said_hash"), F.explode(terms(F.col("said"))).alias("term"))
-    counted = found.groupBy("path_key", "said_hash", "segment", "term").count()
-    idf = spark.createDataFrame(list(v.idf.items()), "term string, idf double")
-    units = spark.createDataFrame(v.rows, "license string, term string, unit double")
-    weighed = counted.join(F.broadcast(idf), "term", "left").withColumn("weight", F.col("count") * F.coalesce("idf", F.lit(v.unknown)))
     where = ["path_key", "said_hash", "segment"]
-    norms = weighed.groupBy(*where).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = weighed.join(F.broadcast(units), "term").groupBy(*where, "license").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
-    scored = dots.join(norms, where).select("path_key", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-    best = F.min(F.struct((-F.col("score")).alias("order"), "license"))
-    return scored.filter(F.col("score") >= threshold).groupBy("path_key").agg(best.alias("b")).select(
-        "path_key", F.col("b.license").alias("license"), (-F.col("b.order")).alias("score")
-    )
+    counted = found.groupBy(*where, "term").count()
+    names = sorted({name for name, _, _ in v.rows})
+    unit = {(t, name): w for name, t, w in v.rows}
+    rows = [(t, idf, *[unit.get((t, name), 0.0) for name in names]) for t, idf in v.idf.items()]
+    columns = [f"unit_{n}" for n in range(len(names))]
+    vectors = spark.createDataFrame(rows, "term string, idf double, " + ", ".join(f"{c} double" for c in columns))
+    weighed = counted.join(F.broadcast(vectors), "term", "left").withColumn("weight", F.col("count") * F.coalesce("idf", F.lit(v.unknown)))
+    # Norm and all products of a segment from one grouping: one column for each of the few templates.
+    dots = [F.sum(F.col("weight") * F.coalesce(c, F.lit(0.0))).alias(c) for c in columns]
+    sums = weighed.groupBy(*where).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), *dots)
+    matches = [F.struct((-F.round(F.col(c) / F.col("norm"), 6)).alias("order"), F.lit(name).alias("license")) for c, name in zip(columns, names)]
+    best = sums.select("path_key", F.least(*matches).alias("b")).groupBy("path_key").agg(F.min("b").alias("b"))
+    return best.filter(F.col("b.order") <= -threshold).select("path_key", F.col("b.license").alias("license"), (-F.col("b.order")).alias("score"))
 
 
 def scan_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
