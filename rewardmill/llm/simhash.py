@@ -6,6 +6,8 @@ tiles hold fingerprints with the same numbers of set bits in each part of their
 bits. Two fingerprints within ``radius`` bits differ by no more than ``radius``
 over these counts together, so all other pairs of small tiles are skipped.
 Equal fingerprints are one row before tiles are made.
+
+The corpus stage takes what is found as candidates and checks them against their shingles.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from rewardmill.llm.common import map_batches, pieces, ship, stored
 from rewardmill.llm.components import connected_components
 
 #: Fingerprints that a task holds of either side.
 TILE = 1 << 17
+#: Shingles (and 64 for each text) of either side that a task holds when it checks candidates.
+BLOCK = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -154,18 +158,153 @@ def tile_links(ids: np.ndarray, fps: np.ndarray, left: np.ndarray, right: np.nda
     return _forest(np.concatenate(a), np.concatenate(b))
 
 
-def one_of_each_group(docs: DataFrame, size: int = 5, lanes: int = 4, radius: int = 51) -> DataFrame:
+def set_of(hashes: np.ndarray) -> np.ndarray:
+    """The distinct shingles of a text, in order."""
+    return np.unique(hashes)
+
+
+def _set_prints(docs: DataFrame, size: int, lanes: int, keep: Sequence[str]) -> DataFrame:
+    """As ``fingerprints``, with ``node``, a hash of the set of shingles, and ``shingles``, how many it has."""
+    kept = docs.select(*keep)
+    extra = [StructField("fp", ArrayType(LongType())), StructField("node", LongType()), StructField("shingles", LongType())]
+    schema = StructType([*kept.schema.fields, *extra])
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", 4 << 20):
+                out, nodes, counts = [], [], []
+                for text in part.column("text").to_pylist():
+                    hashes = shingle_hashes(text or "", size, 42)
+                    distinct = set_of(hashes)
+                    out.append([bits_of(_mixed(hashes, lane)) for lane in range(lanes)])
+                    nodes.append(xxhash.xxh64_intdigest(distinct.tobytes()))
+                    counts.append(len(distinct))
+                words = np.array(out, "u8").view("i8").reshape(-1)
+                offsets = np.arange(0, len(words) + 1, lanes, dtype="i4")
+                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(words)), pa.array(np.array(nodes, "u8").view("i8")), pa.array(counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made], [*keep, "fp", "node", "shingles"])
+
+    return map_batches(docs.select(*keep, "text"), compute, schema)
+
+
+def _with_sets(texts: DataFrame, size: int, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` and ``set``, the distinct shingles as bytes of eight each."""
+    schema = StructType([*texts.select(*keep).schema.fields, StructField("set", BinaryType())])
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", 4 << 20):
+                sets = [set_of(shingle_hashes(t or "", size, 42)).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(sets, pa.binary())], [*keep, "set"])
+
+    return map_batches(texts.select(*keep, "text"), compute, schema)
+
+
+def similar_links(
+    ids: np.ndarray, fps: np.ndarray, sets: Sequence[bytes], left: np.ndarray, right: np.ndarray, radius: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links between ``left`` and ``right`` (rows) within ``radius`` bits and with a Jaccard similarity of 0.8, as a forest.
+
+    A pair that checked links already join is not checked again.
+    """
+    order = np.unique(np.concatenate([left, right]))
+    counts = np.array([len(sets[n]) // 8 for n in order], "i8")
+    ends = np.cumsum(counts)
+    distinct, flat = np.unique(np.frombuffer(b"".join(sets[n] for n in order), "u8"), return_inverse=True)
+    mark = np.zeros(len(distinct), bool)
+    fps, left, right = fps[order], np.searchsorted(order, left), np.searchsorted(order, right)
+    same = np.array_equal(left, right)
+    label = np.arange(len(order))
+    a, b = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+    for i in left.tolist():
+        others = right[right > i] if same else right
+        small, large = np.minimum(counts[others], counts[i]), np.maximum(counts[others], counts[i])
+        # No pair can share more than the smaller set.
+        others = others[(label[others] != label[i]) & (small > 0) & (5 * small >= 4 * large)]
+        others = others[np.bitwise_count(fps[others] ^ fps[i]).sum(axis=1) <= radius] if len(others) else others
+        if not len(others):
+            continue
+        mine = flat[ends[i] - counts[i] : ends[i]]
+        mark[mine] = True
+        for at in range(0, len(others), 256):
+            some = others[at : at + 256]
+            some = some[label[some] != label[i]]
+            if not len(some):
+                continue
+            held = counts[some]
+            starts = np.cumsum(held) - held
+            places = np.repeat(ends[some] - held - starts, held) + np.arange(held.sum())
+            shared = np.add.reduceat(mark[flat[places]], starts, dtype="i8")
+            linked = some[5 * shared >= 4 * (held + counts[i] - shared)]
+            if len(linked):
+                a.append(np.full(len(linked), ids[order[i]]))
+                b.append(ids[order[linked]])
+                joined = np.unique(np.append(label[linked], label[i]))
+                label[np.isin(label, joined)] = joined[0]
+        mark[mine] = False
+    return _forest(np.concatenate(a), np.concatenate(b))
+
+
+def _checked(candidates: DataFrame, radius: int, block: int) -> DataFrame:
+    """Links (a, b) among ``candidates`` (node, root, fp, set, shingles) that hold against their sets, inside each root.
+
+    A root with more than ``block`` shingles is dealt out in blocks, each pair of which is compared
+    by one task; small roots share tasks. Each pair of blocks gives a forest.
+    """
+    weight = F.sum(F.col("shingles") + 64)
+    roots = stored(candidates.groupBy("root").agg(weight.alias("weight")), "roots")
+    large = roots.filter(F.col("weight") > block).select("root", F.ceil(F.col("weight") / block).cast("int").alias("blocks"))
+    total = roots.filter(F.col("weight") <= block).agg(F.sum("weight")).head()[0] or 0
+    units = max(1, -(-total // block))
+    dealt = candidates.join(F.broadcast(large), "root", "left")
+    is_large = F.col("blocks").isNotNull()
+    mine = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.lit(0))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    unit = F.when(is_large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(units)))
+    sent = dealt.select("node", "root", "fp", "set", is_large.alias("large"), unit.alias("unit"), mine.alias("tile"), other.alias("other"))
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        low, high = key[2].as_py(), key[3].as_py()
+        ids, roots = rows.column("node").to_numpy(), rows.column("root").to_numpy()
+        flat = pa.concat_arrays([c.flatten() for c in rows.column("fp").chunks]).to_numpy()
+        fps, tile_of = flat.view("u8").reshape(len(ids), -1), rows.column("tile").to_numpy()
+        sets = rows.column("set").to_pylist()
+        order = np.argsort(roots, kind="stable")
+        out = []
+        for of_root in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
+            left, right = of_root[tile_of[of_root] == low], of_root[tile_of[of_root] == high]
+            if len(left) and len(right):
+                out.append(similar_links(ids, fps, sets, left, right, radius))
+        a, b = (np.concatenate([np.zeros(0, "i8"), *[x[side] for x in out]]) for side in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    ship(candidates.sparkSession)
+    pair = [F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")]
+    return sent.groupBy("large", "unit", *pair).applyInArrow(compare, "a long, b long")
+
+
+def one_of_each_group(docs: DataFrame, size: int = 5, lanes: int = 4, radius: int = 51, block: int = BLOCK) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with the smallest doc_id, then text hash.
 
-    Texts are alike if at least 0.8 of the bits of their fingerprints over ``size``-word shingles agree
-    (51 of 256 may differ). Two texts with a Jaccard similarity of 0.8 over their shingles differ in 39 bits on
-    average, with a deviation of 6. A group is whatever such links hold together. Null and blank texts are alike.
-    Of repeated rows with one id and text one stays. Fingerprints are narrow; the wide rows are shuffled once.
+    Two texts are alike if the Jaccard similarity of their sets of ``size``-word shingles is at least 0.8. Fingerprints only
+    find the candidates: pairs with at most ``radius`` of 256 differing bits. A similarity of 0.8 gives 39 such bits on
+    average, with a deviation of 6, so a few pairs at 0.8 are no candidates. A group is whatever
+    checked links hold together. Null and blank texts are alike. Of repeated rows with one id and text one stays.
+
+    Texts with one set of shingles are one node. Candidate pairs are first joined to components; only the nodes of these
+    have their sets formed (of one text each) and compared, block by block. Wide rows are shuffled twice.
     """
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__text": F.xxhash64("text")})
-    prints = stored(fingerprints(keyed, size, lanes, keep=("doc_id", "__id", "__text")), "simhash")
-    groups = near_duplicate_groups(prints, radius, fields=1, width=26)
-    winners = groups.groupBy("root").agg(F.min(F.struct("doc_id", "__text", "__id")).alias("w")).select("w.__id", "w.__text")
+    prints = stored(_set_prints(keyed, size, lanes, keep=("doc_id", "__id", "__text")), "simhash")
+    first = F.min(F.struct("doc_id", "__text", "__id")).alias("w")
+    nodes = stored(prints.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("shingles").alias("shingles")), "fingerprints")
+    found = connected_components(near_links(nodes.select("node", "fp"), radius, fields=1, width=26))
+    wanted = stored(nodes.join(found, "node").select("node", "root", "fp", "shingles", "w.__id", "w.__text"), "candidates")
+    texts = keyed.select("__id", "__text", "text").join(wanted, ["__id", "__text"]).dropDuplicates(["__id", "__text"])
+    sets = _with_sets(texts, size, keep=("node", "root", "fp", "shingles"))
+    roots = connected_components(_checked(stored(sets, "sets"), radius, block))
+    labelled = nodes.select("node", "w").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    winners = labelled.groupBy("root").agg(F.min("w").alias("w")).select("w.__id", "w.__text")
     kept = keyed.join(winners, ["__id", "__text"]).dropDuplicates(["__id", "__text"])
     return kept.select(*docs.columns)
 
