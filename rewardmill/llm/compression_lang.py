@@ -25,6 +25,8 @@ UNKNOWN = "und"
 #: Documents per language whose texts may enter its dictionary, and bytes of a dictionary.
 SAMPLED = 200
 DICTIONARY_BYTES = 48 * 1024
+#: Bytes of the pieces by which a text enters that is longer than its share.
+PIECE = 64
 #: Bytes that are compressed at a time, so that all of a long text is measured against the dictionary.
 BLOCK = 4096
 #: Blanks after every block. A compressor stores a block as it is when it saves too little; these always save enough.
@@ -68,6 +70,17 @@ def is_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
+def spread(text: bytes, room: int) -> bytes:
+    """At most ``room`` bytes of a normalised text: the whole, or pieces from the middles of equal parts of it."""
+    if len(text) <= room:
+        return text
+    n = max(1, room // PIECE)
+    width = room // n
+    starts = [(2 * i + 1) * len(text) // (2 * n) - width // 2 for i in range(n)]
+    # The last byte of each piece is a blank, so that pieces do not join into one word.
+    return b"".join(text[max(0, at) : max(0, at) + width - 1].decode(errors="ignore").encode() + b" " for at in starts if width)
+
+
 def fit_languages(docs: DataFrame, sampled: int = SAMPLED, dictionary_bytes: int = DICTIONARY_BYTES) -> LanguageModel:
     """A dictionary for every non-null ``lang`` of ``docs`` (doc_id, text, lang).
 
@@ -106,7 +119,7 @@ def fit_languages(docs: DataFrame, sampled: int = SAMPLED, dictionary_bytes: int
         parts = sorted({p for p in parts if p}, key=lambda p: (len(p), p))
         content, room = [], dictionary_bytes
         for done, p in enumerate(parts):
-            content.append(p[: room // (len(parts) - done)].decode(errors="ignore").encode())
+            content.append(spread(p, room // (len(parts) - done)))
             room -= len(content[-1])
         if b"".join(content).strip():
             made[lang] = b"".join(content)
