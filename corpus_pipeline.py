@@ -19,6 +19,8 @@ from rewardmill.llm.token_queries import tokenizer_file
 
 #: Share of all tokens that the mixing stage keeps.
 MIX_KEEP = 0.7
+#: Not the seed of the quality stage: both hash the document id, and one number must not decide twice.
+MIX_SEED = 1
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to the target weights of sources, languages and topics."""
-    return mix(docs, MIX_KEEP).filter("kept").select(*docs.columns)
+    return mix(docs, MIX_KEEP, seed=MIX_SEED).filter("kept").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
