@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -61,6 +61,16 @@ def completed_groups(
     )
 
 
+def _held(checkpoint: str, slot: int | str) -> str:
+    return f"{checkpoint}-held/{slot}"
+
+
+def close_batches(spark: SparkSession, checkpoint: str, aside: Callable[[DataFrame, int], None]) -> None:
+    """Give ``aside`` the rows that ``score_batches`` still holds, under the number after its last batch."""
+    last = spark.read.parquet(_held(checkpoint, "last")).head()[0]
+    aside(spark.read.parquet(_held(checkpoint, last % 2)).drop("__seen"), last + 1)
+
+
 def score_batches(
     rollouts: DataFrame,
     rewards: Sequence[Reward],
@@ -68,15 +78,42 @@ def score_batches(
     sink: Callable[[DataFrame, int], None],
     checkpoint: str,
     group_keys: Sequence[str] = GROUP_KEYS,
+    generations: int | None = None,
+    aside: Callable[[DataFrame, int], None] | None = None,
+    patience: int = 10,
     **options,
 ) -> StreamingQuery:
-    """Score every micro-batch as a table, batch rewards and advantages included.
+    """Score arriving groups as tables, batch rewards and advantages included.
+
+    ``sink`` gets the scored rows and the batch number; writing by that number makes a repeated batch harmless.
 
-    For sources that deliver whole steps at a time. ``sink`` gets the scored rows
-    and the batch number; writing by that number makes a repeated batch harmless.
+    With ``generations`` a group is scored once it has that many rows; until then its rows are held in a table beside the
+    checkpoint. ``aside`` gets, unscored, groups that outgrow it in one batch or have had no new row for
+    ``patience`` batches; ``close_batches`` gives it what is held when the stream is over. Rows that come after their
+    group was scored are held like a new group. Without ``generations`` every micro-batch is scored
+    alone, which is right only for sources that deliver whole groups at a time.
     """
+    if generations is not None and aside is None:
+        raise ValueError("held groups may stay short: pass aside=")
+
     def run(batch: DataFrame, number: int) -> None:
-        sink(with_advantages(score(batch, rewards, weights, **options), group_keys), number)
+        if generations is None:
+            sink(with_advantages(score(batch, rewards, weights, **options), group_keys), number)
+            return
+        spark = batch.sparkSession
+        rows = batch.withColumn("__seen", F.lit(number))
+        if number:
+            # Two slots in turn: a repeated batch finds what the one before it left.
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(_held(checkpoint, (number - 1) % 2)))
+        group = Window.partitionBy(*group_keys)
+        rows = rows.withColumns({"__size": F.count(F.lit(1)).over(group), "__last": F.max("__seen").over(group)}).persist()
+        waits = (F.col("__size") < generations) & (F.col("__last") > number - patience)
+        whole = F.col("__size") == generations
+        rows.filter(waits).select(*batch.columns, "__seen").write.mode("overwrite").parquet(_held(checkpoint, number % 2))
+        spark.range(number, number + 1).write.mode("overwrite").parquet(_held(checkpoint, "last"))
+        sink(with_advantages(score(rows.filter(whole).select(*batch.columns), rewards, weights, **options), group_keys), number)
+        aside(rows.filter(~waits & ~whole).select(*batch.columns), number)
+        rows.unpersist()
 
     return (
         rollouts.writeStream.foreachBatch(run)
