@@ -1,11 +1,14 @@
 """A training-data pipeline over ``documents`` in five stages.
 
 Each stage takes (spark, docs, sf_dir) and decides on all its predecessor kept. All but
-the last return the columns of ``documents``; the last returns packed token sequences.
+the last return the columns of ``documents``; the last returns packed token sequences. Further columns, whatever their names, go
+through the first four stages unchanged and do not reach the last. An empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,27 +26,41 @@ MIX_KEEP = 0.7
 MIX_SEED = 1
 
 
+#: The columns that stages read.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def carrying(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` of ``docs`` with its other columns under names that no stage uses, and given back as they were."""
+    aside = {c: f"carried_{n}" for n, c in enumerate(docs.columns) if c.lower() not in READ}
+    out = stage(docs.withColumnsRenamed(aside))
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by importance resampling; those unlike good labelled text go, as do texts without a word."""
+    """Documents drawn by importance resampling; those unlike good labelled text go, as do null texts and texts without a word."""
     ratio, _, least = select_quality(docs, table(spark, sf_dir, "labels"))
-    weighed = with_log_weight(docs, ratio, "__weight")
-    return weighed.filter(drawn(F.col("__weight"), F.col("doc_id"), least)).select(*docs.columns)
+
+    def stage(rows: DataFrame) -> DataFrame:
+        return with_log_weight(rows, ratio, "weight").filter(drawn(F.col("weight"), F.col("doc_id"), least))
+
+    return carrying(docs, stage)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear from compression; texts without a letter or with a narrow margin go."""
-    clear = identify_languages(docs, fit_languages(docs)).filter(~F.col("rejected"))
-    return clear.select(*docs.columns)
+    """Documents whose language is clear from compression; null texts, texts without a letter or with a narrow margin go."""
+    languages = fit_languages(docs)
+    return carrying(docs, lambda rows: identify_languages(rows, languages).filter(~F.col("rejected")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates; null and blank texts are one group."""
     return one_of_each_group(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the target weights of sources, languages and topics."""
-    return mix(docs, MIX_KEEP, seed=MIX_SEED).filter("kept").select(*docs.columns)
+    """Documents sampled to the target weights of sources, languages and topics; a null is a value of its own."""
+    return carrying(docs, lambda rows: mix(rows, MIX_KEEP, seed=MIX_SEED).filter("kept"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
 
 from rewardmill.plans import oracle as o
 from rewardmill.plans import scoring_queries as sq
 from rewardmill.plans import views as v
 from rewardmill.registry import PRESETS
 from rewardmill.session import scratch_path
+from rewardmill.streaming import keyed as kd
 from rewardmill.streaming import metrics as sm
 from rewardmill.streaming import scores as ss
 from rewardmill.streaming.closing import run_to_the_end, with_closing
@@ -17,6 +22,7 @@ from rewardmill.streaming.closing import run_to_the_end, with_closing
 KEY = list(v.ROLLOUT_KEY)
 ROW_PRESET = PRESETS["deepscaler"]
 GROUP_SIZE = 4
+SETTLED_SIZE = 8
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,7 +97,54 @@ def stream_metric_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _deliver(start: Callable[[DataFrame], StreamingQuery], spark: SparkSession, rows: DataFrame, parts: int, part: Column, closing: str) -> None:
+    """Write one delivery after another and run the query over each; then close its groups."""
+    path = scratch_path(spark, "deliveries")
+    spark.createDataFrame([], rows.schema).write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    for n in range(parts):
+        rows.filter(part == n).write.mode("append").parquet(path)
+        start(stream).awaitTermination()
+    run_to_the_end(lambda: start(stream), stream, closing)
+
+
+def stream_settled_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as the responses to one prompt, in two deliveries: full groups, short ones, and what comes later."""
+    kd.use_keyed_state(spark)
+    orders = v.table(spark, sf_dir, "orders")
+    rows = orders.select(
+        F.col("o_custkey").alias("prompt_id"), F.col("o_orderkey").alias("response"), F.col("o_totalprice").cast("double").alias("reward"),
+        F.timestamp_seconds(F.col("o_orderkey") % 1000).alias("ts"),
+    )
+    out, offsets, closing = (scratch_path(spark, n) for n in ("settled", "offsets", "closing"))
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        groups = kd.settled_groups(with_closing(stream, closing), SETTLED_SIZE, ["prompt_id"], ["response"], late="1 hour")
+        return ss.append_to(groups, out, offsets)
+
+    _deliver(start, spark, rows, 2, F.pmod("response", F.lit(2)), closing)
+    return spark.read.parquet(out).select("prompt_id", "response", "outcome", "group_size", *v.rounded("group_mean", "group_std"))
+
+
+def stream_settled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly means over three deliveries, the second of old events: windows and late rows together."""
+    kd.use_keyed_state(spark)
+    metrics = v.metrics(spark, sf_dir).select("run_id", "name", "ts", "value")
+    out, offsets, closing = (scratch_path(spark, n) for n in ("windows", "offsets", "closing"))
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        return ss.append_to(kd.settled_windows(with_closing(stream, closing)), out, offsets)
+
+    _deliver(start, spark, metrics, 3, F.pmod(F.crc32(F.col("run_id").cast("string").cast("binary")), F.lit(3)), closing)
+    settled = spark.read.parquet(out)
+    total, n = F.sum(F.col("value") * F.col("n_values")), F.sum("n_values")
+    merged = settled.groupBy("window_start", "run_id", "name").agg((total / F.nullif(n, F.lit(0))).alias("value"), n.alias("n_values"))
+    return merged.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "run_id", "name", *v.rounded("value"), "n_values")
+
+
 QUERIES = {
+    "stream_settled_groups": stream_settled_groups,
+    "stream_settled_windows": stream_settled_windows,
     "stream_scores": stream_scores,
     "stream_completed_groups": stream_completed_groups,
     "stream_batch_advantages": stream_batch_advantages,
@@ -103,6 +156,19 @@ _STILL = (
 )
 
 ORACLES = {
+    "stream_settled_groups": f"""
+SELECT prompt_id, response, outcome, count(*) OVER g AS group_size, {o.r('avg(reward) OVER g', 'group_mean')},
+       {o.r('stddev_samp(reward) OVER g', 'group_std')}
+FROM (SELECT *, CASE WHEN size < {SETTLED_SIZE} THEN 'short' WHEN place <= {SETTLED_SIZE} THEN 'complete' ELSE 'extra' END AS outcome,
+        CASE WHEN place > {SETTLED_SIZE} THEN delivery ELSE -1 END AS part
+      FROM (SELECT o_custkey AS prompt_id, o_orderkey AS response, o_totalprice::DOUBLE AS reward, o_orderkey % 2 AS delivery,
+                   count(*) OVER (PARTITION BY o_custkey) AS size,
+                   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 2, o_orderkey) AS place FROM orders))
+WINDOW g AS (PARTITION BY prompt_id, outcome, part)""",
+    "stream_settled_windows": f"""
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id AS run_id, event_type AS name,
+       {o.r('avg(value)', 'value')}, count(value) AS n_values
+FROM events GROUP BY 1, 2, 3""",
     "stream_scores": sq.ORACLES["score_preset_format_accuracy"],
     "stream_completed_groups": o.with_ctes(
         f"""SELECT prompt_id, count(*) AS group_size, {o.r('avg(reward)', 'group_mean')},

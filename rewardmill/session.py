@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +71,17 @@ def released_later(kept: DataFrame) -> DataFrame:
     return kept
 
 
+def drop_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove scratch tables by path; other paths are left alone."""
+    jvm = spark.sparkContext._jvm
+    wanted = {jvm.org.apache.hadoop.fs.Path(p).toUri().getPath() for p in paths}
+    for known in list(_scratch):
+        path = jvm.org.apache.hadoop.fs.Path(known)
+        if path.toUri().getPath() in wanted:
+            _scratch.remove(known)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Free what operators have kept for results that are no longer needed: persisted and scratch tables.
 
