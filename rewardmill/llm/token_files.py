@@ -5,6 +5,7 @@ executor leaves no half-written part and any store that Spark reaches will do.
 Its rows are blocks of whole documents in ascending order of their id:
 
     shard, block        place of the block; ascending (shard, block) is document order
+    before              number of ids of its shard before it
     doc_ids             bigint array, in order
     counts              number of ids of each document
     payload             binary, little-endian:
@@ -25,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rewardmill.llm.common import map_batches, pieces
@@ -36,7 +37,25 @@ LAYOUTS = ((1, 60), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7)
 STRIDE = 256
 BLOCK_BYTES = 1 << 18
 _LONGEST = 60
-SCHEMA = "shard int, block int, doc_ids array<bigint>, counts array<bigint>, payload binary"
+SCHEMA = "shard int, block int, before bigint, doc_ids array<bigint>, counts array<bigint>, payload binary"
+
+
+def _reached(steps: np.ndarray) -> np.ndarray:
+    """The places that a walk from 0 stops at, where ``steps[i]`` is the step from place i.
+
+    Walks of 2, 4, 8 ... steps from every place; then the places known so far are joined by those a walk of half the length leads to.
+    """
+    n = len(steps)
+    if not n:
+        return np.zeros(0, "i8")
+    jumps = [np.append(np.minimum(np.arange(n) + steps, n), n)]
+    while jumps[-1][0] < n:
+        jumps.append(jumps[-1][jumps[-1]])
+    places = np.zeros(1, "i8")
+    for jump in reversed(jumps):
+        places = np.concatenate([places, jump[places]])
+        places = places[places < n]
+    return np.sort(places)
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -63,12 +82,7 @@ def pack(ids: np.ndarray) -> bytes:
             widest[half] = joined
             have.append(half)
         selector[widest[count][:n] <= width] = s
-    steps = np.array([count for count, _ in LAYOUTS])[selector].tolist()
-    places, at = [], 0
-    while at < n:
-        places.append(at)
-        at += steps[at]
-    firsts = np.array(places, "i8")
+    firsts = _reached(np.array([count for count, _ in LAYOUTS])[selector])
     chosen = selector[firsts] if n else np.zeros(0, "u1")
     words = chosen.astype("u8") << np.uint64(60)
     for s in np.unique(chosen):
@@ -115,7 +129,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        coder, block, shard = encoder(tokenizer), 0, None
+        coder, block, shard, before = encoder(tokenizer), 0, None, 0
         for batch in batches:
             for part in pieces(batch, "text", 8 << 20):
                 shard = part.column("shard")[0].as_py() if shard is None else shard
@@ -126,23 +140,26 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
                 body[ends - 1] = False
                 whole[body] = ids
                 doc_ids = part.column("doc_id").to_pylist()
-                rows, first = [], 0
+                rows, starts, first = [], [], 0
                 while first < len(doc_ids):
                     done = int(ends[first - 1]) if first else 0
                     last = max(first + 1, int(np.searchsorted(ends, done + BLOCK_BYTES // 4, "right")))
+                    starts.append(before + done)
                     rows.append((doc_ids[first:last], (counts[first:last] + 1).tolist(), pack(whole[done : ends[last - 1]])))
                     first = last
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([shard] * len(rows), pa.int32()),
                         pa.array(range(block, block + len(rows)), pa.int32()),
+                        pa.array(starts, pa.int64()),
                         pa.array([r[0] for r in rows], pa.list_(pa.int64())),
                         pa.array([r[1] for r in rows], pa.list_(pa.int64())),
                         pa.array([r[2] for r in rows], pa.binary()),
                     ],
-                    ["shard", "block", "doc_ids", "counts", "payload"],
+                    ["shard", "block", "before", "doc_ids", "counts", "payload"],
                 )
                 block += len(rows)
+                before += len(whole)
 
     ordered = (
         docs.select(F.col("doc_id").cast("long"), "text")
@@ -156,17 +173,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
 def read_token_files(files: DataFrame) -> DataFrame:
     """One row per document of a file set: doc_id, start (ids of all documents before it), n_tokens, ids.
 
-    ``ids`` is binary: unsigned 32-bit little-endian numbers. The starts of blocks come
-    from the counts alone: sums within a shard, then sums over the few shards.
+    ``ids`` is binary: unsigned 32-bit little-endian numbers. A block holds its start in its shard; only
+    one number for each shard (a task of the writer) is summed up in the driver and sent to the readers, and no block moves.
     """
-    sizes = files.select("shard", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids_in_block"))
-    shards = sizes.groupBy("shard").agg(F.sum("ids_in_block").alias("ids_in_shard"))
-    before_shard = shards.select(
-        "shard", F.coalesce(F.sum("ids_in_shard").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_shard")
-    )
-    in_shard = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("before_block", F.coalesce(F.sum("ids_in_block").over(in_shard), F.lit(0))).join(before_shard, "shard")
-    placed = files.join(starts.select("shard", "block", (F.col("before_shard") + F.col("before_block")).alias("before")), ["shard", "block"])
+    size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    totals = files.groupBy("shard").agg(F.max(F.col("before") + size).alias("ids")).orderBy("shard").collect()
+    starts, reached = [], 0
+    for row in totals:
+        starts.append((row.shard, reached))
+        reached += row.ids
+    shards = files.sparkSession.createDataFrame(starts, "shard int, before_shard long")
+    placed = files.join(F.broadcast(shards), "shard").withColumn("before", F.col("before") + F.col("before_shard"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:

@@ -18,9 +18,12 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct parts that a worker remembers; beyond it the memory starts afresh (speed only).
-REMEMBERED = 1_000_000
-_JOINED = 1_000
+#: Bytes that a worker spends on remembered parts (about 250 for a usual one), in two generations: when the younger
+#: is full it becomes the older, and the older goes but for parts that were used again. Speed only.
+REMEMBERED = 160 << 20
+#: Longer parts are encoded each time.
+_LONG = 64
+_JOINED = 100
 _CUT = re.compile(r" (?=[\w!-~])")
 _encoders: dict[str, "Encoder"] = {}
 
@@ -44,6 +47,11 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        if not os.path.exists(path):
+            # The driver's folder need not be the worker's.
+            import public_tokenizers
+
+            path = public_tokenizers.path(os.path.basename(path))
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -51,12 +59,15 @@ class Encoder:
         for token, number in vocabulary.items():
             self.widths[number] = len(token)
         self.inner: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.spent = 0
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _remember(self, words: list[str]) -> None:
+    def _encoded(self, words: list[str]) -> list[bytes]:
         """Encode blank + word for many words in one text; token widths in bytes tell where a word ends."""
+        out: list[bytes] = []
         for at in range(0, len(words), _JOINED):
             some = [" " + w for w in words[at : at + _JOINED]]
             ids = self._ids(["".join(some)])[0]
@@ -65,9 +76,26 @@ class Encoder:
             cuts = np.searchsorted(reached, ends)
             if np.array_equal(reached[cuts], ends):
                 raw, starts = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
-                self.inner.update(zip(words[at : at + _JOINED], [raw[a:b] for a, b in zip(starts, starts[1:])]))
+                out += [raw[a:b] for a, b in zip(starts, starts[1:])]
             else:
-                self.inner.update(zip(words[at : at + _JOINED], [x.tobytes() for x in self._ids(some)]))
+                out += [x.tobytes() for x in self._ids(some)]
+        return out
+
+    def _coded(self, words: list[str]) -> list[bytes]:
+        """Ids of blank + word for distinct words, remembered or encoded now."""
+        out = list(map(self.inner.get, words))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        for i in missing:
+            out[i] = self.older.get(words[i])
+        fresh = [i for i in missing if out[i] is None]
+        for i, ids in zip(fresh, self._encoded([words[i] for i in fresh])):
+            out[i] = ids
+        kept = [i for i in missing if len(words[i]) <= _LONG]
+        self.inner.update((words[i], out[i]) for i in kept)
+        self.spent += sum(220 + len(words[i]) + len(out[i]) for i in kept)
+        if self.spent > REMEMBERED // 2:
+            self.inner, self.older, self.spent = {}, self.inner, 0
+        return out
 
     def _parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All parts of all texts, each but a text's first without its blank, and the number of each text's parts."""
@@ -84,15 +112,12 @@ class Encoder:
             return self._mixed(texts, odd)
         words, counts = self._parts(texts)
         index = words.dictionary_encode()
-        distinct = index.dictionary.to_pylist()
-        if len(self.inner) > REMEMBERED:
-            self.inner.clear()
-        self._remember([w for w in distinct if w not in self.inner])
+        distinct = index.dictionary.to_numpy(zero_copy_only=False).tolist()
         firsts_at = np.cumsum(counts) - counts
         where = index.indices.to_numpy().astype("i8")
         first = words.take(pa.array(firsts_at)).dictionary_encode()
         where[firsts_at] = len(distinct) + first.indices.to_numpy()
-        coded = [self.inner[w] for w in distinct] + [x.tobytes() for x in self._ids(first.dictionary.to_pylist())]
+        coded = self._coded(distinct) + [x.tobytes() for x in self._ids(first.dictionary.to_pylist())]
         lengths = np.fromiter(map(len, coded), "i8", len(coded)) // 4
         flat = np.frombuffer(b"".join(coded), "u4")
         starts = np.cumsum(lengths) - lengths
@@ -106,8 +131,9 @@ class Encoder:
         rows: list[np.ndarray] = []
         for text in texts.filter(pa.array(odd)).to_pylist():
             head, *rest = _CUT.split(text)
-            self._remember([w for w in dict.fromkeys(rest) if w not in self.inner])
-            rows.append(np.concatenate([*self._ids([head]), np.frombuffer(b"".join([self.inner[w] for w in rest]), "u4")]))
+            distinct = list(dict.fromkeys(rest))
+            known = dict(zip(distinct, self._coded(distinct)))
+            rows.append(np.concatenate([*self._ids([head]), np.frombuffer(b"".join([known[w] for w in rest]), "u4")]))
         counts = np.zeros(len(texts), "i8")
         counts[~odd], counts[odd] = plain_counts, [len(r) for r in rows]
         flat = np.concatenate([plain_ids, *rows]).astype("u4")

@@ -115,3 +115,34 @@ def test_queries_against_brute_force(spark, small, tokenizer):
         assert p.doc_tokens == len(ids) and p.length & (p.length - 1) == 0 and p.length <= 2048
         assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
     assert sum(p.length for p in pieces) == sum(map(len, want.values()))
+
+
+def test_remembered_parts_stay_bounded_on_both_ways(monkeypatch):
+    """Plain texts and texts with double blanks: the memory turns over, and ids stay those of the library."""
+    import pyarrow as pa
+
+    from rewardmill.llm import tokens
+    from rewardmill.llm.token_queries import tokenizer_file
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 60_000)
+    for blanks in (" ", "  "):
+        coder = tokens.Encoder(tokenizer_file())
+        for turn in range(12):
+            words = [f"part{turn}x{i}" for i in range(200)] + ["common"] * 3 + ["l" * 500]
+            texts = [" ".join(words), f"a{blanks}b " + " ".join(words)]
+            ids, counts = coder.encode(pa.array(texts if blanks == " " else texts[1:]))
+            want = [e.ids for e in coder.tokenizer.encode_batch_fast(texts if blanks == " " else texts[1:], add_special_tokens=False)]
+            assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+            assert len(coder.inner) + len(coder.older) < 600
+            assert not any(len(w) > 64 for w in coder.inner)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_places_of_a_walk(seed):
+    steps = np.random.default_rng(seed).integers(1, 9, 500)
+    places, at = [], 0
+    while at < len(steps):
+        places.append(at)
+        at += int(steps[at])
+    assert token_files._reached(steps).tolist() == places
+    assert token_files._reached(steps[:0]).tolist() == []
