@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 import rewardmill
-from rewardmill.session import scratch_path
+from rewardmill.session import drop_scratch, scratch_path
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(rewardmill.__file__)))
 
@@ -42,6 +43,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def superseded(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more: their successors are written."""
+    for df in tables:
+        drop_scratch(df.sparkSession, {os.path.dirname(f) for f in df.inputFiles()})
+
+
+#: Bits of a membership map: at most 2^19 rows of 64 bits, whatever it is made of.
+MAP_BITS = 1 << 25
+
+
+def map_of(keys: DataFrame, key: str) -> DataFrame:
+    """A bounded map of the hashes ``key`` (bigint) of a table, for ``maybe_in``: (word, bits)."""
+    place = F.pmod(F.col(key), F.lit(MAP_BITS))
+    return keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))")).alias("bits"))
+
+
+def maybe_in(rows: DataFrame, key: Column, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose hash ``key`` may be in the map ``members``, and those whose hash is surely not.
+
+    The map has a fixed largest size, so it can be sent to every task. Where it fills up, more rows are only
+    called possible; an exact join of the first part must follow.
+    """
+    marked = rows.select(F.struct("*").alias("row"), key.alias("key"))
+    known = F.broadcast(members.select(F.col("word").alias("known_word"), "bits"))
+    joined = marked.join(known, F.shiftright(F.pmod("key", F.lit(MAP_BITS)), 6) == F.col("known_word"), "left")
+    hit = F.coalesce(F.expr("getbit(bits, cast(pmod(key, 64) as int)) = 1"), F.lit(False))
+    return joined.filter(hit).select("row.*"), joined.filter(~hit).select("row.*")
+
+
 def pieces(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``max_bytes`` of text; a longer text stays whole."""
     ends = utf8(batch.column(column))[1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rewardmill.llm.common import stored
+from rewardmill.llm.common import stored, superseded
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -31,7 +31,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         # Lesser neighbours: each link seen from its greater end.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        done = edges
         edges = stored(small.filter("a <> b").distinct(), "links")
+        superseded(done)
         now = edges.agg(
             F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("a", "b"))
         ).head()

@@ -13,20 +13,25 @@ The corpus stage takes what is found as candidates and checks them against their
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from rewardmill.llm.common import map_batches, pieces, ship, stored
+from rewardmill.llm.common import map_batches, map_of, maybe_in, pieces, ship, stored, superseded
 from rewardmill.llm.components import connected_components
 
 #: Fingerprints that a task holds of either side.
 TILE = 1 << 17
+#: Size classes of sets: so many for a factor of e in size; sizes that allow a Jaccard similarity of 0.8 differ by a factor of 1.25 at most.
+CLASSES_A_UNIT = 20
+CLASSES_APART = 5
+#: Units that small components are dealt to at least.
+LEAST_UNITS = 64
 #: Shingles (and 64 for each text) of either side that a task holds when it checks candidates.
 BLOCK = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]+")
@@ -128,16 +133,20 @@ def near_pairs(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return np.concatenate(left), np.concatenate(right)
 
 
-def tile_links(ids: np.ndarray, fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, fields: int, width: int):
+def tile_links(
+    ids: np.ndarray, fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, fields: int, width: int, sizes: np.ndarray | None = None
+):
     """Links between the rows of two large tiles (``left`` and ``right``: their rows), as a forest.
 
+    With ``sizes`` (of sets) a pair links only if they allow a Jaccard similarity of 0.8.
+
     Inside, rows lie in small tiles by the numbers of set bits in ``fields`` equal parts of
     their bits, in steps of ``width``; pairs of these whose counts differ by more than ``radius`` are skipped.
     """
 
     def small_tiles(rows: np.ndarray):
-        per_bit = np.unpackbits(fps[rows].astype(">u8").view("u1").reshape(len(rows), -1), axis=1)
-        counts = per_bit.reshape(len(rows), fields, -1).sum(axis=2, dtype="i4") // width
+        per_byte = np.bitwise_count(fps[rows].astype(">u8").view("u1").reshape(len(rows), fields, -1))
+        counts = per_byte.sum(axis=2, dtype="i4") // width
         cells, at = np.unique(counts, axis=0, return_inverse=True)
         order = np.argsort(at, kind="stable")
         ends = np.cumsum(np.bincount(at, minlength=len(cells)))
@@ -152,12 +161,22 @@ def tile_links(ids: np.ndarray, fps: np.ndarray, left: np.ndarray, right: np.nda
         some_x = rows_x[ends_x[x - 1] if x else 0 : ends_x[x]]
         some_y = rows_y[ends_y[y - 1] if y else 0 : ends_y[y]]
         i, j = near_pairs(fps[some_x], fps[some_y], radius)
-        i, j = ids[some_x[i]], ids[some_y[j]]
+        i, j = some_x[i], some_y[j]
+        if sizes is not None:
+            alike = _sizes_allow(sizes[i], sizes[j])
+            i, j = i[alike], j[alike]
+        i, j = ids[i], ids[j]
         a.append(i[i != j])
         b.append(j[i != j])
     return _forest(np.concatenate(a), np.concatenate(b))
 
 
+def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can have a Jaccard similarity of 0.8: no pair shares more than the smaller set."""
+    small, large = np.minimum(a, b), np.maximum(a, b)
+    return (small > 0) & (5 * small >= 4 * large)
+
+
 def set_of(hashes: np.ndarray) -> np.ndarray:
     """The distinct shingles of a text, in order."""
     return np.unique(hashes)
@@ -245,34 +264,50 @@ def similar_links(
     return _forest(np.concatenate(a), np.concatenate(b))
 
 
+def _size_class(size: Column) -> Column:
+    """Sets whose sizes allow a Jaccard similarity of 0.8 are at most ``CLASSES_APART`` classes apart."""
+    return F.floor(F.log(F.greatest(size, F.lit(1))) * CLASSES_A_UNIT).cast("int")
+
+
 def _checked(candidates: DataFrame, radius: int, block: int) -> DataFrame:
     """Links (a, b) among ``candidates`` (node, root, fp, set, shingles) that hold against their sets, inside each root.
 
-    A root with more than ``block`` shingles is dealt out in blocks, each pair of which is compared
-    by one task; small roots share tasks. Each pair of blocks gives a forest.
+    A root with more than ``block`` shingles is cut into blocks along the sizes of its sets, and only pairs of blocks whose sizes allow a
+    link are formed, each in one task; small roots share tasks. Each pair of blocks gives a forest.
     """
     weight = F.sum(F.col("shingles") + 64)
-    roots = stored(candidates.groupBy("root").agg(weight.alias("weight")), "roots")
-    large = roots.filter(F.col("weight") > block).select("root", F.ceil(F.col("weight") / block).cast("int").alias("blocks"))
-    total = roots.filter(F.col("weight") <= block).agg(F.sum("weight")).head()[0] or 0
-    units = max(1, -(-total // block))
-    dealt = candidates.join(F.broadcast(large), "root", "left")
-    is_large = F.col("blocks").isNotNull()
-    mine = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.lit(0))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    unit = F.when(is_large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(units)))
-    sent = dealt.select("node", "root", "fp", "set", is_large.alias("large"), unit.alias("unit"), mine.alias("tile"), other.alias("other"))
+    sized = candidates.withColumn("class", _size_class(F.col("shingles")))
+    classes = stored(sized.groupBy("root", "class").agg(weight.alias("weight")), "classes")
+    roots = classes.groupBy("root").agg(F.sum("weight").alias("whole"))
+    large = classes.join(roots.filter(F.col("whole") > block), "root")
+    blocks = large.select("root", "class", F.ceil(F.col("weight") / block).cast("int").alias("blocks"))
+    others = blocks.select("root", F.col("class").alias("other_class"), F.col("blocks").alias("other_blocks"))
+    partners = blocks.join(others, "root").filter(F.abs(F.col("class") - F.col("other_class")) <= CLASSES_APART)
+    total = roots.filter(F.col("whole") <= block).agg(F.sum("whole")).head()[0] or 0
+    units = max(LEAST_UNITS, -(-total // block))
+    columns = ["node", "root", "fp", "set", "shingles"]
+    mine = F.struct("class", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    split = sized.join(partners, ["root", "class"]).select(*columns, mine.alias("tile"), "other_class", "other_blocks")
+    split = split.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+    other = F.struct(F.col("other_class").alias("class"), "block")
+    whole = F.struct(F.lit(0).alias("class"), F.lit(0).alias("block"))
+    sent = split.select(*columns, F.lit(True).alias("large"), F.col("root").alias("unit"), "tile", other.alias("other"))
+    small = sized.join(roots.filter(F.col("whole") > block).select("root"), "root", "left_anti")
+    sent = sent.unionByName(
+        small.select(*columns, F.lit(False).alias("large"), F.pmod(F.xxhash64("root"), F.lit(units)).alias("unit"), whole.alias("tile"), whole.alias("other"))
+    )
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         low, high = key[2].as_py(), key[3].as_py()
         ids, roots = rows.column("node").to_numpy(), rows.column("root").to_numpy()
         flat = pa.concat_arrays([c.flatten() for c in rows.column("fp").chunks]).to_numpy()
-        fps, tile_of = flat.view("u8").reshape(len(ids), -1), rows.column("tile").to_numpy()
+        fps = flat.view("u8").reshape(len(ids), -1)
+        tile_of = np.array([t == high for t in rows.column("tile").to_pylist()])
         sets = rows.column("set").to_pylist()
         order = np.argsort(roots, kind="stable")
         out = []
         for of_root in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
-            left, right = of_root[tile_of[of_root] == low], of_root[tile_of[of_root] == high]
+            left, right = of_root[~tile_of[of_root] | (low == high)], of_root[tile_of[of_root]]
             if len(left) and len(right):
                 out.append(similar_links(ids, fps, sets, left, right, radius))
         a, b = (np.concatenate([np.zeros(0, "i8"), *[x[side] for x in out]]) for side in (0, 1))
@@ -287,55 +322,92 @@ def one_of_each_group(docs: DataFrame, size: int = 5, lanes: int = 4, radius: in
     """``docs`` with one row of each group of near duplicates: the one with the smallest doc_id, then text hash.
 
     Two texts are alike if the Jaccard similarity of their sets of ``size``-word shingles is at least 0.8. Fingerprints only
-    find the candidates: pairs with at most ``radius`` of 256 differing bits. A similarity of 0.8 gives 39 such bits on
-    average, with a deviation of 6, so a few pairs at 0.8 are no candidates. A group is whatever
-    checked links hold together. Null and blank texts are alike. Of repeated rows with one id and text one stays.
+    find the candidates: pairs with at most ``radius`` of 256 differing bits whose numbers of shingles allow that similarity. A group is
+    whatever checked links hold together. Null and blank texts are alike. Of repeated rows with one id and text one stays. Columns of any
+    name are returned as they are.
 
     Texts with one set of shingles are one node. Candidate pairs are first joined to components; only the nodes of these
-    have their sets formed (of one text each) and compared, block by block. Wide rows are shuffled twice.
+    have their sets formed (of one text each) and compared, block by block. A membership map of fixed size keeps the texts of
+    other documents, and the rows that no group touches, out of the two shuffles of wide rows.
     """
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__text": F.xxhash64("text")})
-    prints = stored(_set_prints(keyed, size, lanes, keep=("doc_id", "__id", "__text")), "simhash")
-    first = F.min(F.struct("doc_id", "__text", "__id")).alias("w")
-    nodes = stored(prints.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("shingles").alias("shingles")), "fingerprints")
-    found = connected_components(near_links(nodes.select("node", "fp"), radius, fields=1, width=26))
-    wanted = stored(nodes.join(found, "node").select("node", "root", "fp", "shingles", "w.__id", "w.__text"), "candidates")
-    texts = keyed.select("__id", "__text", "text").join(wanted, ["__id", "__text"]).dropDuplicates(["__id", "__text"])
-    sets = _with_sets(texts, size, keep=("node", "root", "fp", "shingles"))
-    roots = connected_components(_checked(stored(sets, "sets"), radius, block))
-    labelled = nodes.select("node", "w").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    winners = labelled.groupBy("root").agg(F.min("w").alias("w")).select("w.__id", "w.__text")
-    kept = keyed.join(winners, ["__id", "__text"]).dropDuplicates(["__id", "__text"])
-    return kept.select(*docs.columns)
-
-
-def near_links(nodes: DataFrame, radius: int, fields: int, width: int, tile: int = TILE, least_tiles: int = 8) -> DataFrame:
-    """Links (a, b) that join all rows of ``nodes`` (node bigint, fp array<bigint>) within ``radius`` bits.
-
-    Every row is compared with every other, tile against tile, unless their bit counts
-    rule it out. Nodes are distinct. Each pair of tiles gives a forest, not all its links:
-    components stay the same, and a dense group of m rows gives m links, not m squared.
-    The number of tiles follows the number of rows, so a task holds two tiles at most.
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
+        F.xxhash64("text").alias("digest"), F.col("text").alias("text"),
+    ).withColumn("hash", F.xxhash64("id", "digest"))
+    prints = stored(_set_prints(rows, size, lanes, keep=("doc_id", "id", "digest", "hash")), "simhash")
+    first = F.min(F.struct("doc_id", "digest", "id", "hash")).alias("w")
+    nodes = stored(prints.groupBy("node").agg(first, F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles")), "fingerprints")
+    classed = nodes.select("node", "fp", "shingles", _size_class(F.col("shingles")).alias("class"))
+    found = connected_components(near_links(classed, radius, lambda a, b: abs(a - b) <= CLASSES_APART, fields=1, width=26))
+    wanted = stored(nodes.join(found, "node").select("node", "root", "fp", "shingles", "w.id", "w.digest", "w.hash"), "candidates")
+    possible, _ = maybe_in(rows.select("id", "digest", "hash", "text"), F.col("hash"), map_of(wanted, "hash"))
+    texts = possible.join(wanted.drop("hash"), ["id", "digest"]).dropDuplicates(["id", "digest"])
+    sets = stored(_with_sets(texts, size, keep=("node", "root", "fp", "shingles")), "sets")
+    links = _checked(sets, radius, block)
+    roots = connected_components(links)
+    superseded(found, wanted, sets)
+    labelled = nodes.select("node", "w", "n").join(roots, "node", "left")
+    # Rows of groups, and rows that share a node: of these one stays. All others stay without a look.
+    contested = labelled.filter("root IS NOT NULL OR n > 1").withColumn("root", F.coalesce("root", "node"))
+    winners = contested.groupBy("root").agg(F.min("w").alias("w")).select("w.id", "w.digest")
+    keys = stored(prints.select("node", "id", "digest", "hash").join(contested.select("node"), "node").select("id", "digest", "hash").distinct(), "contested")
+    winners = stored(winners, "winners")
+    superseded(prints, nodes, roots)
+    possible, apart = maybe_in(rows.drop("text"), F.col("hash"), map_of(keys, "hash"))
+    losers = keys.select("id", "digest").join(winners, ["id", "digest"], "left_anti")
+    remaining = possible.join(losers, ["id", "digest"], "left_anti").dropDuplicates(["id", "digest"])
+    return apart.select("row.*").unionByName(remaining.select("row.*"))
+
+
+def near_links(
+    nodes: DataFrame, radius: int, together: Callable[[int, int], bool], fields: int, width: int, tile: int = TILE, least_tiles: int = 8
+) -> DataFrame:
+    """Links (a, b) that join all rows of ``nodes`` (node bigint, fp array<bigint>, class int) within ``radius`` bits.
+
+    Every row is compared with every other, tile against tile, unless their classes rule it out: ``together`` says
+    which can hold a link. Tiles are cut along the classes (few: they are counted in the driver), a large class into
+    several by hash, and only pairs of tiles that can hold a link are formed. Nodes are distinct. Each pair of tiles
+    gives a forest, not all its links: components stay the same, and a dense group of m rows gives m links, not m squared.
+    With a column ``shingles`` a pair links only if these set sizes allow a Jaccard similarity of 0.8.
     """
-    n = nodes.count()
-    tiles = max(least_tiles, -(-n // tile))
-    mine = F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    sent = nodes.select("node", "fp", mine.alias("tile"), other.alias("other"))
+    counts = [tuple(r) for r in nodes.groupBy("class").count().orderBy("class").collect()]
+    room = min(tile, max(1, -(-sum(n for _, n in counts) // least_tiles)))
+    groups: list[list] = []
+    for value, n in counts:
+        if groups and groups[-1][1] + n <= room:
+            groups[-1][0].append(value)
+            groups[-1][1] += n
+        else:
+            groups.append([[value], n])
+    parts = [-(-n // room) for _, n in groups]
+    meet = [
+        (value, g, parts[g], h, parts[h])
+        for g, (values, _) in enumerate(groups)
+        for h, (others, _) in enumerate(groups)
+        if any(together(v, o) for v in values for o in others)
+        for value in values
+    ]
+    spark = nodes.sparkSession
+    meeting = spark.createDataFrame(meet, "class int, g int, parts int, h int, other_parts int")
+    more = [c for c in ("shingles",) if c in nodes.columns]
+    sent = nodes.join(F.broadcast(meeting), "class").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
+    mine = F.struct(F.col("g").alias("group"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    sent = sent.select("node", "fp", *more, mine.alias("tile"), F.struct(F.col("h").alias("group"), F.col("part").alias("part")).alias("other"))
     pair = [F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")]
+    sent = sent.select("node", "fp", *more, *pair, (F.col("tile") == F.greatest("tile", "other")).alias("is_high"))
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         ids = rows.column("node").to_numpy()
         flat = pa.concat_arrays([c.flatten() for c in rows.column("fp").chunks]).to_numpy()
         fps = flat.view("u8").reshape(len(ids), -1)
-        tile_of = rows.column("tile").to_numpy()
-        low, high = (k.as_py() for k in key)
-        left, right = np.flatnonzero(tile_of == low), np.flatnonzero(tile_of == high)
-        a, b = tile_links(ids, fps, left, right, radius, fields, width) if len(left) and len(right) else (ids[:0], ids[:0])
+        high = rows.column("is_high").to_numpy()
+        left, right = np.flatnonzero(~high | (key[0] == key[1])), np.flatnonzero(high)
+        sizes = rows.column("shingles").to_numpy() if more else None
+        a, b = tile_links(ids, fps, left, right, radius, fields, width, sizes) if len(left) and len(right) else (ids[:0], ids[:0])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    ship(nodes.sparkSession)
-    return sent.groupBy(*pair).applyInArrow(compare, "a long, b long")
+    ship(spark)
+    return sent.groupBy("low", "high").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicate_groups(prints: DataFrame, radius: int, fields: int = 2, width: int = 1) -> DataFrame:
@@ -348,7 +420,11 @@ def near_duplicate_groups(prints: DataFrame, radius: int, fields: int = 2, width
     node = F.when(F.size("fp") == 1, F.element_at("fp", 1)).otherwise(F.xxhash64("fp"))
     rows = prints.drop("component_id", "root").withColumn("node", node)
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "fingerprints")
-    roots = connected_components(near_links(nodes.select("node", "fp"), radius, fields, width))
+    # Set bits of both halves of the fingerprint's first word: two near ones differ by no more than the radius over both.
+    word = F.element_at("fp", 1)
+    bits = F.bit_count(F.shiftrightunsigned(word, 32)) * 64 + F.bit_count(word.bitwiseAND(F.lit(0xFFFFFFFF)))
+    classed = nodes.select("node", "fp", bits.cast("int").alias("class"))
+    roots = connected_components(near_links(classed, radius, lambda a, b: abs(a // 64 - b // 64) + abs(a % 64 - b % 64) <= radius, fields, width))
     labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = labelled.join(least, "root").select("node", "root", "component_id")

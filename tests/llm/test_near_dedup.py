@@ -78,3 +78,30 @@ def test_equals_brute_force_with_families_and_chains(spark, block):
     want = brute(rows)
     assert 7 < len(want) < len(rows)
     assert stay(spark, rows, block=block) == want
+
+
+@pytest.mark.parametrize("shingles", [5, 10, 20, 60, 200, 1000])
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_candidates_hold_planted_pairs(shingles, similarity):
+    """At least 0.95 of the pairs at each similarity are within the radius."""
+    r = np.random.default_rng(shingles)
+    shared = int(np.ceil(2 * similarity / (1 + similarity) * shingles))
+    found = 0
+    for _ in range(120):
+        hashes = r.integers(0, 2**64, 2 * shingles - shared, dtype="u8")
+        sides = hashes[:shingles], np.concatenate([hashes[:shared], hashes[shingles:]])
+        a, b = (np.array([simhash.bits_of(simhash._mixed(h, lane)) for lane in range(4)], "u8") for h in sides)
+        found += int(np.bitwise_count(a ^ b).sum()) <= 51
+    assert found >= 0.95 * 120
+
+
+def test_membership_map_keeps_all_members(spark):
+    from pyspark.sql import functions as F
+
+    from rewardmill.llm.common import map_of, maybe_in
+
+    rows = spark.range(-500, 500).select("id", F.xxhash64("id").alias("key"), F.lit(1).alias("bits"))
+    members = rows.filter("id % 7 = 0")
+    possible, apart = maybe_in(rows, F.col("key"), map_of(members, "key"))
+    assert {r.id for r in possible.collect()} >= {i for i in range(-500, 500) if i % 7 == 0}
+    assert possible.count() + apart.count() == 1000 and apart.count() > 800 and possible.columns == rows.columns

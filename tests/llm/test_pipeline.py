@@ -1,10 +1,10 @@
 import zlib
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from rewardmill.llm import simhash
+from test_near_dedup import brute
 from test_simhash import brute_hashes
 
 SF = "/root/testdata/sf0.01"
@@ -44,26 +44,10 @@ def test_language_drops_next_to_nothing_clean(stages):
     assert len(ids(stages[2])) >= 0.99 * len(ids(stages[1]))
 
 
-def brute_wide(text):
-    hashes = np.array(brute_hashes(text, 5), "u8")
-    return [simhash.bits_of(simhash._mixed(hashes, lane)) for lane in range(4)]
-
-
 def test_near_dedup_equals_brute_force(stages):
+    """Pairs within the radius whose sets have a Jaccard similarity of 0.8 are joined; the smallest id of a group stays."""
     rows = sorted(stages[2].collect(), key=lambda r: r.doc_id)
-    fps = np.array([brute_wide(r.text) for r in rows], "u8")
-    group = list(range(len(rows)))
-
-    def find(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]).sum(axis=1) <= 51):
-            a, b = sorted((find(i), find(int(j))))
-            group[b] = a
-    assert ids(stages[3]) == {rows[i].doc_id for i in range(len(rows)) if find(i) == i}
+    assert ids(stages[3]) == brute([(r.doc_id, r.text) for r in rows])
 
 
 def test_near_dedup_leaves_no_pair_of_alike_texts(stages):
@@ -107,3 +91,16 @@ def test_stages_take_odd_and_empty_tables(spark):
             n = out.count()
             if name == "simhash_near_dedup" and docs is df:
                 assert n == 3  # null and empty are alike, the repeated row stays once
+
+
+CLASHES = ["score", "topic", "tokens", "probability", "kept", "rejected", "lang_pred", "Weight", "__weight", "__id", "__text", "id", "node", "row", "hash"]
+
+
+def test_columns_of_any_name_survive(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 300")
+    for i, name in enumerate(CLASHES):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert out.exceptAll(docs).count() == 0 and out.count() > 0, name

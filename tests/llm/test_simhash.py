@@ -113,3 +113,31 @@ def test_query_equals_brute_force(spark, small):
     prints = [(r.doc_id, brute_print(r.text)) for r in docs]
     want = {(d, f"{v:016x}", c) for (d, v), c in zip(prints, brute_components(prints, 2))}
     assert {tuple(r) for r in dedup_queries.op6_simhash_components(spark, small).collect()} == want
+
+
+@pytest.mark.parametrize("radius,lanes", [(2, 1), (40, 4)])
+def test_tiles_along_classes_lose_no_link(spark, radius, lanes):
+    """Many small tiles, a large class cut by hash: the same components as all pairs."""
+    r = np.random.default_rng(radius)
+    base = r.integers(0, 2**63, (60, lanes), dtype="u8")
+    prints = []
+    for b in base:
+        for _ in range(5):
+            flips = np.zeros(lanes * 64, bool)
+            flips[r.choice(lanes * 64, radius // 2 if r.random() < 0.8 else radius * 2, replace=False)] = True
+            prints.append((b ^ np.packbits(flips).view(">u8").astype("u8")).view("i8").tolist())
+    rows = [(i, p, bin(int(np.array(p[:1], "i8").view("u8")[0])).count("1")) for i, p in enumerate(prints)]
+    nodes = spark.createDataFrame(rows, "node long, fp array<long>, class int")
+    links = simhash.near_links(nodes, radius, lambda a, b: abs(a - b) <= radius, fields=2, width=1, tile=11)
+    roots = {x.node: x.root for x in connected_components(links).collect()}
+    fps = np.array(prints, "i8").view("u8").reshape(-1, lanes)
+    want = {i: i for i in range(len(fps))}
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(fps)):
+            for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]).sum(axis=1) <= radius):
+                low = min(want[i], want[int(j)])
+                changed |= want[i] != low or want[int(j)] != low
+                want[i] = want[int(j)] = low
+    assert {i: roots.get(i, i) for i in want} == want
