@@ -267,9 +267,8 @@ def variant_groups(words: DataFrame, times: int = 10) -> DataFrame:
     """
     words = words.select("word", "n")
     links = near_links(words)
-    both = links.select(F.col("a").alias("word"), F.col("n_a").alias("n"), F.col("b").alias("near"), F.col("n_b").alias("near_n")).unionByName(
-        links.select(F.col("b").alias("word"), F.col("n_b").alias("n"), F.col("a").alias("near"), F.col("n_a").alias("near_n"))
-    )
+    ends = [F.struct(F.col(x).alias("word"), F.col(f"n_{x}").alias("n"), F.col(y).alias("near"), F.col(f"n_{y}").alias("near_n")) for x, y in ("ab", "ba")]
+    both = links.select(F.inline(F.array(*ends)))
     best = F.min(F.struct((-F.col("near_n")).alias("order"), F.col("near"))).alias("best")
     seen = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.first("n").alias("n"), best)
     large = -F.col("best.order") >= F.col("n") * times
