@@ -26,13 +26,13 @@ _FLAT_BODY = r"^\s*\{((?:[^{}]|\{[^{}]*+\})*+)\}"
 _BRACE_PIECES = r"[{}]|[^{}]+"
 
 LATEX_SPAN = (
-    r"\$\$[^$]++\$\$|\$[^$]++\$"
+    r"(?<!\\)\$\$(?:[^$\\]|\\.)++\$\$|(?<!\\)\$(?:[^$\\]|\\.)++\$"
     r"|\\\[(?:[^\\]|\\[^\]])*+\\\]"
     r"|\\\((?:[^\\]|\\[^)])*+\\\)"
 )
 SPAN_MARKS = r"^(?:\$\$|\$|\\\[|\\\()|(?:\$\$|\$|\\\]|\\\))$"
-FINAL_ANSWER_SPAN = r"(?i)final answer is:?\s*(?:" + LATEX_SPAN + ")"
-ANSWER_SPAN = r"(?i)answer[^$\\]*+(?:" + LATEX_SPAN + ")"
+# A text's answer words, spans and ends of sentences in order. Inside a span, and behind a backslash, nothing else counts.
+ANSWER_TOKENS = r"(?is)" + LATEX_SPAN + r"|\\.|final answer is|answer|[.!?](?=\s)|\n\s*\n"
 PLAIN_NUMBER = r"[-+]?(?:\d[\d,]*(?:\.\d+)?|\.\d+)(?:\s*/\s*\d+)?"
 
 NUMBER = r"(?:\d+\.?\d*|\.\d+)"
@@ -99,18 +99,39 @@ def last_span(text: Column) -> Column:
 
 
 def anchored_span(text: Column) -> Column:
-    """Body of the rightmost LaTeX environment that follows an answer phrase.
+    """Body of the LaTeX environment that an answer phrase announces.
 
-    The patterns run only over texts in which a plain search finds their words.
+    The last answer word with an environment behind it counts, and of these the last one in the sentence
+    that has the first: formulas on the way to the value do not end the search, remarks after it
+    do not replace the value. "Final answer is" goes before other answer words. The
+    pattern runs only over texts in which a plain search finds an answer word.
     """
-    def search(lowered: Column) -> Column:
-        final = F.when(
-            F.contains(lowered, F.lit("final answer")), last_span(_last(_all(text, FINAL_ANSWER_SPAN)))
+    words = F.array(F.lit("answer"), F.lit("final answer is"))
+    none = F.lit(None).cast("string")
+    # rank: 0 before any answer word, 1 behind one, 2 behind a final one; open: whether a span would count.
+    start = F.struct(F.lit(0).alias("rank"), F.lit(False).alias("seen"), F.lit(False).alias("over"), none.alias("loose"), none.alias("final"))
+
+    def step(a: Column, token: Column) -> Column:
+        word = F.array_contains(words, F.lower(token))
+        # Spans have three characters or more, escaped ones two; blank lines begin with their line feed.
+        stops = F.substring(token, 1, 1).isin(".", "!", "?", "\n")
+        counts = ~word & ~stops & (F.length(token) > 2) & (a["rank"] > 0) & ~a["over"]
+        return F.struct(
+            F.when(word, F.when(F.length(token) > 6, 2).otherwise(1)).otherwise(a["rank"]).alias("rank"),
+            F.when(word, F.lit(False)).otherwise(a["seen"] | counts).alias("seen"),
+            F.when(word, F.lit(False)).otherwise(a["over"] | (stops & a["seen"])).alias("over"),
+            F.when(counts, token).otherwise(a["loose"]).alias("loose"),
+            F.when(counts & (a["rank"] == 2), token).otherwise(a["final"]).alias("final"),
         )
-        loose = last_span(_last(_all(text, ANSWER_SPAN)))
-        return F.when(F.contains(lowered, F.lit("answer")), F.coalesce(final, loose))
 
-    return let(F.lower(text), search)
+    def search(tail: Column) -> Column:
+        found = F.aggregate(_all(tail, ANSWER_TOKENS), start, step, lambda a: F.coalesce(a["final"], a["loose"]))
+        return F.when(F.rlike(tail, F.lit(r"\$|\\[(\[]")), let(found, _span_body))
+
+    # Nothing before the first answer word is looked at, unless that word may stand inside a formula.
+    plain_start = F.rlike(text, F.lit(r"(?is)^[^$\\]*?answer"))
+    tail = F.when(plain_start, F.regexp_extract(text, r"(?is)(?:final answer is|answer).*", 0)).otherwise(text)
+    return F.when(F.contains(F.lower(text), F.lit("answer")), let(tail, search))
 
 
 def last_number(text: Column) -> Column:
@@ -147,10 +168,11 @@ def expression_gold(answer: Column) -> Column:
 
 # Layout without meaning: spacing and sizing commands, dollar signs, percent, degrees, blanks.
 _NOISE = (
-    r"\\(?:left|right|displaystyle|quad|qquad)\b|\\[,;:!]|[$~]|\\?%|\^\{?\\circ\}?|\x{b0}|\s+"
+    r"\\[$]|\\(?:left|right|displaystyle|quad|qquad)\b|\\[,;:!]|[$~]|\\?%|\^\{?\\circ\}?|\x{b0}|\s+"
 )
 # Ordered rewrite rules of ``normalise``: (pattern, replacement).
 _REWRITES = (
+    (r"\{,\}", ","),
     (_NOISE, ""),
     (r"\\[dtc]frac(?![a-z])", r"\\frac"),
     (r"\\(frac|sqrt)([0-9])", r"\\$1{$2}"),
@@ -158,14 +180,20 @@ _REWRITES = (
     (r"^\\(?:text|mathrm|textbf|mbox)\{([^{}]*)\}$", "$1"),
     (r"\\(?:text|mathrm|textbf|mbox)\{[^{}]*\}", ""),
     (r"^.*=", ""),
+    (r"^.*\\in(?=\\\{|[(\[])", ""),
+    (r"^\\pm(.+)$", r"\\{$1,-$1\\}"),
     (r"\.+$", ""),
+    (r"^\(([A-Za-z])\)$", "$1"),
 )
 _PLAIN = r"^[-+]?\d+(?:\.\d+)?$"
 _GROUPED_DIGITS = r"^[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?$"
 
 
 def normalise(answer: Column) -> Column:
-    """Canonical text of an answer: wrappers, spacing, units and ``name =`` removed."""
+    """Canonical text of an answer: wrappers, spacing, units and ``name =`` removed.
+
+    The answer is named more than once: pass a column, not the expression that extracts it.
+    """
     def rewritten(text: Column) -> Column:
         for pattern, replacement in _REWRITES:
             text = F.regexp_replace(text, pattern, replacement)
@@ -177,7 +205,7 @@ def normalise(answer: Column) -> Column:
     def unboxed(text: Column) -> Column:
         return F.when(F.contains(text, F.lit(BOX_MARK)), F.coalesce(last_boxed(text), text)).otherwise(text)
 
-    return let(answer, lambda text: F.when(F.rlike(text, F.lit(_PLAIN)), text).otherwise(rewritten(unboxed(text))))
+    return F.when(F.rlike(answer, F.lit(_PLAIN)), answer).otherwise(let(answer, lambda text: rewritten(unboxed(text))))
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:
@@ -233,15 +261,34 @@ def _quotient(text: Column) -> Column:
     return _signed(_part(text, _QUOTIENT, 1), let(F.transform(parts, read), value))
 
 
+_ROOT = rf"^([-+]?)({NUMBER})?{_TIMES}\\sqrt\[(\d+)\]\{{({NUMBER})\}}$"
+_SCIENTIFIC = rf"^[-+]?{NUMBER}[eE][-+]?\d+$"
+_OVER = rf"^(.+)/({NUMBER})$"
+# Between the terms of a sum: before a sign that follows a digit, a letter or a closing brace.
+_TERMS = r"(?<=[0-9a-z}])(?=[-+])"
+
+
+def _sum(text: Column) -> Column:
+    """Value of two or more terms; NULL where one is no number or a sign stands inside braces."""
+    terms = F.split(text, _TERMS)
+    whole = F.forall(terms, lambda t: F.length(F.replace(t, F.lit("{"), F.lit(""))) == F.length(F.replace(t, F.lit("}"), F.lit(""))))
+    total = F.aggregate(F.transform(terms, _term), F.lit(0.0), lambda a, x: a + x)
+    return F.when((F.size(terms) > 1) & whole, total)
+
+
 def number_of(answer: Column) -> Column:
     """Numeric value of a normalised answer, NULL when it is not a supported number.
 
-    Decimals, ratios, powers, products of a number, a root and pi, fractions of such products, mixed numbers.
+    Decimals, ratios, powers, products of a number, a root and pi, fractions of such products, mixed numbers, and sums of these.
     """
     return let(answer, _number_in)
 
 
 def _number_in(text: Column) -> Column:
+    return F.when(F.rlike(text, F.lit(_TERMS)), F.coalesce(_sum(text), _term(text))).otherwise(_term(text))
+
+
+def _term(text: Column) -> Column:
     ratio = _double(F.substring_index(text, "/", 1)) / F.nullif(
         _double(F.substring_index(text, "/", -1)), F.lit(0.0)
     )
@@ -250,10 +297,20 @@ def _number_in(text: Column) -> Column:
         _part(text, _POWER, 1),
         F.coalesce(_double(_part(text, _POWER, 2)), F.lit(1.0)) * F.pow(_double(_part(text, _POWER, 3)), exponent),
     )
+    nth_root = F.when(
+        F.rlike(text, F.lit(_ROOT)),
+        _signed(
+            _part(text, _ROOT, 1),
+            F.coalesce(_double(_part(text, _ROOT, 2)), F.lit(1.0)) * F.pow(_double(_part(text, _ROOT, 4)), F.lit(1.0) / F.nullif(_double(_part(text, _ROOT, 3)), F.lit(0.0))),
+        ),
+    )
     return (
         F.when(F.rlike(text, F.lit(_DECIMAL)), text.try_cast("double"))
         .when(F.contains(text, F.lit(r"\frac")), F.when(F.rlike(text, F.lit(_QUOTIENT)), _quotient(text)))
         .when(F.contains(text, F.lit("/")) & F.rlike(text, F.lit(_RATIO)), ratio)
+        .when(F.contains(text, F.lit("/")), _product(_part(text, _OVER, 1)) / F.nullif(_double(_part(text, _OVER, 2)), F.lit(0.0)))
+        .when(F.rlike(text, F.lit(_SCIENTIFIC)), text.try_cast("double"))
+        .when(F.contains(text, F.lit(r"\sqrt[")), nth_root)
         .when(F.contains(text, F.lit("^")), F.when(F.rlike(text, F.lit(_POWER)), power))
         .when(F.contains(text, F.lit(r"\sqrt")) | F.contains(text, F.lit(r"\pi")), _product(text))
     )
@@ -268,15 +325,41 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"^\+", ""), "^-0$", "0")
 
 
+# A whole number, or a quotient of two, in each of its writings.
+_RATIONAL = r"^([-+]?)(?:(\d+)(?:\.0*)?|\\frac\{([-+]?)(\d+)\}\{([-+]?)(\d+)\}|(\d+)/(\d+))$"
+
+
+def _ratio_of(text: Column) -> tuple[Column, Column]:
+    """Numerator with its sign and denominator of a rational, as exact decimals."""
+    def group(n: int) -> Column:
+        return _part(text, _RATIONAL, n)
+
+    exact = lambda digits: F.nullif(digits, F.lit("")).try_cast("decimal(38,0)")
+    minus = F.when(group(1) == "-", -1).otherwise(1) * F.when(group(3) == "-", -1).otherwise(1) * F.when(group(5) == "-", -1).otherwise(1)
+    above = exact(F.concat(group(2), group(4), group(7)))
+    below = F.coalesce(exact(F.concat(group(6), group(8))), F.lit(1).cast("decimal(38,0)"))
+    return F.try_multiply(above, minus.cast("decimal(2,0)")), F.nullif(below, F.lit(0).cast("decimal(38,0)"))
+
+
+def _same_rationals(left: Column, right: Column) -> Column:
+    """Cross products, exact; NULL where they need more than 38 digits."""
+    (a, b), (c, d) = _ratio_of(left), _ratio_of(right)
+    return F.try_multiply(a, d) == F.try_multiply(c, b)
+
+
 def _same_numbers(left: Column, right: Column, places: int) -> Column:
-    """Integers by their digits, decimals exactly to ``places``, everything else as doubles rounded to ``places``."""
+    """Integers by their digits, quotients of integers by cross products, decimals exactly to ``places``, all else as doubles rounded to ``places``."""
     def both(pattern: str) -> Column:
         return F.rlike(left, F.lit(pattern)) & F.rlike(right, F.lit(pattern))
 
     exact = F.round(left.try_cast("decimal(38,10)"), places) == F.round(right.try_cast("decimal(38,10)"), places)
-    both_numbers = F.transform(F.array(left, right), _number_in)
-    rounded = let(both_numbers, lambda n: F.round(n[0], places) == F.round(n[1], places))
-    return F.when(both(_INTEGER), _digits(left) == _digits(right)).when(both(_DECIMAL), F.coalesce(exact, rounded)).otherwise(rounded)
+    rounded = F.round(_number_in(left), places) == F.round(_number_in(right), places)
+    return (
+        F.when(both(_INTEGER), _digits(left) == _digits(right))
+        .when(both(_RATIONAL), F.coalesce(_same_rationals(left, right), F.lit(False)))
+        .when(both(_DECIMAL), F.coalesce(exact, rounded))
+        .otherwise(rounded)
+    )
 
 
 _LIST = r"^(\(|\[|\\\{)(.*)(\)|\]|\\\})$"
@@ -303,20 +386,23 @@ def same_answer(left: Column, right: Column, places: int = 6) -> Column:
     """Whether two *normalised* answers agree; NULL when either is NULL.
 
     Equal text, equal numbers after rounding, or equal lists: tuples and
-    intervals by position, sets without regard to order.
+    intervals by position, sets without regard to order. Both sides are named many times: pass columns.
     """
-    def compared(pair: Column) -> Column:
+    def by_form(pair: Column) -> Column:
         l, r = pair["l"], pair["r"]
         listed = F.rlike(l, F.lit(_LIST)) & F.rlike(r, F.lit(_LIST)) & F.contains(l, F.lit(","))
-        return (
-            F.when(l.isNull() | r.isNull(), F.lit(None).cast("boolean"))
-            .when((l == "") | (r == ""), F.lit(False))
-            .when(l == r, F.lit(True))
-            .when(listed, _same_lists(l, r, places))
-            .otherwise(F.coalesce(_same_numbers(l, r, places), F.lit(False)))
-        )
+        return F.when(listed, _same_lists(l, r, places)).otherwise(F.coalesce(_same_numbers(l, r, places), F.lit(False)))
 
-    return let(F.struct(left.alias("l"), right.alias("r")), compared)
+    # The usual answers, short whole numbers, are settled here; the rest of the rules stays out of the generated
+    # code, which would become too long to be compiled.
+    short = F.rlike(left, F.lit(r"^-?[1-9]\d{0,17}$")) & F.rlike(right, F.lit(r"^-?[1-9]\d{0,17}$"))
+    return (
+        F.when(left.isNull() | right.isNull(), F.lit(None).cast("boolean"))
+        .when((left == "") | (right == ""), F.lit(False))
+        .when(left == right, F.lit(True))
+        .when(short, F.lit(False))
+        .otherwise(let(F.struct(left.alias("l"), right.alias("r")), by_form))
+    )
 
 
 CHOICE = r"Answer:\s*\$?([ABCD])\b"

@@ -99,7 +99,7 @@ def _same_value(gold: Column, prediction: Column) -> Column:
 
 
 def _normalised(read: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda text: an.normalise(read(text))
+    return lambda text: let(read(text), an.normalise)
 
 
 METRICS = {

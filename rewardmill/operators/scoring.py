@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from rewardmill.functions import answers as an
 from rewardmill.functions.chat import content_of
 from rewardmill.functions.rewards import Reward, RolloutColumns
-from rewardmill.functions.text import let
 from rewardmill.operators.skew import left_join_unique, with_group_stats
 
 BATCH_KEYS = ("run_id", "step", "process_id")
@@ -32,23 +31,25 @@ def completion_text(df: DataFrame, completion: str = "completion") -> Column:
 
 
 def _golds(df: DataFrame, solution: str, gold: str, latex_gold: str) -> DataFrame:
-    """Add normalised golds. The any-form gold falls back on what the LaTeX gold lacks."""
-    plain = an.normalise(an.plain_gold(F.col(solution)))
-    return df.select("*", an.normalise(an.latex_gold(F.col(solution))).alias(latex_gold)).select(
-        "*", F.coalesce(F.col(latex_gold), plain).alias(gold)
-    )
+    """Add normalised golds. The any-form gold falls back on what the LaTeX gold lacks.
+
+    Extraction and normalising are projections of their own, so generated code computes each value once.
+    """
+    raw = df.select("*", an.latex_gold(F.col(solution)).alias("__raw_latex"), an.plain_gold(F.col(solution)).alias("__raw_plain"))
+    normal = raw.select(*df.columns, an.normalise(F.col("__raw_latex")).alias(latex_gold), an.normalise(F.col("__raw_plain")).alias("__plain"))
+    return normal.select(*df.columns, latex_gold, F.coalesce(F.col(latex_gold), F.col("__plain")).alias(gold))
 
 
 def with_answers(df: DataFrame, completion: str = "completion", solution: str = "solution") -> DataFrame:
     """Add ``gold``, ``gold_latex`` and ``answer``, all normalised; NULL when none is found."""
-    answered = df.withColumn("answer", an.normalise(an.final_answer(completion_text(df, completion))))
+    raw = df.select("*", an.final_answer(completion_text(df, completion)).alias("__raw_answer"))
+    answered = raw.withColumn("answer", an.normalise(F.col("__raw_answer"))).drop("__raw_answer")
     return _golds(answered, solution, "gold", "gold_latex")
 
 
 def _with_correctness(df: DataFrame, solution: str, checker: Checker | None) -> DataFrame:
     """Verify once; every reward that needs it reads the same two columns."""
-    def verdict(pair: Column) -> Column:
-        gold, answer = pair["gold"], pair["answer"]
+    def verdict(gold: Column, answer: Column) -> Column:
         same = an.same_answer(gold, answer)
         if checker is not None:
             same = F.when(same, F.lit(True)).otherwise(checker(gold, answer))
@@ -56,11 +57,9 @@ def _with_correctness(df: DataFrame, solution: str, checker: Checker | None) ->
             F.when(gold.isNull(), F.lit(None).cast("boolean")).when(answer.isNull(), F.lit(False)).otherwise(same)
         )
 
-    pair = F.struct(F.col(_GOLD).alias("gold"), F.col(_ANSWER).alias("answer"))
-    # With ``let`` the comparison names each answer once. Were a filter on a reward pushed below
-    # this projection, it would otherwise repeat the extraction for every mention. A pandas UDF
-    # cannot run inside it, so a caller's checker gets the plain form.
-    correct = verdict(pair) if checker is not None else let(pair, verdict)
+    # Plain columns keep the comparison in generated code. An expression named more than once is not merged into
+    # the projection above it, so each answer is extracted once.
+    correct = verdict(F.col(_GOLD), F.col(_ANSWER))
 
     # The two golds differ only where the gold holds no LaTeX at all.
     return _golds(df, solution, _GOLD, _LATEX_GOLD).select("*", correct.alias(_CORRECT)).select(
@@ -119,8 +118,10 @@ def score_rewards(
     if golds is not None:
         carried = dict.fromkeys(c for c in carried if c not in golds.columns or c in gold_keys)
     prepared = rollouts.withColumn(_TEXT, text).withColumn(_LENGTH, F.length(F.col(_TEXT)))
-    answer = [an.normalise(an.final_answer(F.col(_TEXT))).alias(_ANSWER)] if needs_answer else []
+    answer = [an.final_answer(F.col(_TEXT)).alias("__raw_answer")] if needs_answer else []
     rows = prepared.select(*carried, _LENGTH, *answer, *[r.build(columns).alias(r.name) for r in by_text])
+    if needs_answer:
+        rows = rows.withColumn(_ANSWER, an.normalise(F.col("__raw_answer"))).drop("__raw_answer")
 
     # 2. Answers against golds.
     if golds is not None:

@@ -54,7 +54,11 @@ def answer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     depth = (F.col("l_linenumber") * 3).cast("int")
     gold, _ = _forms(value, depth)
     _, answer = _forms(value + wrong, depth)
-    far = F.repeat(F.lit(" so"), (F.col("l_quantity") * 10).cast("int"))
+    far = F.concat(
+        F.repeat(F.lit(" so"), (F.col("l_quantity") * 10).cast("int")),
+        # Commands, a price and other formulas on the way to the value.
+        F.when(F.col("l_suppkey") % 3 == 0, ", since \\frac12 of $x=3$ is small,").when(F.col("l_suppkey") % 3 == 1, " costs \\$5 and so").otherwise(""),
+    )
     said = F.when(F.col("l_linenumber") % 2 == 0, _text("The answer", far, " $", answer, "$")).otherwise(
         _text("We get \\boxed{", answer, "} and \\boxed{cut off {")
     )

@@ -178,3 +178,53 @@ def test_answer_forms(spark, left, right, expected):
     df = spark.createDataFrame([(left, right)], "l string, r string")
     same = an.same_answer(an.normalise(F.col("l")), an.normalise(F.col("r")))
     assert df.select(same.alias("x")).head()["x"] is expected
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        (r"The answer, since \frac12 is small, is $42$", "42"),
+        (r"The answer, substituting $x=3$, is $42$", "42"),
+        (r"The answer costs \$5 so it is $42$", "42"),
+        (r"The answer is $42$. Check: $6\cdot7=42$.", "42"),
+        ("The answer is $42$.\n\nWith $x=1$ the answer holds.", "42"),
+        (r"Answer \(1\), no: the final answer is: \[ 7 \] as the answer $8$ was wrong", "7"),
+        (r"an $answer$ and $5$", None),
+        (r"answer \$5 and \$6", None),
+        (r"The answer follows. It is $\$5$", r"\$5"),
+        ("the answer " + r"\alpha $b$, " * 300 + "so $9$", "9"),
+    ],
+)
+def test_spans_behind_answer_words(spark, text, expected):
+    assert one(spark, text, an.anchored_span) == expected
+
+
+FORMS = [
+    ("1{,}000", "1000"), (r"\$18.90", "18.9"), (r"\text{(A)}", "A"), (r"\pm 2", r"\{-2,2\}"), (r"x\in\{1,2\}", r"\{2,1\}"), ("1e3", "1000"),
+    (r"1+\sqrt{2}", r"\sqrt{2}+1"), (r"3\pi/2", r"\frac{3\pi}{2}"), (r"\sqrt[3]{8}", "2"), (r"2\sqrt[3]{27}", "6"), (r"-\sqrt[3]{8}", "-2"),
+    (r"\frac{12345678901234567890}{1}", "12345678901234567890"), (r"\frac{2}{4}", r"\frac{1}{2}"), (r"\frac{-1}{2}", r"\frac{1}{-2}"), ("6/4", r"\frac{3}{2}"),
+    (r"\sqrt{2}-1", r"-1+\sqrt{2}"), (r"2\pi+\frac{1}{2}", r"\frac{1}{2}+2\pi"), ("1.5e-3", "0.0015"), (r"x \in (1,2]", "(1,2]"), (r"2{,}500{,}000", "2500000"),
+]
+DIFFERENT = [
+    (r"\frac{12345678901234567891}{1}", "12345678901234567890"), (r"1+\sqrt{2}", r"1-\sqrt{2}"), (r"3\pi/2", r"2\pi/3"), (r"\sqrt[3]{8}", "3"),
+    (r"\pm 2", r"\{2\}"), ("1e3", "1e4"), (r"\frac{1}{3}", r"\frac{33333333333333333}{99999999999999998}"), (r"\text{(A)}", "B"), ("x+y", "y+z"),
+]
+
+
+def test_golden_forms(spark):
+    """Each value in two writings, over several numbers, joined by key; other values are not equal."""
+    rows = [(l, r, True) for l, r in FORMS] + [(l, r, False) for l, r in DIFFERENT]
+    for n in range(2, 18):
+        for l, r in [
+            (rf"\frac{{{n}}}{{{n + 1}}}", f"{n}/{n + 1}"), (rf"\frac{n % 9 + 1}{n % 7 + 2}", rf"\dfrac{{{n % 9 + 1}}}{{{n % 7 + 2}}}"), (f"{n}e2", f"{n}00"),
+            (rf"{n}+\sqrt{{{n}}}", rf"\sqrt{{{n}}}+{n}"), (rf"{n}\pi/4", rf"\frac{{{n}\pi}}{{4}}"), (rf"\sqrt[3]{{{n**3}}}", str(n)), (f"{n}{{,}}000", f"{n}000"),
+            (rf"\${n}.50", f"{n}.5"), (rf"x\in\{{{n},1\}}", rf"\{{1,{n}\}}"), (rf"\pm{n}", rf"\{{{n},-{n}\}}"),
+        ]:
+            rows += [(l, r, True), (l, r.replace(str(n), str(n + 3), 1) + ("1" if str(n) not in r else ""), None)]
+    keyed = [(i, l, r, e) for i, (l, r, e) in enumerate(rows)]
+    df = spark.createDataFrame(keyed, "i int, l string, r string, expected boolean")
+    normal = df.select("i", "l", "r", "expected", an.normalise(F.col("l")).alias("nl"), an.normalise(F.col("r")).alias("nr"))
+    got = normal.select("i", "l", "r", "nl", "nr", "expected", an.same_answer(F.col("nl"), F.col("nr")).alias("x")).collect()
+    assert [tuple(g) for g in got if g.expected is not None and g.x is not g.expected] == []
+    assert [tuple(g) for g in got if g.expected is None and g.x] == []
+    assert len(rows) >= 200
