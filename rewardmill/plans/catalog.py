@@ -7,6 +7,7 @@ from rewardmill.plans import (
     evaluation_queries,
     form_queries,
     lifecycle_queries,
+    record_queries,
     sampling_queries,
     scoring_queries,
     stream_queries,
@@ -22,6 +23,7 @@ _MODULES = (
     stream_queries,
     lifecycle_queries,
     form_queries,
+    record_queries,
 )
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}

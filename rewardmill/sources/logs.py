@@ -1,4 +1,4 @@
-"""Completion logs and metric logs as append-only tables."""
+"""Completion logs and metric logs, appended to or replaced by step."""
 
 from __future__ import annotations
 
@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardmill.operators.groups import every_k_steps
+from rewardmill.sources.folders import replace_folders
+
+
+def _due(rows: DataFrame, every: int) -> DataFrame:
+    columns = [c for c in ("step", "prompt", "completion", "reward") if c in rows.columns]
+    return every_k_steps(rows, every).select(*columns)
 
 
 def append_completions(rows: DataFrame, path: str, every: int = 1) -> None:
     """Append ``(step, prompt, completion[, reward])`` of every ``every``-th step."""
-    columns = [c for c in ("step", "prompt", "completion", "reward") if c in rows.columns]
     # Rebalancing gives a step's folder few files, and splits a step that is too large for one.
-    due = every_k_steps(rows, every).select(*columns).hint("rebalance", "step")
-    due.write.mode("append").partitionBy("step").parquet(path)
+    _due(rows, every).hint("rebalance", "step").write.mode("append").partitionBy("step").parquet(path)
+
+
+def replace_completions(rows: DataFrame, path: str, every: int = 1) -> None:
+    """As ``append_completions``, in place of what the log held of the same steps; a step must come whole."""
+    replace_folders(_due(rows, every), path, ["step"], "parquet")
 
 
 def read_completions(spark: SparkSession, path: str) -> DataFrame:
