@@ -8,12 +8,12 @@ smaller than with the next best one; texts with a narrow margin are rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +31,12 @@ PIECE = 64
 BLOCK = 4096
 #: Blanks after every block. A compressor stores a block as it is when it saves too little; these always save enough.
 _TAIL = b" " * 64
-_OTHER = re.compile(r"[\W\d_]+")
+# What is neither a letter nor a mark on one; a run of marks alone is no word.
+_OTHER = regex.compile(r"(?:[^\p{L}\p{M}]++\p{M}*+)++|\A\p{M}++")
 
 
 def normalised(text: str) -> str:
-    """Lower-case words with single blanks between them and around; empty if there is no letter."""
+    """Lower-case words (letters with their marks) with single blanks between them and around; empty if there is no letter."""
     words = _OTHER.sub(" ", text.lower()).strip()
     return f" {words} " if words else ""
 

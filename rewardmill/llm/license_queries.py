@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardmill.llm.common import table
-from rewardmill.llm.licenses import _TERM, STOP_WORDS, TEMPLATES, THRESHOLD, Vectors, scan_licenses
+from rewardmill.llm.licenses import _TERM, LINE_END, PARAGRAPH_END, SENTENCE_END, STOP_WORDS, TEMPLATES, THRESHOLD, Vectors, scan_licenses
 
 # The documents get paths: source / thousand / fifty, and the first of every fifty is its directory's licence file.
-PATH = "concat({source}, '/', {id} {div} 1000, '/', {id} {div} 50, '/', CASE WHEN {id} % 50 = 0 THEN 'LICENSE' ELSE concat({id}, '.txt') END)"
+PATH = "concat(coalesce({source}, ''), '/', {id} {div} 1000, '/', {id} {div} 50, '/', CASE WHEN {id} % 50 = 0 THEN 'LICENSE' ELSE concat({id}, '.txt') END)"
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,20 +23,23 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     v = Vectors(TEMPLATES, THRESHOLD)
     idf = ", ".join(f"('{t}', CAST({w!r} AS DOUBLE))" for t, w in v.idf.items())
-    units = ", ".join(f"('{name}', '{t}', CAST({w!r} AS DOUBLE))" for name, t, w in v.rows)
+    units = ", ".join(f"({number}, '{name}', '{t}', CAST({w!r} AS DOUBLE))" for number, name, t, w in v.rows)
+    sentences = f"string_split(regexp_replace({{}}, '{SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10))"
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     path = PATH.format(source="source", id="doc_id", div="//")
     return rf"""
 WITH idf(term, idf) AS (VALUES {idf}),
-units(license, term, unit) AS (VALUES {units}),
+units(template, license, term, unit) AS (VALUES {units}),
 files AS (
   SELECT doc_id, text, path, regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_extract(path, '[^/]*$') = 'LICENSE' AS is_file
   FROM (SELECT doc_id, text, {path} AS path FROM documents)
 ),
 said AS (
-  SELECT path, unnest(list_concat(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)),
+  SELECT path, unnest(list_concat({sentences.format("text")}, unwrapped, flatten(list_transform(unwrapped, lambda p: {sentences.format("p")})),
     CASE WHEN is_file THEN [text] ELSE [] END)) AS said
-  FROM files WHERE text IS NOT NULL AND regexp_matches(lower(text), '{v.cue_pattern()}')
+  FROM (SELECT *, list_transform(list_filter(string_split_regex(text, '{PARAGRAPH_END}'), lambda p: contains(p, chr(10))),
+                                 lambda p: regexp_replace(p, '{LINE_END}', ' ', 'g')) AS unwrapped FROM files)
+  WHERE text IS NOT NULL AND regexp_matches(lower(text), '{v.cue_pattern()}')
 ),
 numbered AS (SELECT path, row_number() OVER () AS segment, said FROM said WHERE regexp_matches(lower(said), '{v.cue_pattern()}')),
 found AS (
@@ -47,10 +50,13 @@ weighed AS (
   SELECT path, segment, f.term, count(*) * coalesce(any_value(idf), CAST({v.unknown!r} AS DOUBLE)) AS weight
   FROM found f LEFT JOIN idf ON idf.term = f.term WHERE f.term NOT IN ({stop}) GROUP BY path, segment, f.term
 ),
-norms AS (SELECT segment, sqrt(sum(weight * weight)) AS norm FROM weighed GROUP BY segment),
+norms AS (
+  SELECT segment, sqrt(sum(weight * weight)) AS norm FROM weighed w LEFT JOIN idf ON idf.term = w.term
+  GROUP BY segment HAVING count(idf) > 1
+),
 scored AS (
   SELECT path, w.segment, license, round(sum(weight * unit) / any_value(norm), 6) AS score
-  FROM weighed w JOIN units u ON u.term = w.term JOIN norms n ON n.segment = w.segment GROUP BY path, w.segment, license
+  FROM weighed w JOIN units u ON u.term = w.term JOIN norms n ON n.segment = w.segment GROUP BY path, w.segment, template, license
 ),
 own AS (
   SELECT path, license, score FROM scored WHERE score >= {THRESHOLD}

@@ -1,6 +1,6 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance down the directories.
 
-Every line and sentence of a file is compared with each template, and a file
+Every line, sentence and paragraph of a file is compared with each template, and a file
 that is named like a licence file also as a whole. A file without a notice of its own
 inherits from the nearest directory above it that holds a licence file. All of
 it is joins and grouped sums over (segment, term) rows.
@@ -18,23 +18,45 @@ from pyspark.sql import functions as F
 
 from rewardmill.llm.common import stored
 
-# Public notices of common licences.
-TEMPLATES = (
+# Licences by their SPDX names, and public notices of each: short ones, headers of files, titles of licence texts.
+NOTICES = (
+    ("AGPL-3.0", "GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT license."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
+)
+#: The notices, and the tag line of each licence.
+TEMPLATES = NOTICES + tuple((name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in NOTICES}))
 # Words that name no licence.
 STOP_WORDS = ("a", "and", "any", "are", "for", "in", "into", "is", "of", "or", "the", "this", "to", "under", "use", "with", "without")
 # Words of the notices that are common in any text; they count, but start no comparison if others can.
-COMMON_WORDS = ("any", "by", "fee", "form", "free", "purpose", "source", "this", "work")
+COMMON_WORDS = (
+    "above", "all", "any", "appear", "as", "at", "be", "by", "can", "charge", "conditions", "copies", "copy", "deal", "do", "either", "except", "fee",
+    "file", "files", "following", "form", "forms", "free", "if", "including", "it", "later", "may", "met", "not", "notice", "obtain", "one", "option",
+    "person", "persons", "program", "provided", "public", "published", "purpose", "rights", "sell", "so", "software", "source", "subject", "terms",
+    "that", "this", "version", "was", "whom", "work", "you",
+)
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.[^/]*)?$"
 _TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 THRESHOLD = 0.7
@@ -49,11 +71,11 @@ class Vectors:
         self.unknown = math.log(1 + len(templates)) + 1
         self.idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in sorted(seen.items())}
         self.rows, cues = [], set()
-        for (name, _), count in zip(templates, counts):
+        for number, ((name, _), count) in enumerate(zip(templates, counts)):
             raw = {t: n * self.idf[t] for t, n in count.items()}
             norm = math.sqrt(sum(w * w for w in raw.values()))
             unit = {t: w / norm for t, w in raw.items()}
-            self.rows += [(name, t, w) for t, w in sorted(unit.items())]
+            self.rows += [(number, name, t, w) for t, w in sorted(unit.items())]
             # What shares only the remaining terms has a cosine of at most their norm: below the threshold.
             left = 1.0
             for t, w in sorted(unit.items(), key=lambda x: (x[0] in COMMON_WORDS, -x[1], x[0])):
@@ -68,9 +90,21 @@ class Vectors:
         return rf"(^|[^a-z0-9])({words})($|[^a-z0-9])"
 
 
+# Paragraphs end at a line without a letter or digit; the next line's comment signs go with the line end.
+PARAGRAPH_END = r"\n(?:[^A-Za-z0-9\n]*\n)+"
+LINE_END = r"\n[^A-Za-z0-9\n]*"
+SENTENCE_END = r"([.!?])[ \t]+"
+
+
 def segments(text: Column) -> Column:
-    """Lines and sentences of a text."""
-    return F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), "\n")
+    """Lines and their sentences, and of every paragraph of several lines the whole, unwrapped, and its sentences."""
+
+    def sentences(part: Column) -> Column:
+        return F.split(F.regexp_replace(part, SENTENCE_END, "$1\n"), "\n")
+
+    several = F.filter(F.split(text, PARAGRAPH_END), lambda p: F.contains(p, F.lit("\n")))
+    unwrapped = F.transform(several, lambda p: F.regexp_replace(p, LINE_END, " "))
+    return F.concat(sentences(text), unwrapped, F.flatten(F.transform(unwrapped, sentences)))
 
 
 def terms(text: Column) -> Column:
@@ -86,6 +120,8 @@ def directory(path: Column) -> Column:
 def notices(spark: SparkSession, files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(path_key, license, score) of every file with a notice: its best segment's best template; ties to the lesser name.
 
+    A notice has at least two different words of the templates.
+
     Only segments with one of the cue terms become (segment, term) rows; no other can reach
     the threshold. Term weights are those of the templates, words outside them weigh most, so a notice drowned in
     other words does not count. The broadcast tables hold the terms of the templates.
@@ -98,15 +134,15 @@ def notices(spark: SparkSession, files: DataFrame, templates: Sequence[tuple[str
     found = found.filter(F.lower("said").rlike(cue)).select("path_key", "segment", F.xxhash64("said").alias("said_hash"), F.explode(terms(F.col("said"))).alias("term"))
     where = ["path_key", "said_hash", "segment"]
     counted = found.groupBy(*where, "term").count()
-    names = sorted({name for name, _, _ in v.rows})
-    unit = {(t, name): w for name, t, w in v.rows}
-    rows = [(t, idf, *[unit.get((t, name), 0.0) for name in names]) for t, idf in v.idf.items()]
+    names = [name for name, _ in templates]
+    unit = {(t, number): w for number, _, t, w in v.rows}
     columns = [f"unit_{n}" for n in range(len(names))]
+    rows = [(t, idf, *[unit.get((t, n), 0.0) for n in range(len(names))]) for t, idf in v.idf.items()]
     vectors = spark.createDataFrame(rows, "term string, idf double, " + ", ".join(f"{c} double" for c in columns))
     weighed = counted.join(F.broadcast(vectors), "term", "left").withColumn("weight", F.col("count") * F.coalesce("idf", F.lit(v.unknown)))
-    # Norm and all products of a segment from one grouping: one column for each of the few templates.
+    # Norm and all products of a segment from one grouping: one column for each of the few templates. One word of a notice is none.
     dots = [F.sum(F.col("weight") * F.coalesce(c, F.lit(0.0))).alias(c) for c in columns]
-    sums = weighed.groupBy(*where).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), *dots)
+    sums = weighed.groupBy(*where).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.count("idf").alias("known"), *dots).filter("known > 1")
     matches = [F.struct((-F.round(F.col(c) / F.col("norm"), 6)).alias("order"), F.lit(name).alias("license")) for c, name in zip(columns, names)]
     best = sums.select("path_key", F.least(*matches).alias("b")).groupBy("path_key").agg(F.min("b").alias("b"))
     return best.filter(F.col("b.order") <= -threshold).select("path_key", F.col("b.license").alias("license"), (-F.col("b.order")).alias("score"))
@@ -118,13 +154,14 @@ def scan_licenses(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     ``origin`` is ``own`` for a notice in the file itself, ``inherited`` for one from the licence file of the
     nearest directory above (its own included), else null, as are the other three; ``license_dir`` is that directory.
     Of several licence files in one directory the best match counts. Rows that repeat a path are one file. A null
-    path has no directory and inherits nothing; a null text has no notice. Columns of these names are replaced.
+    path has no directory and inherits nothing, and each text without a path is a file of its own; a null text has no notice. Columns of these names are replaced.
 
     Directories, not files, are walked up: each distinct one meets its ancestors by joins. The wide
     rows are only joined with narrow tables, and adaptive execution splits a directory with many files.
     """
     spark = files.sparkSession
-    key = F.coalesce(F.concat(F.lit("="), F.col("path")), F.lit(""))
+    unnamed = F.concat(F.lit("#"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    key = F.when(F.col("path").isNotNull(), F.concat(F.lit("="), F.col("path"))).otherwise(unnamed)
     rows = files.drop("license", "score", "origin", "license_dir").withColumns({"path_key": key, "dir": directory(F.col("path"))})
     own = stored(notices(spark, rows.select("path", "path_key", "text"), templates, threshold), "notices")
     is_file = F.regexp_extract(F.col("path"), "[^/]*$", 0).rlike(LICENSE_FILE)

@@ -6,8 +6,8 @@ text (all documents). The log ratio of the two is a document's importance
 weight, taken per n-gram and for a text of ``STRENGTH`` n-grams, so that a text
 is not judged by its length. Adding Gumbel noise to the log weights and taking
 the k largest draws k documents without replacement in proportion to their
-weights. How many are worth drawing is read off labelled documents that the
-target model has not seen.
+weights. ``k`` is the caller's, or how many are worth drawing is read off the noisy keys of labelled
+documents that the target model has not seen.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from rewardmill.llm.common import map_batches, pieces, stored, utf8
 BUCKETS = 1 << 14
 #: Labelled documents used, at most, chosen by a hash of their id: half for the target model, half for the cut.
 LABELLED = 20_000
-#: Length in n-grams for which weights are given.
-STRENGTH = 1_000
+#: Length in n-grams for which weights are given: the tempering. Documents whose mean log ratio differs by much more
+#: than ``1 / STRENGTH`` are told apart, those closer are drawn by chance in proportion to their weights.
+STRENGTH = 50
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3)
 # Byte classes: 0 blank, 1 letter, digit or part of a longer character, 2 other signs.
@@ -185,38 +186,44 @@ def draw(weights: DataFrame, k: int, seed: int) -> int | None:
     return kth_largest(keys, "key", min(k, n)) if k > 0 and n else None
 
 
-def cut_weight(weights: DataFrame, sample: DataFrame) -> float:
-    """The log weight that best parts good from bad among the labelled documents kept for it.
+def cut_key(weights: DataFrame, sample: DataFrame, seed: int) -> int | None:
+    """The sampling key that best parts good from bad among the labelled documents kept for it.
 
     Of all cuts the one with the largest sum of the shares of good documents at or above it and of bad
-    ones below it; of equal ones the lowest. At most as many weights as ``sample`` has rows come to the
-    driver. Without documents of both kinds nothing is cut off.
+    ones below it; of equal ones the lowest. At most as many keys as ``sample`` has rows come to the
+    driver. Without documents of both kinds, or of any use, nothing is cut off: None.
     """
     kept = F.broadcast(sample.filter(~F.col("learn")))
-    rows = weights.join(kept, "doc_id").filter(F.col("log_weight").isNotNull())
-    rows = rows.groupBy("doc_id").agg(F.min("log_weight").alias("w"), F.min("good").alias("good")).select("w", "good").toPandas()
-    good, bad = np.sort(rows["w"][rows["good"]].to_numpy()), np.sort(rows["w"][~rows["good"]].to_numpy())
+    key = sampling_key(F.col("log_weight"), F.col("doc_id"), seed)
+    rows = weights.join(kept, "doc_id").filter(F.col("log_weight").isNotNull()).withColumn("key", key)
+    rows = rows.groupBy("doc_id").agg(F.min("key").alias("key"), F.min("good").alias("good")).select("key", "good").toPandas()
+    good, bad = np.sort(rows["key"][rows["good"]].to_numpy()), np.sort(rows["key"][~rows["good"]].to_numpy())
     if not len(good) or not len(bad):
-        return float("-inf")
-    cuts = np.concatenate([good, bad[-1:] + 1e-9])
+        return None
+    cuts = np.append(good, bad[-1] + 1)
     gain = 1 - np.searchsorted(good, cuts) / len(good) + np.searchsorted(bad, cuts) / len(bad)
     best = int(np.argmax(gain))
     below = bad[bad < cuts[best]]
-    return float((cuts[best] + below[-1]) / 2) if len(below) else float("-inf")
+    return int((cuts[best] + below[-1] + 1) // 2) if len(below) else None
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, seed: int = 0) -> tuple[np.ndarray, DataFrame, int | None]:
+def select_quality(docs: DataFrame, labels: DataFrame, seed: int = 0, k: int | None = None) -> tuple[np.ndarray, DataFrame, int | None]:
     """Fit on ``docs`` and ``labels``, weigh all documents, draw: the ratio, (doc_id, log_weight), the least key drawn.
 
-    ``k`` is the number of documents whose weight reaches the cut. The weights are written once to the shared
-    folder; texts are read twice and never shuffled.
+    Without a ``k`` as many documents are drawn as have a key at or above ``cut_key``. The weights are written once
+    to the shared folder; texts are read twice and never shuffled.
     """
     sample = stored(labelled(labels), "labelled")
     ratio = fit_ratio(docs, sample)
     scored = with_log_weight(docs.select(F.col("doc_id").cast("long"), "text"), ratio).select("doc_id", "log_weight")
     weights = stored(scored, "log-weights")
-    worth = weights.filter(F.col("log_weight") >= cut_weight(weights, sample)).count()
-    return ratio, weights, draw(weights, worth, seed)
+    if k is None:
+        cut = cut_key(weights, sample, seed)
+        worth = weights.filter(F.col("log_weight").isNotNull())
+        if cut is not None:
+            worth = worth.filter(sampling_key(F.col("log_weight"), F.col("doc_id"), seed) >= cut)
+        k = worth.count()
+    return ratio, weights, draw(weights, k, seed)
 
 
 def drawn(log_weight: Column, doc_id: Column, least: int | None, seed: int = 0) -> Column:

@@ -63,3 +63,10 @@ def test_query_on_held_out_documents(spark, small):
     held = [d for d in docs if rows[d.doc_id].held_out]
     right = sum(rows[d.doc_id].lang_pred == d.lang for d in held)
     assert right >= 0.98 * len(held)
+
+
+def test_words_are_letters_with_their_marks():
+    for text in ("", "\u00bd \u00b2", "\u2167", "12 _ 3", "\u0301", " \u0301 \u093f", "\u0661\u0662"):
+        assert cl.normalised(text) == ""
+    assert cl.normalised("\u0939\u093f\u0928\u094d\u0926\u0940!") == " \u0939\u093f\u0928\u094d\u0926\u0940 "
+    assert cl.normalised("\u0301One2 \u0301 two_Three") == " one two three "

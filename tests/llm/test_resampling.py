@@ -91,6 +91,27 @@ def test_draw_is_gumbel_top_k(spark):
     assert rs.draw(df, 0, 5) is None and rs.draw(df.filter("false"), 5, 5) is None
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_inclusion_follows_the_weights(spark, seed):
+    # Half of the documents have the weight 1, half 3; a tenth is drawn.
+    df = spark.range(20000).selectExpr("id doc_id", "IF(id % 2 = 0, 0.0D, ln(3.0D)) log_weight")
+    least = rs.draw(df, 2000, seed)
+    got = df.filter(rs.drawn(F.col("log_weight"), F.col("doc_id"), least, seed)).groupBy("log_weight").count().orderBy("log_weight").collect()
+    low, high = [r["count"] / 10000 for r in got]
+    # A key passes t with probability 1 - exp(-weight * exp(-t)).
+    rate = -math.log(1 - low)
+    assert high == pytest.approx(1 - math.exp(-3 * rate), rel=0.12) and low + high == pytest.approx(0.2)
+
+
+def test_noise_decides_between_close_weights_only(spark, docs, labels):
+    ratio, weights, least = rs.select_quality(docs, labels, seed=3, k=100)
+    rows = [r for r in weights.withColumn("kept", rs.drawn(F.col("log_weight"), F.col("doc_id"), least, 3)).collect() if r.log_weight is not None]
+    best = sorted(rows, key=lambda r: -r.log_weight)
+    assert 100 <= sum(r.kept for r in rows) <= 102
+    assert {r.doc_id for r in best[:100]} != {r.doc_id for r in rows if r.kept}
+    assert not any(r.kept for r in rows if r.doc_id is not None and r.doc_id < 300 and r.doc_id % 5 == 0)
+
+
 def test_kth_largest_exact(spark):
     values = np.random.default_rng(2).integers(-(10**12), 10**12, 3000).tolist() + [5] * 50
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x long")
