@@ -35,13 +35,13 @@ files AS (
   FROM (SELECT doc_id, text, {path} AS path FROM documents)
 ),
 said AS (
-  SELECT path, unnest(list_concat({sentences.format("text")}, unwrapped, flatten(list_transform(unwrapped, lambda p: {sentences.format("p")})),
+  SELECT path, unnest(list_concat({sentences.format("text")}, flatten(list_transform(unwrapped, lambda p: {sentences.format("p")})),
     CASE WHEN is_file THEN [text] ELSE [] END)) AS said
   FROM (SELECT *, list_transform(list_filter(string_split_regex(text, '{PARAGRAPH_END}'), lambda p: contains(p, chr(10))),
                                  lambda p: regexp_replace(p, '{LINE_END}', ' ', 'g')) AS unwrapped FROM files)
-  WHERE text IS NOT NULL AND regexp_matches(lower(text), '{v.cue_pattern()}')
+  WHERE text IS NOT NULL
 ),
-numbered AS (SELECT path, row_number() OVER () AS segment, said FROM said WHERE regexp_matches(lower(said), '{v.cue_pattern()}')),
+numbered AS (SELECT path, row_number() OVER () AS segment, said FROM said WHERE said <> ''),
 found AS (
   SELECT path, segment, unnest(regexp_extract_all(regexp_replace(lower(said), 'licen[cs]ed?', 'license', 'g'), '{_TERM}')) AS term
   FROM numbered

@@ -1,6 +1,6 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance down the directories.
 
-Every line, sentence and paragraph of a file is compared with each template, and a file
+Every line and sentence of a file, wrapped ones too, is compared with each template, and a file
 that is named like a licence file also as a whole. A file without a notice of its own
 inherits from the nearest directory above it that holds a licence file. All of
 it is joins and grouped sums over (segment, term) rows.
@@ -8,6 +8,7 @@ it is joins and grouped sums over (segment, term) rows.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -16,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rewardmill.functions.text import let
 from rewardmill.llm.common import stored
 
 # Licences by their SPDX names, and public notices of each: short ones, headers of files, titles of licence texts.
@@ -24,7 +26,6 @@ NOTICES = (
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -43,51 +44,52 @@ NOTICES = (
     ("MIT", "Licensed under the MIT license."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 #: The notices, and the tag line of each licence.
 TEMPLATES = NOTICES + tuple((name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in NOTICES}))
 # Words that name no licence.
 STOP_WORDS = ("a", "and", "any", "are", "for", "in", "into", "is", "of", "or", "the", "this", "to", "under", "use", "with", "without")
-# Words of the notices that are common in any text; they count, but start no comparison if others can.
-COMMON_WORDS = (
-    "above", "all", "any", "appear", "as", "at", "be", "by", "can", "charge", "conditions", "copies", "copy", "deal", "do", "either", "except", "fee",
-    "file", "files", "following", "form", "forms", "free", "if", "including", "it", "later", "may", "met", "not", "notice", "obtain", "one", "option",
-    "person", "persons", "program", "provided", "public", "published", "purpose", "rights", "sell", "so", "software", "source", "subject", "terms",
-    "that", "this", "version", "was", "whom", "work", "you",
-)
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.[^/]*)?$"
 _TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 THRESHOLD = 0.7
 
 
 class Vectors:
-    """Unit vectors of the templates, weights of their terms, and the terms that every match must share."""
+    """Unit vectors of the templates, weights of their terms, and how many terms every match must share."""
 
     def __init__(self, templates: Sequence[tuple[str, str]], threshold: float):
         counts = [Counter(t for t in re.findall(_TERM, re.sub("licen[cs]ed?", "license", text.lower())) if t not in STOP_WORDS) for _, text in templates]
         seen = Counter(t for c in counts for t in c)
         self.unknown = math.log(1 + len(templates)) + 1
         self.idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in sorted(seen.items())}
-        self.rows, cues = [], set()
+        self.rows: list[tuple[int, str, str, float]] = []
+        #: Number of shared terms to the terms of the templates that need so many.
+        self.needed: dict[int, set[str]] = {}
         for number, ((name, _), count) in enumerate(zip(templates, counts)):
             raw = {t: n * self.idf[t] for t, n in count.items()}
             norm = math.sqrt(sum(w * w for w in raw.values()))
             unit = {t: w / norm for t, w in raw.items()}
             self.rows += [(number, name, t, w) for t, w in sorted(unit.items())]
-            # What shares only the remaining terms has a cosine of at most their norm: below the threshold.
-            left = 1.0
-            for t, w in sorted(unit.items(), key=lambda x: (x[0] in COMMON_WORDS, -x[1], x[0])):
-                if left < threshold * threshold:
+            # What shares some terms has a cosine of at most their norm; fewer of the heaviest stay below the threshold.
+            shared, need = 0.0, 0
+            for w in sorted(unit.values(), reverse=True):
+                if shared >= threshold * threshold:
                     break
-                cues.add(t)
-                left -= w * w
-        self.cues = sorted(cues)
+                shared, need = shared + w * w, need + 1
+            self.needed.setdefault(max(need, 2), set()).update(unit)
+
+    def worth_comparing(self, said: Column) -> Column:
+        """Whether a segment shares enough different terms to reach the threshold with any template."""
+        known = F.array_intersect(terms(said), F.array(*[F.lit(t) for t in self.idf]))
+        enough = [(n, F.array(*[F.lit(t) for t in sorted(held)])) for n, held in sorted(self.needed.items())]
+
+        def any_of(k: Column) -> Column:
+            tests = [F.size(F.array_intersect(k, held)) >= n for n, held in enough]
+            return (F.size(k) >= 2) & functools.reduce(lambda a, b: a | b, tests)
 
-    def cue_pattern(self) -> str:
-        words = "|".join(re.escape(t).replace("license", "licen[cs]ed?") for t in self.cues)
-        return rf"(^|[^a-z0-9])({words})($|[^a-z0-9])"
+        return let(known, any_of)
 
 
 # Paragraphs end at a line without a letter or digit; the next line's comment signs go with the line end.
@@ -97,14 +99,13 @@ SENTENCE_END = r"([.!?])[ \t]+"
 
 
 def segments(text: Column) -> Column:
-    """Lines and their sentences, and of every paragraph of several lines the whole, unwrapped, and its sentences."""
+    """Lines and their sentences, and the sentences of every paragraph of several lines, unwrapped."""
 
     def sentences(part: Column) -> Column:
         return F.split(F.regexp_replace(part, SENTENCE_END, "$1\n"), "\n")
 
     several = F.filter(F.split(text, PARAGRAPH_END), lambda p: F.contains(p, F.lit("\n")))
-    unwrapped = F.transform(several, lambda p: F.regexp_replace(p, LINE_END, " "))
-    return F.concat(sentences(text), unwrapped, F.flatten(F.transform(unwrapped, sentences)))
+    return F.concat(sentences(text), F.flatten(F.transform(several, lambda p: sentences(F.regexp_replace(p, LINE_END, " ")))))
 
 
 def terms(text: Column) -> Column:
@@ -122,16 +123,15 @@ def notices(spark: SparkSession, files: DataFrame, templates: Sequence[tuple[str
 
     A notice has at least two different words of the templates.
 
-    Only segments with one of the cue terms become (segment, term) rows; no other can reach
+    Only segments that share enough terms with a template become (segment, term) rows; no other can reach
     the threshold. Term weights are those of the templates, words outside them weigh most, so a notice drowned in
     other words does not count. The broadcast tables hold the terms of the templates.
     """
     v = Vectors(templates, threshold)
-    cue = v.cue_pattern()
     whole = F.when(F.regexp_extract(F.col("path"), "[^/]*$", 0).rlike(LICENSE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
     candidates = F.concat(segments(F.col("text")), whole)
-    found = files.filter(F.lower("text").rlike(cue)).select("path_key", F.posexplode(candidates).alias("segment", "said"))
-    found = found.filter(F.lower("said").rlike(cue)).select("path_key", "segment", F.xxhash64("said").alias("said_hash"), F.explode(terms(F.col("said"))).alias("term"))
+    found = files.select("path_key", F.posexplode(candidates).alias("segment", "said")).filter(v.worth_comparing(F.col("said")))
+    found = found.select("path_key", "segment", F.xxhash64("said").alias("said_hash"), F.explode(terms(F.col("said"))).alias("term"))
     where = ["path_key", "said_hash", "segment"]
     counted = found.groupBy(*where, "term").count()
     names = [name for name, _ in templates]
