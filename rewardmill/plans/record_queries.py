@@ -41,7 +41,7 @@ def _order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step-wise records of all events' users, written, then half of them written again: one record per run."""
+    """Records of all events' users by type, written, then half of the runs written again: one record per run."""
     path = scratch_path(spark, "runs")
     users = v.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(
         F.avg("value").alias("accuracy"), F.min("ts").cast("timestamp").alias("start_time"), F.max("ts").cast("timestamp").alias("end_time")
