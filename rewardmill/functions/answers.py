@@ -268,14 +268,6 @@ _OVER = rf"^(.+)/({NUMBER})$"
 _TERMS = r"(?<=[0-9a-z}])(?=[-+])"
 
 
-def _sum(text: Column) -> Column:
-    """Value of two or more terms; NULL where one is no number or a sign stands inside braces."""
-    terms = F.split(text, _TERMS)
-    whole = F.forall(terms, lambda t: F.length(F.replace(t, F.lit("{"), F.lit(""))) == F.length(F.replace(t, F.lit("}"), F.lit(""))))
-    total = F.aggregate(F.transform(terms, _term), F.lit(0.0), lambda a, x: a + x)
-    return F.when((F.size(terms) > 1) & whole, total)
-
-
 def number_of(answer: Column) -> Column:
     """Numeric value of a normalised answer, NULL when it is not a supported number.
 
@@ -285,7 +277,20 @@ def number_of(answer: Column) -> Column:
 
 
 def _number_in(text: Column) -> Column:
-    return F.when(F.rlike(text, F.lit(_TERMS)), F.coalesce(_sum(text), _term(text))).otherwise(_term(text))
+    """The sum of two or more terms that are all numbers, without a sign inside braces; else the whole text as one term.
+
+    Terms and whole are read by one function over one array: the rules of a term are large, and stand in the plan once.
+    """
+    terms = F.split(text, _TERMS)
+    balanced = F.forall(terms, lambda t: F.length(F.replace(t, F.lit("{"), F.lit(""))) == F.length(F.replace(t, F.lit("}"), F.lit(""))))
+    whole = F.array(text)
+    read = F.transform(F.when(F.rlike(text, F.lit(_TERMS)) & balanced, F.concat(terms, whole)).otherwise(whole), _term)
+
+    def value(numbers: Column) -> Column:
+        total = F.aggregate(F.slice(numbers, F.lit(1), F.size(numbers) - 1), F.lit(0.0), lambda a, x: a + x)
+        return F.coalesce(F.when(F.size(numbers) > 1, total), F.element_at(numbers, -1))
+
+    return let(read, value)
 
 
 def _term(text: Column) -> Column:
@@ -353,12 +358,12 @@ def _same_numbers(left: Column, right: Column, places: int) -> Column:
         return F.rlike(left, F.lit(pattern)) & F.rlike(right, F.lit(pattern))
 
     exact = F.round(left.try_cast("decimal(38,10)"), places) == F.round(right.try_cast("decimal(38,10)"), places)
-    rounded = F.round(_number_in(left), places) == F.round(_number_in(right), places)
+    numbers = F.transform(F.array(left, right), lambda text: F.round(_number_in(text), places))
+    rounded = let(numbers, lambda n: n[0] == n[1])
     return (
         F.when(both(_INTEGER), _digits(left) == _digits(right))
         .when(both(_RATIONAL), F.coalesce(_same_rationals(left, right), F.lit(False)))
-        .when(both(_DECIMAL), F.coalesce(exact, rounded))
-        .otherwise(rounded)
+        .otherwise(F.coalesce(F.when(both(_DECIMAL), exact), rounded))
     )
 
 

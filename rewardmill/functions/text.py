@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,3 +36,17 @@ def seeded_int(seed: int, low: int, high: int, *row_key: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def of_columns(build: Callable[..., Column], *names: str) -> Column:
+    """``build`` of the named columns, put together once per JVM and then reused.
+
+    A large expression takes thousands of calls between Python and the JVM; every query and every micro-batch would repeat
+    them. ``build`` must be a function of a module, and of its columns alone.
+    """
+    return _built(SparkContext._gateway, build, names)
+
+
+@lru_cache(maxsize=256)
+def _built(gateway: object, build: Callable[..., Column], names: tuple[str, ...]) -> Column:
+    return build(*[F.col(n) for n in names])

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from rewardmill.functions import answers as an
 from rewardmill.functions.chat import content_of
 from rewardmill.functions.rewards import Reward, RolloutColumns
+from rewardmill.functions.text import of_columns
 from rewardmill.operators.skew import left_join_unique, with_group_stats
 
 BATCH_KEYS = ("run_id", "step", "process_id")
@@ -35,22 +36,22 @@ def _golds(df: DataFrame, solution: str, gold: str, latex_gold: str) -> DataFram
 
     Extraction and normalising are projections of their own, so generated code computes each value once.
     """
-    raw = df.select("*", an.latex_gold(F.col(solution)).alias("__raw_latex"), an.plain_gold(F.col(solution)).alias("__raw_plain"))
-    normal = raw.select(*df.columns, an.normalise(F.col("__raw_latex")).alias(latex_gold), an.normalise(F.col("__raw_plain")).alias("__plain"))
+    raw = df.select("*", of_columns(an.latex_gold, solution).alias("__raw_latex"), of_columns(an.plain_gold, solution).alias("__raw_plain"))
+    normal = raw.select(*df.columns, of_columns(an.normalise, "__raw_latex").alias(latex_gold), of_columns(an.normalise, "__raw_plain").alias("__plain"))
     return normal.select(*df.columns, latex_gold, F.coalesce(F.col(latex_gold), F.col("__plain")).alias(gold))
 
 
 def with_answers(df: DataFrame, completion: str = "completion", solution: str = "solution") -> DataFrame:
     """Add ``gold``, ``gold_latex`` and ``answer``, all normalised; NULL when none is found."""
     raw = df.select("*", an.final_answer(completion_text(df, completion)).alias("__raw_answer"))
-    answered = raw.withColumn("answer", an.normalise(F.col("__raw_answer"))).drop("__raw_answer")
+    answered = raw.withColumn("answer", of_columns(an.normalise, "__raw_answer")).drop("__raw_answer")
     return _golds(answered, solution, "gold", "gold_latex")
 
 
 def _with_correctness(df: DataFrame, solution: str, checker: Checker | None) -> DataFrame:
     """Verify once; every reward that needs it reads the same two columns."""
     def verdict(gold: Column, answer: Column) -> Column:
-        same = an.same_answer(gold, answer)
+        same = of_columns(an.same_answer, _GOLD, _ANSWER)
         if checker is not None:
             same = F.when(same, F.lit(True)).otherwise(checker(gold, answer))
         return (
@@ -118,10 +119,10 @@ def score_rewards(
     if golds is not None:
         carried = dict.fromkeys(c for c in carried if c not in golds.columns or c in gold_keys)
     prepared = rollouts.withColumn(_TEXT, text).withColumn(_LENGTH, F.length(F.col(_TEXT)))
-    answer = [an.final_answer(F.col(_TEXT)).alias("__raw_answer")] if needs_answer else []
+    answer = [of_columns(an.final_answer, _TEXT).alias("__raw_answer")] if needs_answer else []
     rows = prepared.select(*carried, _LENGTH, *answer, *[r.build(columns).alias(r.name) for r in by_text])
     if needs_answer:
-        rows = rows.withColumn(_ANSWER, an.normalise(F.col("__raw_answer"))).drop("__raw_answer")
+        rows = rows.withColumn(_ANSWER, of_columns(an.normalise, "__raw_answer")).drop("__raw_answer")
 
     # 2. Answers against golds.
     if golds is not None:

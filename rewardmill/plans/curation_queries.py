@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardmill.functions import chat
@@ -90,6 +90,28 @@ def render_reasoning_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered.select("conv_id", "text")
 
 
+def render_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in which two of three replies are tool calls and the turn after a call is the tool's output."""
+    place = F.col("conv_id") + F.col("turn")
+    calls = (F.col("role") == "assistant") & (place % 3 != 0)
+    output = (F.col("role") == "user") & (F.col("turn") >= 2) & (place % 3 != 1)
+
+    def call(name: str) -> Column:
+        arguments = F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit("}"))
+        return F.struct(F.lit("function").alias("type"), F.struct(F.lit(name).alias("name"), arguments.alias("arguments")).alias("function"))
+
+    several = F.when(F.col("conv_id") % 2 == 0, F.array(call("find"))).otherwise(F.array(call("find"), call("read")))
+    message = F.struct(
+        F.when(output, "tool").otherwise(F.col("role")).alias("role"),
+        F.when(~calls, F.col("text")).alias("content"),
+        F.when(calls, several).alias("tool_calls"),
+    )
+    turns = v.table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", message.alias("message")).alias("m"))
+    messages = F.transform(F.sort_array(F.collect_list("m")), lambda m: m["message"])
+    gathered = turns.groupBy("conv_id").agg(messages.alias("messages"))
+    return cu.render(gathered, "reasoning", add_generation_prompt=True).select("conv_id", "text")
+
+
 def prefill_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.raw_conversations(spark, sf_dir).select(
         "conv_id",
@@ -174,6 +196,7 @@ QUERIES = {
     "sft_pairs_trace_free": _sft(True),
     "render_plain_template": render_plain_template,
     "render_reasoning_template": render_reasoning_template,
+    "render_tool_calls": render_tool_calls,
     "prefill_merge": prefill_merge,
     "eval_math_prompts": eval_math_prompts,
     "eval_choice_prompts": eval_choice_prompts,
@@ -207,6 +230,38 @@ SELECT conv_id, '<｜begin▁of▁sentence｜>' || coalesce(arg_max(text, turn)
                                         ELSE '' END, '' ORDER BY turn), '')
        || '<｜Assistant｜>' AS text
 FROM conversations GROUP BY conv_id""",
+    # Each turn is written by its neighbours and by the first call and output of its conversation.
+    "render_tool_calls": """
+WITH t AS (
+  SELECT conv_id, turn, text, conv_id % 2 = 1 AS two,
+         CASE WHEN role = 'assistant' AND (conv_id + turn) % 3 <> 0 THEN 'call'
+              WHEN role = 'user' AND turn >= 2 AND (conv_id + turn) % 3 <> 1 THEN 'tool' ELSE role END AS kind
+  FROM conversations),
+s AS (SELECT conv_id, coalesce(arg_max(text, turn), '') AS system FROM t WHERE kind = 'system' GROUP BY conv_id),
+w AS (
+  SELECT *, lag(kind) OVER (PARTITION BY conv_id ORDER BY turn) AS before,
+         min(CASE WHEN kind = 'call' THEN turn END) OVER (PARTITION BY conv_id) AS first_call,
+         min(CASE WHEN kind = 'tool' THEN turn END) OVER (PARTITION BY conv_id) AS first_output
+  FROM t WHERE kind <> 'system'),
+b AS (
+  SELECT *, '<｜tool▁call▁begin｜>function<｜tool▁sep｜>' AS opens,
+         chr(10) || '```json' || chr(10) || '{"turn": ' || turn || '}' || chr(10) || '```<｜tool▁call▁end｜>' AS closes
+  FROM w),
+x AS (
+  SELECT conv_id, turn, kind, CASE kind
+    WHEN 'user' THEN '<｜User｜>' || text
+    WHEN 'assistant' THEN CASE WHEN before = 'tool' THEN '<｜tool▁outputs▁end｜>' ELSE '<｜Assistant｜>' END || text || '<｜end▁of▁sentence｜>'
+    WHEN 'tool' THEN CASE WHEN turn = first_output THEN '<｜tool▁outputs▁begin｜>' ELSE chr(10) END
+                     || '<｜tool▁output▁begin｜>' || text || '<｜tool▁output▁end｜>'
+    ELSE CASE WHEN turn = first_call THEN '<｜Assistant｜><｜tool▁calls▁begin｜>' || opens || 'find' || closes
+              ELSE chr(10) || opens || 'find' || closes || '<｜tool▁calls▁end｜><｜end▁of▁sentence｜>' END
+         || CASE WHEN two THEN chr(10) || opens || 'read' || closes || '<｜tool▁calls▁end｜><｜end▁of▁sentence｜>' ELSE '' END
+    END AS piece
+  FROM b),
+r AS (SELECT conv_id, string_agg(piece, '' ORDER BY turn) AS body, arg_max(kind, turn) AS last FROM x GROUP BY conv_id)
+SELECT c.conv_id, '<｜begin▁of▁sentence｜>' || coalesce(s.system, '') || coalesce(r.body, '')
+       || CASE WHEN r.last = 'tool' THEN '<｜tool▁outputs▁end｜>' ELSE '<｜Assistant｜>' END AS text
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s USING (conv_id) LEFT JOIN r USING (conv_id)""",
     "prefill_merge": o.with_ctes(
         """, v_split AS (
   SELECT conv_id, messages[-1].role = 'assistant' AS pre, len(messages) AS n,

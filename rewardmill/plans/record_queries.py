@@ -20,6 +20,7 @@ from rewardmill.sources import logs, results
 KEY = list(v.ROLLOUT_KEY)
 FIXED_PROMPT = "What is 1 + 1?"
 BATCHES = 3
+METRIC_BLOCK = 1 << 16
 
 
 def _order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +93,20 @@ def fixed_prompt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("step").cast("bigint").alias("step"), "prompt", "completion")
 
 
+def metric_log_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a step of its priority's run, logged; then the last half of the blocks logged again with other values."""
+    path = scratch_path(spark, "metrics")
+    rows = v.table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("run_id"), F.col("o_orderkey").alias("step"), F.lit("price").alias("name"), F.col("o_totalprice").cast("double").alias("value")
+    )
+    logs.replace_metrics(rows, path, METRIC_BLOCK)
+    logs.replace_metrics(rows.withColumn("value", -F.col("value")), path, METRIC_BLOCK, evaluation=True)
+    again = rows.filter(F.expr(f"step div {METRIC_BLOCK} % 2 = 1"))
+    for _ in range(2):
+        logs.replace_metrics(again.withColumn("value", F.col("value") + 1), path, METRIC_BLOCK)
+    return logs.read_metrics(spark, path).select("run_id", F.col("step").cast("bigint").alias("step"), "name", *v.rounded("value"))
+
+
 def leaderboard_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaderboard kept by states, from runs that come in three batches, the second of them twice."""
     keys = ["model", "task"]
@@ -157,6 +172,7 @@ QUERIES = {
     "result_rerun": result_rerun,
     "result_quarantine": result_quarantine,
     "fixed_prompt_log": fixed_prompt_log,
+    "metric_log_rerun": metric_log_rerun,
     "leaderboard_incremental": leaderboard_incremental,
     "reward_group_rank": reward_group_rank,
     "sft_pairs_sources": sft_pairs_sources,
@@ -178,6 +194,10 @@ FROM (SELECT *, o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 AS damaged FROM orders
 SELECT o_orderkey // 64 AS step, '{FIXED_PROMPT}' AS prompt,
        CASE WHEN o_orderkey // 64 % 200 = 0 THEN upper(o_orderkey || ' ' || o_orderpriority) ELSE o_orderkey || ' ' || o_orderpriority END AS completion
 FROM orders WHERE o_orderkey // 64 % {eq.LOG_EVERY} = 0""",
+    "metric_log_rerun": f"""
+SELECT o_orderpriority AS run_id, o_orderkey AS step, n.name,
+       {o.r(f"CASE WHEN n.name = 'eval_price' THEN -o_totalprice WHEN o_orderkey // {METRIC_BLOCK} % 2 = 1 THEN o_totalprice + 1 ELSE o_totalprice END", 'value')}
+FROM orders, (VALUES ('price'), ('eval_price')) n(name)""",
     "leaderboard_incremental": eq.ORACLES["leaderboard"],
     "reward_group_rank": o.with_ctes(
         f"SELECT {', '.join(KEY)}, {o.r('longer / nullif(n - 1, 0)::DOUBLE', 'brevity_rank')} FROM ("

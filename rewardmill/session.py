@@ -6,12 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _scratch: list[str] = []
 _persisted: list[DataFrame] = []
+# Tables persisted inside ``freed_after``; each thread has its own.
+_inside: ContextVar[list[DataFrame] | None] = ContextVar("_inside", default=None)
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -66,11 +70,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def released_later(kept: DataFrame) -> DataFrame:
-    """Remember a persisted table for ``release``."""
-    _persisted.append(kept)
+    """Remember a persisted table for the end of ``freed_after`` around the call, else for ``release``."""
+    inside = _inside.get()
+    (_persisted if inside is None else inside).append(kept)
     return kept
 
 
+@contextmanager
+def freed_after() -> Iterator[None]:
+    """Free on leaving, also by an error, the tables that operators persist inside.
+
+    For code that consumes its results itself, as a sink of micro-batches does. Results read
+    afterwards are computed again.
+    """
+    kept: list[DataFrame] = []
+    token = _inside.set(kept)
+    try:
+        yield
+    finally:
+        _inside.reset(token)
+        for df in kept:
+            df.unpersist()
+
+
 def drop_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
     """Remove scratch tables by path; other paths are left alone."""
     jvm = spark.sparkContext._jvm

@@ -30,15 +30,30 @@ def read_completions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _long(metrics: DataFrame, evaluation: bool) -> DataFrame:
+    name = F.concat(F.lit("eval_"), F.col("name")) if evaluation else F.col("name")
+    return metrics.select("run_id", "step", name.alias("name"), "value")
+
+
 def append_metrics(metrics: DataFrame, path: str, evaluation: bool = False) -> None:
     """Append ``(run_id, step, name, value)``; evaluation names get the ``eval_`` prefix."""
-    name = F.concat(F.lit("eval_"), F.col("name")) if evaluation else F.col("name")
-    long = metrics.select("run_id", "step", name.alias("name"), "value")
-    long.hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").parquet(path)
+    _long(metrics, evaluation).hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").parquet(path)
+
+
+def replace_metrics(metrics: DataFrame, path: str, block: int, evaluation: bool = False) -> None:
+    """As ``append_metrics``, in place of what the log held of the same blocks of ``block`` steps.
+
+    Steps ``k * block`` up to, not including, ``(k + 1) * block`` of a run are one folder, training and evaluation
+    values apart: a block must come whole, other blocks stay. A log is written by one of the two functions, with one ``block``.
+    """
+    first = F.floor(F.col("step") / F.lit(block)).cast("bigint") * F.lit(block)
+    placed = _long(metrics, evaluation).withColumns({"evaluation": F.lit(evaluation), "first_step": first})
+    replace_folders(placed, path, ["run_id", "evaluation", "first_step"], "parquet")
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """All metrics so far, without the columns that only name folders."""
+    return spark.read.parquet(path).drop("evaluation", "first_step")
 
 
 def metrics_wide(long: DataFrame, names: list[str]) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rewardmill.functions.rewards import Reward
 from rewardmill.operators.groups import GROUP_KEYS, with_advantages
 from rewardmill.operators.scoring import score
-
+from rewardmill.operators.skew import join_group_stats
+from rewardmill.session import freed_after, released_later
 
 
 def score_stream(rollouts: DataFrame, rewards: Sequence[Reward], weights: Sequence[float], **options) -> DataFrame:
@@ -65,10 +67,33 @@ def _held(checkpoint: str, slot: int | str) -> str:
     return f"{checkpoint}-held/{slot}"
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def _note(spark: SparkSession, checkpoint: str, name: str, number: int) -> None:
+    spark.range(number, number + 1, numPartitions=1).write.mode("overwrite").parquet(_held(checkpoint, name))
+
+
+def _noted(spark: SparkSession, checkpoint: str, name: str) -> int | None:
+    """The number kept under ``name``; NULL if there is none yet."""
+    path = _held(checkpoint, name)
+    return spark.read.schema("id bigint").parquet(path).head()[0] if _there(spark, path) else None
+
+
 def close_batches(spark: SparkSession, checkpoint: str, aside: Callable[[DataFrame, int], None]) -> None:
-    """Give ``aside`` the rows that ``score_batches`` still holds, under the number after its last batch."""
-    last = spark.read.parquet(_held(checkpoint, "last")).head()[0]
-    aside(spark.read.parquet(_held(checkpoint, last % 2)).drop("__seen"), last + 1)
+    """Give ``aside`` the rows that ``score_batches`` still holds, and hold them no longer.
+
+    They come under the negative of the number after the last batch, which no batch has; a call that is repeated gives the same
+    rows under the same number. A stream that never had a batch holds nothing: ``aside`` is not called. If the stream
+    goes on later, its groups start anew.
+    """
+    last = _noted(spark, checkpoint, "last")
+    if last is None:
+        return
+    aside(spark.read.parquet(_held(checkpoint, last % 2)).drop("__seen"), -(last + 1))
+    _note(spark, checkpoint, "closed", last)
 
 
 def score_batches(
@@ -96,24 +121,32 @@ def score_batches(
     if generations is not None and aside is None:
         raise ValueError("held groups may stay short: pass aside=")
 
+    def advantages(rows: DataFrame) -> DataFrame:
+        return with_advantages(score(rows, rewards, weights, **options), group_keys)
+
     def run(batch: DataFrame, number: int) -> None:
-        if generations is None:
-            sink(with_advantages(score(batch, rewards, weights, **options), group_keys), number)
-            return
+        # What scoring persists is freed with the batch, or a long stream would fill its executors.
+        with freed_after():
+            if generations is None:
+                sink(advantages(batch), number)
+            else:
+                run_held(batch, number)
+
+    def run_held(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("__seen", F.lit(number))
-        if number:
+        if number and _noted(spark, checkpoint, "closed") != number - 1:
             # Two slots in turn: a repeated batch finds what the one before it left.
             rows = rows.unionByName(spark.read.schema(rows.schema).parquet(_held(checkpoint, (number - 1) % 2)))
-        group = Window.partitionBy(*group_keys)
-        rows = rows.withColumns({"__size": F.count(F.lit(1)).over(group), "__last": F.max("__seen").over(group)}).persist()
+        # Sizes are a partial aggregate of keys; texts meet them in a join, which splits an oversized group over tasks.
+        kept = released_later(rows.persist(StorageLevel.MEMORY_AND_DISK))
+        sized = join_group_stats(kept, group_keys, {"__size": F.count(F.lit(1)), "__last": F.max("__seen")})
         waits = (F.col("__size") < generations) & (F.col("__last") > number - patience)
         whole = F.col("__size") == generations
-        rows.filter(waits).select(*batch.columns, "__seen").write.mode("overwrite").parquet(_held(checkpoint, number % 2))
-        spark.range(number, number + 1).write.mode("overwrite").parquet(_held(checkpoint, "last"))
-        sink(with_advantages(score(rows.filter(whole).select(*batch.columns), rewards, weights, **options), group_keys), number)
-        aside(rows.filter(~waits & ~whole).select(*batch.columns), number)
-        rows.unpersist()
+        sized.filter(waits).select(*batch.columns, "__seen").write.mode("overwrite").parquet(_held(checkpoint, number % 2))
+        _note(spark, checkpoint, "last", number)
+        sink(advantages(sized.filter(whole).select(*batch.columns)), number)
+        aside(sized.filter(~waits & ~whole).select(*batch.columns), number)
 
     return (
         rollouts.writeStream.foreachBatch(run)

@@ -37,6 +37,23 @@ def test_a_repeated_run_takes_the_place_of_its_record(spark, tmp_path):
     assert results.read_results(spark, path).count() == 3
 
 
+def test_blocks_of_metrics_are_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+
+    def log(rows, evaluation=False):
+        logs.replace_metrics(spark.createDataFrame(rows, "run_id string, step bigint, name string, value double"), path, 10, evaluation)
+
+    first = [("a", 0, "loss", 1.0), ("a", 9, "loss", 2.0), ("a", 10, "loss", 3.0), ("b", 9, "loss", 4.0), (None, 3, "loss", None)]
+    for _ in range(2):
+        log(first)
+    log([("a", 9, "loss", 7.0)], evaluation=True)
+    log([("a", 4, "loss", 5.0)])
+    got = {(r.run_id, r.step, r.name, r.value) for r in logs.read_metrics(spark, path).collect()}
+    assert got == {("a", 4, "loss", 5.0), ("a", 9, "eval_loss", 7.0), *first[2:]}
+    assert logs.read_metrics(spark, path).count() == 5
+    assert logs.read_metrics(spark, path).columns == ["step", "name", "value", "run_id"]
+
+
 def test_steps_are_replaced_whole(spark, tmp_path):
     path = str(tmp_path / "log")
     rows = spark.createDataFrame([(s, "p", f"c{s}") for s in (1, 1, 2)], "step int, prompt string, completion string")
