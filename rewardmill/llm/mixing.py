@@ -47,6 +47,15 @@ def tempered_shares(cells: DataFrame, dimension: str, exponent: float) -> DataFr
     return sums.select("value", F.pow(F.col("n").cast("double"), F.lit(exponent)).alias("share"))
 
 
+def given_shares(target: DataFrame) -> DataFrame:
+    """A caller's table (value, share) as a target: values become cell keys, a null value means the rows without one.
+
+    A value named twice gets the sum of its shares; a null share is none.
+    """
+    sums = target.groupBy(_key("value").alias("value")).agg(F.sum(F.col("share").cast("double")).alias("share"))
+    return sums.filter("share > 0")
+
+
 def count_cells(docs: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
     """Tokens of every cell of ``docs`` (with a column ``tokens``); the dimensions become string keys."""
     keyed = docs.select(*[_key(d).alias(d) for d in dimensions], "tokens")
@@ -85,17 +94,23 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def mix(docs: DataFrame, keep: float, exponent: float = 0.7, sweeps: int = 8, seed: int = 0) -> DataFrame:
+def mix(
+    docs: DataFrame, keep: float, exponent: float = 0.7, sweeps: int = 8, seed: int = 0, targets: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
     """All rows of ``docs`` (doc_id, text, source, lang, ...) with topic, tokens, probability and kept.
 
-    Targets are the tempered shares of the documents' own sources, languages and topics. A document without words
+    ``targets`` has a table (value, share) for any of source, lang and topic; shares need not add up to one, and documents
+    of a value without a share are left out. The other targets are the tempered shares of the documents' own values. A document without words
     belongs to a cell but weighs nothing: if its cell has no tokens at all its probability is 0. Columns of
     the four names are replaced. Texts are read twice and not shuffled unless the cells outgrow
     Spark's broadcast limit; hot cells are then split by adaptive execution.
     """
+    if unknown := set(targets or {}) - set(DIMENSIONS):
+        raise ValueError(f"targets for {sorted(unknown)}; known: {DIMENSIONS}")
     rows = docs.drop("topic", "tokens", "probability", "kept").withColumns({"topic": topic_of(F.col("text")), "tokens": word_count(F.col("text"))})
     cells = stored(count_cells(rows), "cells")
-    shares = {d: tempered_shares(cells, d, exponent) for d in DIMENSIONS}
+    given = targets or {}
+    shares = {d: given_shares(given[d]) if d in given else tempered_shares(cells, d, exponent) for d in DIMENSIONS}
     raked = rake(cells, shares, keep, sweeps).select(*[F.col(d).alias(f"cell_{d}") for d in DIMENSIONS], "probability")
     same = [_key(d) == F.col(f"cell_{d}") for d in DIMENSIONS]
     found = rows.join(raked, same[0] & same[1] & same[2], "left").drop(*[f"cell_{d}" for d in DIMENSIONS])

@@ -46,6 +46,23 @@ def test_marginals_are_met(spark, small):
             assert r.s == pytest.approx(r.k, rel=0.25)
 
 
+def test_given_targets_are_met(spark):
+    """Sources at 3 : 1 whatever their sizes, the null source by name, one source without a share gone; ties and null shares."""
+    rows = [(i, "w " * 10, s, "en") for i, s in enumerate(["a"] * 600 + ["b"] * 300 + [None] * 300 + ["c"] * 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    target = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 1.0), (None, 1.0), ("c", None), ("gone", 5.0)], "value string, share double")
+    got = mixing.mix(docs, 0.25, targets={"source": target})
+    sums = {r.source: r.k for r in got.groupBy("source").agg(F.sum(F.col("tokens") * F.col("probability")).alias("k")).collect()}
+    budget = 0.25 * 13000
+    assert {s: k / budget for s, k in sums.items()} == pytest.approx({"a": 0.2, "b": 0.6, None: 0.2, "c": 0.0})
+    assert got.filter("source = 'c' AND kept").count() == 0
+    assert got.filter("kept").count() == pytest.approx(325, rel=0.2)
+    assert mixing.mix(docs, 0.25, targets={"source": target.filter("false")}).filter("kept").count() == 0
+    assert mixing.mix(docs.filter("false"), 0.25, targets={"source": target}).count() == 0
+    with pytest.raises(ValueError, match="licence"):
+        mixing.mix(docs, 0.25, targets={"licence": target})
+
+
 def test_nulls_ties_and_clashing_columns(spark):
     rows = [(1, "a b", "s", "en"), (1, "a b", "s", "en"), (2, None, "s", None), (None, "x | y", None, "en"), (3, "", "only empty", "xx"), (4, "w " * 20000, "s", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({"kept": F.lit("x"), "tokens": F.lit(-1), "cell_lang": F.lit(1)}).drop("cell_lang")
