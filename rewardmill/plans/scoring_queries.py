@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +13,6 @@ from rewardmill.operators import workers as wk
 from rewardmill.plans import oracle as o
 from rewardmill.plans import views as v
 from rewardmill.registry import PRESETS
-from rewardmill.session import released_later
 
 KEY = list(v.ROLLOUT_KEY)
 GROUP_SIZE = 4
@@ -142,8 +140,8 @@ def worker_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aggregated_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables of three workers put together; the text is scored once."""
-    rows = released_later(_responses(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK))
+    """The tables of three workers put together. Each takes its rows before they are scored, so the text is scored once and none is kept."""
+    rows = _responses(spark, sf_dir)
     merged = wk.union_workers([rows.filter(F.col("worker_id") == w) for w in range(3)])
     return wk.aggregated_set(merged).select(
         "prompt", F.length("completion").alias("len"), *v.rounded("reward", "importance_weight"), "worker_id"
