@@ -47,7 +47,7 @@ def _all(text: Column, pattern: str) -> Column:
 
 
 def _non_empty(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
+    return let(F.trim(text), lambda trimmed: F.nullif(trimmed, F.lit("")))
 
 
 def _brace_body(tail: Column) -> Column:
@@ -73,7 +73,7 @@ def _brace_body(tail: Column) -> Column:
     counted = F.aggregate(
         _all(tail, _BRACE_PIECES), start, step, lambda a: F.when(a["state"] == 2, F.array_join(a["body"], ""))
     )
-    return F.when(F.rlike(tail, F.lit(_FLAT_BODY)), F.regexp_extract(tail, _FLAT_BODY, 1)).otherwise(counted)
+    return let(F.regexp_extract(tail, _FLAT_BODY, 1), lambda flat: F.when(flat != "", flat).otherwise(counted))
 
 
 def last_boxed(text: Column) -> Column:
@@ -104,7 +104,7 @@ def anchored_span(text: Column) -> Column:
     The last answer word with an environment behind it counts, and of these the last one in the sentence
     that has the first: formulas on the way to the value do not end the search, remarks after it
     do not replace the value. "Final answer is" goes before other answer words. The
-    pattern runs only over texts in which a plain search finds an answer word.
+    pattern runs only from the first answer word on, which plain searches find, and only over texts that hold a formula.
     """
     words = F.array(F.lit("answer"), F.lit("final answer is"))
     none = F.lit(None).cast("string")
@@ -124,14 +124,28 @@ def anchored_span(text: Column) -> Column:
             F.when(counts & (a["rank"] == 2), token).otherwise(a["final"]).alias("final"),
         )
 
+    def spanned(part: Column) -> Column:
+        return F.contains(part, F.lit("$")) | F.contains(part, F.lit(r"\(")) | F.contains(part, F.lit(r"\["))
+
     def search(tail: Column) -> Column:
         found = F.aggregate(_all(tail, ANSWER_TOKENS), start, step, lambda a: F.coalesce(a["final"], a["loose"]))
-        return F.when(F.rlike(tail, F.lit(r"\$|\\[(\[]")), let(found, _span_body))
+        return F.when(spanned(tail), let(found, _span_body))
 
     # Nothing before the first answer word is looked at, unless that word may stand inside a formula.
     plain_start = F.rlike(text, F.lit(r"(?is)^[^$\\]*?answer"))
-    tail = F.when(plain_start, F.regexp_extract(text, r"(?is)(?:final answer is|answer).*", 0)).otherwise(text)
-    return F.when(F.contains(F.lower(text), F.lit("answer")), let(tail, search))
+    by_pattern = F.when(plain_start, F.regexp_extract(text, r"(?is)(?:final answer is|answer).*", 0)).otherwise(text)
+
+    def tail_of(low: Column) -> Column:
+        """The text from the first answer word on, with room for a "final" before it."""
+        place = F.instr(low, "answer")
+        before = F.substring(text, F.lit(1), place - 1)
+        plain = ~F.contains(before, F.lit("$")) & ~F.contains(before, F.lit("\\"))
+        tail = F.when(plain, F.substring(text, F.greatest(place - F.lit(len("final ")), F.lit(1)), F.length(text))).otherwise(text)
+        # Few characters become two in lower case; then places differ.
+        return F.when(F.length(low) == F.length(text), tail).otherwise(by_pattern)
+
+    found = let(F.lower(text), lambda low: F.when(F.contains(low, F.lit("answer")), let(tail_of(low), search)))
+    return F.when(spanned(text), found)
 
 
 def last_number(text: Column) -> Column:
@@ -387,6 +401,25 @@ def _same_lists(left: Column, right: Column, places: int) -> Column:
     return let(F.transform(F.array(left, right), read), compared)
 
 
+_SHORT_INTEGER = r"^-?[1-9]\d{0,17}$"
+_SHORT_DECIMAL = r"^-?\d{1,18}(?:\.\d{1,10})?$"
+# Cross products of these fit a bigint.
+_SHORT_QUOTIENT = r"^-?(?:\d{1,9}|\\frac\{\d{1,9}\}\{\d{1,9}\})$"
+
+
+def _same_short_quotients(left: Column, right: Column) -> Column:
+    """Cross products of two texts of the form ``_SHORT_QUOTIENT``; NULL where a denominator is 0."""
+    def ratio(text: Column) -> Column:
+        def read(parts: Column) -> Column:
+            above = parts[0].cast("bigint") * F.when(F.startswith(text, F.lit("-")), -1).otherwise(1)
+            below = F.coalesce(F.get(parts, F.lit(1)).cast("bigint"), F.lit(1).cast("bigint"))
+            return F.struct(above.alias("above"), F.nullif(below, F.lit(0).cast("bigint")).alias("below"))
+
+        return let(_all(text, r"\d+"), read)
+
+    return let(F.transform(F.array(left, right), ratio), lambda r: r[0]["above"] * r[1]["below"] == r[1]["above"] * r[0]["below"])
+
+
 def same_answer(left: Column, right: Column, places: int = 6) -> Column:
     """Whether two *normalised* answers agree; NULL when either is NULL.
 
@@ -398,14 +431,19 @@ def same_answer(left: Column, right: Column, places: int = 6) -> Column:
         listed = F.rlike(l, F.lit(_LIST)) & F.rlike(r, F.lit(_LIST)) & F.contains(l, F.lit(","))
         return F.when(listed, _same_lists(l, r, places)).otherwise(F.coalesce(_same_numbers(l, r, places), F.lit(False)))
 
-    # The usual answers, short whole numbers, are settled here; the rest of the rules stays out of the generated
-    # code, which would become too long to be compiled.
-    short = F.rlike(left, F.lit(r"^-?[1-9]\d{0,17}$")) & F.rlike(right, F.lit(r"^-?[1-9]\d{0,17}$"))
+    # The usual answers, short numbers and quotients, are settled here, with the same result; the rest of the rules stays
+    # out of the generated code, which would become too long to be compiled.
+    def both(pattern: str) -> Column:
+        return F.rlike(left, F.lit(pattern)) & F.rlike(right, F.lit(pattern))
+
+    exact = F.round(left.try_cast("decimal(38,10)"), places) == F.round(right.try_cast("decimal(38,10)"), places)
     return (
         F.when(left.isNull() | right.isNull(), F.lit(None).cast("boolean"))
         .when((left == "") | (right == ""), F.lit(False))
         .when(left == right, F.lit(True))
-        .when(short, F.lit(False))
+        .when(both(_SHORT_INTEGER), F.lit(False))
+        .when(both(_SHORT_DECIMAL), exact)
+        .when(both(_SHORT_QUOTIENT), F.coalesce(_same_short_quotients(left, right), F.lit(False)))
         .otherwise(let(F.struct(left.alias("l"), right.alias("r")), by_form))
     )
 

@@ -32,7 +32,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _rollout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The whole table arrives as one unsplittable file: its rows are dealt out before the text work.
-    lines = _stream(spark, sf_dir, "lineitem").repartition(spark.sparkContext.defaultParallelism)
+    lines = _stream(spark, sf_dir, "lineitem").repartition(v.tasks_for(v.table(spark, sf_dir, "lineitem")))
     return v.rollouts(spark, sf_dir, lineitem=lines)
 
 

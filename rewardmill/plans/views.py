@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardmill.operators.curation import conversations_from_turns
+from rewardmill.session import compiled_parts
 
 ROLLOUT_KEY = ("prompt_id", "part_key", "supp_key", "line_no")
 EVAL_KEY = ("doc", "part_key", "supp_key", "seed")
@@ -21,14 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Deal rows out to ``partitions`` tasks (as many as cores by default) ahead of costly per-row work.
+    """Deal rows out to ``partitions`` tasks (``tasks_for`` by default) ahead of costly per-row work.
 
     The given tables are single files of one row group, which one task would read
     and score alone. Call it only for such tables; a stream is left as it is.
     """
     if df.isStreaming:
         return df
-    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(partitions or tasks_for(df))
+
+
+def tasks_for(source: DataFrame) -> int:
+    """Tasks for costly work on the rows of a table as it is read: several for each core, and more the larger its files are.
+
+    Rows kept for two readers are computed once only if the second reader comes to a part after the first has
+    finished it; with one part for each core it would compute again what other executors are at.
+    """
+    compiled_parts(source.sparkSession)
+    return 4 * max(source.sparkSession.sparkContext.defaultParallelism, source.rdd.getNumPartitions())
 
 
 def rounded(*columns: str, places: int = 6) -> list[Column]:

@@ -37,6 +37,16 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+def compiled_parts(spark: SparkSession) -> None:
+    """Let plans with much text work run as many small compiled functions; a limit set by the user stays.
+
+    The rules of answers and rewards make generated functions of more than 8,000 bytes, which HotSpot
+    never compiles. Spark's default lets them run interpreted; above this limit it generates small ones instead.
+    """
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 

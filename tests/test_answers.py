@@ -228,3 +228,30 @@ def test_golden_forms(spark):
     assert [tuple(g) for g in got if g.expected is not None and g.x is not g.expected] == []
     assert [tuple(g) for g in got if g.expected is None and g.x] == []
     assert len(rows) >= 200
+
+
+SHORT_PAIRS = [
+    ("7", r"\frac{14}{2}", True), ("-7", r"-\frac{14}{2}", True), ("7", r"-\frac{14}{2}", False), (r"\frac{1}{3}", r"\frac{2}{6}", True), ("0", r"-\frac{0}{5}", True),
+    (r"\frac{1}{0}", r"\frac{1}{0}0", False), (r"\frac{1}{0}", r"\frac{2}{0}", False), (r"\frac{999999999}{1}", r"\frac{999999998}{1}", False), ("5", "5.0", True), ("5", "5.0000001", True),
+    ("5", "5.000001", False), ("-0.5", "-.5", True), ("-0", "0.0", True), ("0.1234564", "0.1234560", True), ("007", "7", True), ("123456789012345678", "123456789012345678.0", True),
+    ("123456789012345678", "123456789012345679.0", False), (r"\frac{1}{2}", "0.5", True), ("1234567890123", r"\frac{2469135780246}{2}", True),
+]
+
+
+def test_short_numbers_as_by_the_full_rules(spark):
+    df = spark.createDataFrame([(i, l, r, e) for i, (l, r, e) in enumerate(SHORT_PAIRS)], "i int, l string, r string, expected boolean")
+    full = F.coalesce(an._same_numbers(F.col("l"), F.col("r"), 6), F.lit(False))
+    got = df.select("*", an.same_answer(F.col("l"), F.col("r")).alias("x"), an.same_answer(F.col("r"), F.col("l")).alias("y"), full.alias("full")).collect()
+    assert [tuple(g) for g in got if not g.x == g.y == g.expected or g.full != g.expected] == []
+
+
+ANCHORED = [
+    ("İ. so the answer is $3$.", "3"), ("A final. Answer: \\(x\\) is $4$. Next $5$.", "4"), ("x. FINAL ANSWER IS $6$, the answer $7$", "6"), ("$2$ before the answer $8$", "8"),
+    ("cost \\$5, answer $9$", "9"), ("answer 10", None), ("only $1$", None), (None, None), ("final answer is: \\[ 11 \\]", "11"), ("..... answer\n\n$12$", "12"),
+]
+
+
+def test_answer_word_found_by_place(spark):
+    df = spark.createDataFrame([(i, t, e) for i, (t, e) in enumerate(ANCHORED)], "i int, t string, expected string")
+    got = df.select("*", an.anchored_span(F.col("t")).alias("x")).collect()
+    assert [tuple(g) for g in got if g.x != g.expected] == []

@@ -54,3 +54,15 @@ def test_scan_reads_only_needed_columns(spark, small):
     plan = plan_of(QUERIES["incomplete_groups"](spark, small))
     schema = re.search(r"lineitem.parquet.*?ReadSchema: struct<([^>]*)>", plan).group(1)
     assert "l_extendedprice" not in schema and "l_shipdate" not in schema
+
+
+def test_aggregated_set_keeps_no_text(spark, small):
+    plan = plan_of(QUERIES["aggregated_set"](spark, small))
+    assert "InMemoryRelation" not in plan
+    # Each worker's rows are chosen as they are read, before they are dealt out and scored.
+    assert len(re.findall(r"Filter .*pmod\(l_suppkey", plan)) == 3
+
+
+def test_rows_are_dealt_to_several_tasks_a_core(spark, small):
+    lines = v.spread(v.table(spark, small, "lineitem"))
+    assert lines.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
