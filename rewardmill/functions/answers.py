@@ -25,14 +25,20 @@ BOX_MARK = r"\boxed"
 _FLAT_BODY = r"^\s*\{((?:[^{}]|\{[^{}]*+\})*+)\}"
 _BRACE_PIECES = r"[{}]|[^{}]+"
 
+# The first look at a character rules out most of them before the branches are tried.
 LATEX_SPAN = (
-    r"(?<!\\)\$\$(?:[^$\\]|\\.)++\$\$|(?<!\\)\$(?:[^$\\]|\\.)++\$"
+    r"(?=[$\\])(?:(?<!\\)\$\$(?:[^$\\]|\\.)++\$\$|(?<!\\)\$(?:[^$\\]|\\.)++\$"
     r"|\\\[(?:[^\\]|\\[^\]])*+\\\]"
-    r"|\\\((?:[^\\]|\\[^)])*+\\\)"
+    r"|\\\((?:[^\\]|\\[^)])*+\\\))"
 )
-SPAN_MARKS = r"^(?:\$\$|\$|\\\[|\\\()|(?:\$\$|\$|\\\]|\\\))$"
+# An escaped dollar before the closing mark belongs to the body.
+SPAN_MARKS = r"^(?:\$\$|\$|\\\[|\\\()|(?:(?<!\\)\$\$|\$|\\\]|\\\))$"
 # A text's answer words, spans and ends of sentences in order. Inside a span, and behind a backslash, nothing else counts.
-ANSWER_TOKENS = r"(?is)" + LATEX_SPAN + r"|\\.|final answer is|answer|[.!?](?=\s)|\n\s*\n"
+ANSWER_TOKENS = r"(?is)(?=[$\\fa.!?\n])(?:" + LATEX_SPAN + r"|\\.|final answer is|answer|[.!?](?=\s)|\n\s*\n)"
+# A text whose only formula stands behind an answer word, and nothing else in it is marked.
+ONE_SPAN = r"(?is)^[^$\\]*answer[^$\\]*\$([^$\\]*(?:\\.[^$\\]*)*)\$[^$\\]*\z"
+# From the last answer word before any mark on, with room for a "final " before it.
+FROM_LAST_WORD = r"(?is)^[^$\\]*([^$\\]{6}answer.*)"
 PLAIN_NUMBER = r"[-+]?(?:\d[\d,]*(?:\.\d+)?|\.\d+)(?:\s*/\s*\d+)?"
 
 NUMBER = r"(?:\d+\.?\d*|\.\d+)"
@@ -103,8 +109,8 @@ def anchored_span(text: Column) -> Column:
 
     The last answer word with an environment behind it counts, and of these the last one in the sentence
     that has the first: formulas on the way to the value do not end the search, remarks after it
-    do not replace the value. "Final answer is" goes before other answer words. The
-    pattern runs only from the first answer word on, which plain searches find, and only over texts that hold a formula.
+    do not replace the value. "Final answer is" goes before other answer words. Texts with one
+    formula are settled by one pattern; the tokens of others are read from the last unmarked answer word on.
     """
     words = F.array(F.lit("answer"), F.lit("final answer is"))
     none = F.lit(None).cast("string")
@@ -131,21 +137,13 @@ def anchored_span(text: Column) -> Column:
         found = F.aggregate(_all(tail, ANSWER_TOKENS), start, step, lambda a: F.coalesce(a["final"], a["loose"]))
         return F.when(spanned(tail), let(found, _span_body))
 
-    # Nothing before the first answer word is looked at, unless that word may stand inside a formula.
-    plain_start = F.rlike(text, F.lit(r"(?is)^[^$\\]*?answer"))
-    by_pattern = F.when(plain_start, F.regexp_extract(text, r"(?is)(?:final answer is|answer).*", 0)).otherwise(text)
+    def by_tokens(near: Column) -> Column:
+        return let(F.when(near != "", near).otherwise(text), search)
 
-    def tail_of(low: Column) -> Column:
-        """The text from the first answer word on, with room for a "final" before it."""
-        place = F.instr(low, "answer")
-        before = F.substring(text, F.lit(1), place - 1)
-        plain = ~F.contains(before, F.lit("$")) & ~F.contains(before, F.lit("\\"))
-        tail = F.when(plain, F.substring(text, F.greatest(place - F.lit(len("final ")), F.lit(1)), F.length(text))).otherwise(text)
-        # Few characters become two in lower case; then places differ.
-        return F.when(F.length(low) == F.length(text), tail).otherwise(by_pattern)
-
-    found = let(F.lower(text), lambda low: F.when(F.contains(low, F.lit("answer")), let(tail_of(low), search)))
-    return F.when(spanned(text), found)
+    # Where nothing is marked before the last such answer word, what comes earlier holds no formula and cannot change the result.
+    one = _non_empty(F.regexp_extract(text, ONE_SPAN, 1))
+    several = F.when(F.rlike(text, F.lit("(?i)answer")), let(F.regexp_extract(text, FROM_LAST_WORD, 1), by_tokens))
+    return F.when(spanned(text), F.coalesce(one, several))
 
 
 def last_number(text: Column) -> Column:
@@ -199,7 +197,8 @@ _REWRITES = (
     (r"\.+$", ""),
     (r"^\(([A-Za-z])\)$", "$1"),
 )
-_PLAIN = r"^[-+]?\d+(?:\.\d+)?$"
+# What the rewrite rules leave as it is, or with a letter's name before it.
+_PLAIN = r"^(?:[A-Za-z]\s*=\s*)?([-+]?(?:\d+(?:\.\d+)?|\\frac\{\d+\}\{\d+\}))\z"
 _GROUPED_DIGITS = r"^[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?$"
 
 
@@ -219,7 +218,10 @@ def normalise(answer: Column) -> Column:
     def unboxed(text: Column) -> Column:
         return F.when(F.contains(text, F.lit(BOX_MARK)), F.coalesce(last_boxed(text), text)).otherwise(text)
 
-    return F.when(F.rlike(answer, F.lit(_PLAIN)), answer).otherwise(let(answer, lambda text: rewritten(unboxed(text))))
+    def usual(plain: Column) -> Column:
+        return F.when(plain != "", plain).otherwise(let(answer, lambda text: rewritten(unboxed(text))))
+
+    return let(F.regexp_extract(answer, _PLAIN, 1), usual)
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:

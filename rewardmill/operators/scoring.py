@@ -34,11 +34,13 @@ def completion_text(df: DataFrame, completion: str = "completion") -> Column:
 def _golds(df: DataFrame, solution: str, gold: str, latex_gold: str) -> DataFrame:
     """Add normalised golds. The any-form gold falls back on what the LaTeX gold lacks.
 
-    Extraction and normalising are projections of their own, so generated code computes each value once.
+    Extraction and normalising are projections of their own, so generated code computes each value once. The
+    plain form is looked for only where there is no LaTeX gold, and one value is normalised for both.
     """
-    raw = df.select("*", of_columns(an.latex_gold, solution).alias("__raw_latex"), of_columns(an.plain_gold, solution).alias("__raw_plain"))
-    normal = raw.select(*df.columns, of_columns(an.normalise, "__raw_latex").alias(latex_gold), of_columns(an.normalise, "__raw_plain").alias("__plain"))
-    return normal.select(*df.columns, latex_gold, F.coalesce(F.col(latex_gold), F.col("__plain")).alias(gold))
+    latex = df.select("*", of_columns(an.latex_gold, solution).alias("__raw_latex"))
+    raw = latex.select("*", F.coalesce(F.col("__raw_latex"), of_columns(an.plain_gold, solution)).alias("__raw"))
+    normal = raw.select(*df.columns, F.col("__raw_latex").isNotNull().alias("__is_latex"), of_columns(an.normalise, "__raw").alias(gold))
+    return normal.select(*df.columns, F.when(F.col("__is_latex"), F.col(gold)).alias(latex_gold), gold)
 
 
 def with_answers(df: DataFrame, completion: str = "completion", solution: str = "solution") -> DataFrame:
