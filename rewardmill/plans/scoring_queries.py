@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +60,13 @@ def score_offpolicy_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_reward_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("double")
-    def brevity(text: pd.Series, target: pd.Series) -> pd.Series:
-        share = 1.0 - text.str.len() / target
-        return share.where(share >= 0)
+    # Texts stay in Arrow's buffers: as Python objects, batch after batch, they make a worker's memory grow with its rows.
+    @F.arrow_udf("double")
+    def brevity(text: pa.Array, target: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        share = pc.subtract(1.0, pc.divide(pc.cast(pc.utf8_length(text), "float64"), pc.cast(target, "float64")))
+        return pc.if_else(pc.greater_equal(share, 0.0), share, None)
 
     reward = rw.user_reward("brevity", brevity, "target_length")
     scored = sc.score(v.rollouts(spark, sf_dir), [reward, rw.format_tags()], [2.0, 1.0], keep=KEY)
