@@ -154,18 +154,23 @@ def reward_group_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sft_pairs_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question pairs in the shape of every SFT source, with the thinking and without."""
+    """Question pairs in the shape of every SFT source, with the thinking and without.
+
+    The pairs are joined once and every shape is made beside them: a union of a shape each would read the join's
+    whole input again for each, and all shapes' parts in one task.
+    """
     pairs = v.question_pairs(v.table(spark, sf_dir, "conversations"))
-    made = None
+    rows = pairs.select("conv_id", "turn", "question", F.col("solution").alias("__thought"), F.col("answer").alias("__reply"))
+    made = []
     for source, (trajectory, attempt) in SFT_COLUMNS.items():
         # A source may show its attempt as the thinking too.
-        told = {trajectory: F.col("solution")} | {attempt: F.concat(F.lit(attempt + ": "), F.col("answer"))}
-        shaped = pairs.select("conv_id", "turn", "question", *[column.alias(name) for name, column in told.items()])
+        told = {trajectory: F.col("__thought")} | {attempt: F.concat(F.lit(attempt + ": "), F.col("__reply"))}
         for trace_free in (False, True):
-            rendered = cu.render(cu.sft_conversations(shaped, source, trace_free), "plain", eos="</s>")
-            rows = rendered.select("conv_id", "turn", F.lit(source).alias("source"), F.lit(trace_free).alias("trace_free"), "text")
-            made = rows if made is None else made.unionByName(rows)
-    return made
+            text = f"__text_{len(made)}"
+            shaped = cu.sft_conversations(rows.withColumns(told), source, trace_free)
+            rows = cu.render(shaped, "plain", output=text, eos="</s>").drop("messages", *told)
+            made.append(F.struct(F.lit(source).alias("source"), F.lit(trace_free).alias("trace_free"), F.col(text).alias("text")))
+    return rows.select("conv_id", "turn", F.inline(F.array(*made)))
 
 
 QUERIES = {
