@@ -243,8 +243,8 @@ _TIMES = r"(?:\\times|\\cdot|\*)?"
 _PRODUCT = rf"^(?=.)([-+]?)({NUMBER})?{_TIMES}(?:\\sqrt\{{({NUMBER})\}})?{_TIMES}(\\pi)?$"
 # A power, with or without a factor before it.
 _POWER = rf"^([-+]?)(?:({NUMBER})(?:\\times|\\cdot|\*))?({NUMBER})\^(?:\{{([-+]?{NUMBER})\}}|(\d))$"
-# What may stand before and behind a fraction, and its two parts.
-_QUOTIENT = r"^([-+]?)([^\\{}]*(?:\\sqrt\{[^{}]*\}|\\pi|\\times|\\cdot)*)\\frac\{((?:[^{}]|\{[^{}]*\})*)\}\{((?:[^{}]|\{[^{}]*\})*)\}(.*)$"
+# What may stand before and behind a fraction, and its two parts. A digit right behind it makes no product.
+_QUOTIENT = r"^([-+]?)([^\\{}]*(?:\\sqrt\{[^{}]*\}|\\pi|\\times|\\cdot)*)\\frac\{((?:[^{}]|\{[^{}]*\})*)\}\{((?:[^{}]|\{[^{}]*\})*)\}(?![0-9.])(.*)$"
 _WHOLE = r"^\d+$"
 
 
