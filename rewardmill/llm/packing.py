@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from rewardmill.llm.common import map_batches, pieces
 from rewardmill.llm.tokens import encoder
 
+#: Bytes of text encoded at a time: larger pieces take more of a worker's memory, which it keeps.
+PIECE = 1 << 20
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -41,7 +43,7 @@ def decompose(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text", PIECE):
                 ids, counts = coder.encode(part.column("text"))
                 raw, read = ids.tobytes(), 0
                 end = np.array([end_id], "<u4").tobytes()

@@ -29,6 +29,8 @@ LABELLED = 20_000
 #: Length in n-grams for which weights are given: the tempering. Documents whose mean log ratio differs by much more
 #: than ``1 / STRENGTH`` are told apart, those closer are drawn by chance in proportion to their weights.
 STRENGTH = 50
+#: Bytes of text whose n-grams are taken at a time; the arrays for it take about 60 times as much of a worker's memory.
+PIECE = 512 << 10
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3)
 # Byte classes: 0 blank, 1 letter, digit or part of a longer character, 2 other signs.
@@ -79,6 +81,12 @@ def ngrams(data: np.ndarray, bounds: np.ndarray, buckets: int) -> tuple[np.ndarr
     return (hashes[order] % np.uint64(buckets)).astype("i8"), owner[order]
 
 
+def grams_of(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """A batch in pieces of whole texts, each with its ``ngrams``."""
+    for part in pieces(batch, "text", PIECE):
+        yield part, *ngrams(*utf8(part.column("text")), buckets)
+
+
 def labelled(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
     """doc_id, good and learn of at most ``limit`` labelled documents, the least by a hash of the id.
 
@@ -104,8 +112,7 @@ def fit_ratio(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> np.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         raw, target = np.zeros(buckets, "i8"), np.zeros(buckets, "i8")
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
-                grams, owner = ngrams(*utf8(part.column("text")), buckets)
+            for part, grams, owner in grams_of(batch, buckets):
                 good = part.column("good").to_numpy(zero_copy_only=False).astype(bool)
                 raw += np.bincount(grams, minlength=buckets)
                 target += np.bincount(grams[good[owner]], minlength=buckets)
@@ -138,8 +145,7 @@ def with_log_weight(docs: DataFrame, ratio: np.ndarray, output: str = "log_weigh
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
-                grams, owner = ngrams(*utf8(part.column("text")), len(ratio))
+            for part, grams, owner in grams_of(batch, len(ratio)):
                 held = np.bincount(owner, minlength=part.num_rows)
                 total = np.bincount(owner, ratio[grams], minlength=part.num_rows)
                 weight = STRENGTH * total / np.maximum(held, 1)
