@@ -30,7 +30,8 @@ class ListReward:
     ``score(rows, summary)`` returns one number (or None: not scored) per row of a pandas frame with ``inputs``. Without
     ``summarise`` and ``merge`` it gets the whole group and None. With them, ``summarise(rows)`` gives the bytes that
     stand for some rows of a group, ``merge(list of bytes)`` those of their union, in any order and grouping, and ``score`` gets
-    those of the whole group; ``rows`` may then be a part of it.
+    those of the whole group; ``rows`` may then be a part of it. ``score_groups(rows, ends)``, if given, scores many whole groups
+    at once, with the result of ``score`` for each: ``rows`` holds them one after another, ``ends`` where each ends.
     """
 
     name: str
@@ -38,6 +39,7 @@ class ListReward:
     inputs: Sequence[str]
     summarise: Callable[[pd.DataFrame], bytes] | None = None
     merge: Callable[[list[bytes]], bytes] | None = None
+    score_groups: Callable[[pd.DataFrame, np.ndarray], Iterable[float | None]] | None = None
 
 
 def _bytes_of(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -53,9 +55,11 @@ def _bytes_of(df: DataFrame, columns: Sequence[str]) -> Column:
 
 
 def _values(reward: ListReward, rows: pd.DataFrame, summary: bytes | None) -> list[float | None]:
-    if rows.empty:
-        return []
-    values = [None if v is None or v != v else float(v) for v in reward.score(rows, summary)]
+    return _numbers(reward, rows, reward.score(rows, summary)) if len(rows) else []
+
+
+def _numbers(reward: ListReward, rows: pd.DataFrame, given: Iterable[float | None]) -> list[float | None]:
+    values = [None if v is None or v != v else float(v) for v in given]
     if len(values) != len(rows):
         raise ValueError(f"{reward.name} gave {len(values)} scores for {len(rows)} rows")
     return values
@@ -102,6 +106,8 @@ def score_lists(
         ordered = part.iloc[np.argsort(group, kind="stable")]
         ends = np.cumsum(np.bincount(group))
         read = ordered[list(reward.inputs)]
+        if reward.score_groups is not None:
+            return _scored(reward, ordered, _numbers(reward, read, reward.score_groups(read, ends)), kept)
         each = [read.iloc[low:high] for low, high in zip([0, *ends[:-1]], ends)]
         return _scored(reward, ordered, [v for rows in each for v in _values(reward, rows, reward.summarise(rows))], kept)
 

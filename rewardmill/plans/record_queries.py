@@ -143,7 +143,20 @@ def brevity_rank() -> lr.ListReward:
         longer = n - up_to[np.searchsorted(lengths, rows["length"].to_numpy("i8"), side="right")]
         return [float(x) / (n - 1) if n > 1 else None for x in longer]
 
-    return lr.ListReward("brevity_rank", score, ["length"], summarise, merge)
+    def score_groups(rows: pd.DataFrame, ends: np.ndarray) -> np.ndarray:
+        # In order of group and length, all rows of a group behind a row's equals are longer.
+        lengths, sizes = rows["length"].to_numpy("i8"), np.diff(ends, prepend=0)
+        group = np.repeat(np.arange(len(ends)), sizes)
+        order = np.lexsort((lengths, group))
+        last = np.ones(len(order), bool)
+        last[:-1] = (lengths[order][1:] != lengths[order][:-1]) | (group[order][1:] != group[order][:-1])
+        behind = np.flatnonzero(last)[np.cumsum(last) - last] + 1
+        longer = np.empty(len(order), "f8")
+        longer[order] = ends[group[order]] - behind
+        others = np.repeat(sizes - 1, sizes)
+        return np.where(others > 0, longer / np.maximum(others, 1), np.nan)
+
+    return lr.ListReward("brevity_rank", score, ["length"], summarise, merge, score_groups)
 
 
 def reward_group_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
