@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 import rewardmill
+from rewardmill.llm.tokens import forget
 from rewardmill.session import drop_scratch, scratch_path
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(rewardmill.__file__)))
@@ -29,11 +31,36 @@ def ship(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, known)])
 
 
-def map_batches(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType
-) -> DataFrame:
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]
+
+
+def give_back() -> None:
+    """Give the memory that this process has freed back to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def given_back(function: Batches, encodes: bool = False) -> Batches:
+    """``function`` for a worker that lives on after its task: what it freed does not stay with it, nor do remembered
+    words (see ``tokens``) while it does other work than encoding."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        if not encodes:
+            forget()
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def map_batches(df: DataFrame, function: Batches, schema: str | StructType, encodes: bool = False) -> DataFrame:
+    """``mapInArrow`` in workers that keep no memory between tasks but, if it ``encodes``, remembered words."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(given_back(function, encodes), schema)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -58,7 +58,7 @@ def decompose(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048)
                 arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    rows = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), cut, SCHEMA)
+    rows = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), cut, SCHEMA, encodes=True)
     return rows.select(
         "*",
         F.log2("length").cast("int").alias("bucket"),

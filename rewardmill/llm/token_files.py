@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
         .sortWithinPartitions("doc_id", "text")
         .withColumn("shard", F.spark_partition_id())
     )
-    map_batches(ordered, encode, SCHEMA).write.parquet(path)
+    map_batches(ordered, encode, SCHEMA, encodes=True).write.parquet(path)
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

@@ -35,6 +35,12 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
+def forget() -> None:
+    """Let all remembered parts go; encoders stay usable."""
+    for known in _encoders.values():
+        known.inner, known.older, known.spent = {}, {}, 0
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions starts[i], starts[i]+1, ... of all runs one after another."""
     ends = np.cumsum(lengths)
