@@ -37,6 +37,8 @@ SPAN_MARKS = r"^(?:\$\$|\$|\\\[|\\\()|(?:(?<!\\)\$\$|\$|\\\]|\\\))$"
 ANSWER_TOKENS = r"(?is)(?=[$\\fa.!?\n])(?:" + LATEX_SPAN + r"|\\.|final answer is|answer|[.!?](?=\s)|\n\s*\n)"
 # A text whose only formula stands behind an answer word, and nothing else in it is marked.
 ONE_SPAN = r"(?is)^[^$\\]*answer[^$\\]*\$([^$\\]*(?:\\.[^$\\]*)*)\$[^$\\]*\z"
+# A text with one formula between dollars, whatever stands around it, and nothing else marked.
+ONLY_SPAN = r"^[^$\\]*\$([^$\\]+)\$[^$\\]*\z"
 # From the last answer word before any mark on, with room for a "final " before it.
 FROM_LAST_WORD = r"(?is)^[^$\\]*([^$\\]{6}answer.*)"
 PLAIN_NUMBER = r"[-+]?(?:\d[\d,]*(?:\.\d+)?|\.\d+)(?:\s*/\s*\d+)?"
@@ -151,9 +153,18 @@ def last_number(text: Column) -> Column:
 
 
 def latex_gold(solution: Column) -> Column:
-    """Gold answer when only LaTeX forms are allowed. A boxed answer that cannot be read leaves none."""
+    """Gold answer when only LaTeX forms are allowed. A boxed answer that cannot be read leaves none.
+
+    Where a text's only formula is found by one pattern, an answer word before it changes nothing.
+    """
+    only = F.regexp_extract(solution, ONLY_SPAN, 1)
     unboxed = F.coalesce(anchored_span(solution), last_span(solution))
-    return F.when(F.contains(solution, F.lit(BOX_MARK)), last_boxed(solution)).otherwise(unboxed)
+    return (
+        F.when(F.contains(solution, F.lit(BOX_MARK)), last_boxed(solution))
+        .when(~F.contains(solution, F.lit("$")) & ~F.contains(solution, F.lit("\\")), F.lit(None).cast("string"))
+        .when(only != "", F.nullif(F.trim(only), F.lit("")))
+        .otherwise(unboxed)
+    )
 
 
 def plain_gold(solution: Column) -> Column:
