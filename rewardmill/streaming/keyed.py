@@ -3,8 +3,8 @@
 State is kept per key by ``transformWithState``; event-time timers bring out what nothing more comes
 for. Spark drops rows behind the watermark before a stateful operator. Here the operator
 gets its event time as a plain column, so every row reaches it; it compares the row with the query's
-watermark itself and hands late rows on, marked ``late``. What goes in comes out. A key's calls to its
-state are few: one read, one write, and one timer for as long as it lives.
+watermark itself and hands late rows on, marked ``late``. What goes in comes out. Calls to the state
+cost far more than rows and are few: one read, one write, and one timer for as long as a group, or a lane of a window, lives.
 """
 
 from __future__ import annotations
@@ -14,15 +14,19 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from rewardmill.streaming.closing import THE_END
 
 # Fixed value: the state store that keyed state with lists and timers needs.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Runs and metrics of a window in one cell of its state, so that a cell stays small.
+KEYS_PER_PART = 2000
 _STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
 _END_MS = int(pd.Timestamp(THE_END, tz="UTC").timestamp() * 1000)
 
@@ -109,54 +113,77 @@ class _Groups(StatefulProcessor):
 
 
 class _Windows(StatefulProcessor):
-    """Sum and number of the values of one window, run and metric until the watermark passes its end."""
+    """Sums and numbers of the values of one window's runs and metrics, a lane of them together, until the watermark passes its end.
 
-    def __init__(self, width_ms: int):
+    A batch adds its own sums to the state as parts, which are merged once, when the window is over: what is held is not
+    written again, and the calls to the state are those of a lane, not of each run and metric.
+    """
+
+    def __init__(self, width_ms: int, keys: StructType):
         self.width_ms = width_ms
         self.made = Row("run_id", "name", "start_ms", "value", "n_values", "outcome")
+        self.sums = to_arrow_schema(StructType([*keys, StructField("n", LongType()), StructField("total", DoubleType())]))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getValueState("sums", StructType([StructField("n", LongType()), StructField("total", DoubleType())]))
+        self.parts = handle.getListState("parts", StructType([StructField("part", BinaryType())]))
+
+    def _part(self, sums: list[tuple]) -> bytes:
+        columns = [pa.array(cells, f.type) for cells, f in zip(zip(*sums), self.sums)]
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, self.sums) as writer:
+            writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.sums))
+        return out.getvalue().to_pybytes()
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        start = key[-1]
+        start = key[0]
         if start is None or start + self.width_ms <= timerValues.getCurrentWatermarkInMs():
             for row in rows:
-                yield self.made(*key, row["value"], int(row["value"] is not None), "late")
+                yield self.made(row["run_id"], row["name"], start, row["value"], int(row["value"] is not None), "late")
             return
-        known = self.sums.get()
-        n, total = known or (0, 0.0)
+        sums: dict[tuple, tuple] = {}
         for row in rows:
-            if row["value"] is not None:
-                n, total = n + 1, total + row["value"]
-        self.sums.update((n, total))
-        if known is None:
+            run, value = (row["run_id"], row["name"]), row["value"]
+            n, total = sums.get(run, (0, 0.0))
+            sums[run] = (n, total) if value is None else (n + 1, total + value)
+        known = self.parts.exists()
+        made = [(*run, *held) for run, held in sums.items()]
+        self.parts.appendList([(self._part(made[at : at + KEYS_PER_PART]),) for at in range(0, len(made), KEYS_PER_PART)])
+        if not known:
             self.handle.registerTimer(start + self.width_ms)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        n, total = self.sums.get()
-        yield self.made(*key, total / n if n else None, n, "window")
-        self.sums.clear()
+        sums: dict[tuple, tuple] = {}
+        for (part,) in self.parts.get():
+            for run_id, name, more, added in zip(*(c.to_pylist() for c in pa.ipc.open_stream(part).read_all().columns)):
+                n, total = sums.get((run_id, name), (0, 0.0))
+                sums[run_id, name] = (n + more, total + added)
+        for run, (n, total) in sums.items():
+            yield self.made(*run, key[0], total / n if n else None, n, "window")
+        self.parts.clear()
 
     def close(self) -> None:
         pass
 
 
-def settled_windows(metrics: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def settled_windows(metrics: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "10 minutes", lanes: int = 16) -> DataFrame:
     """Mean and number of values per run, metric and window of a stream, once the watermark has passed the window's end.
 
     Columns: run_id, name, window_start, value, n_values, outcome. A row whose window is over by then, or that has no time, comes out as it is with
-    outcome ``late``, so windows and late rows together are the batch result (weigh ``value`` by ``n_values``). A window's
-    state is two numbers. Call ``use_keyed_state`` before the query is started.
+    outcome ``late``, so windows and late rows together are the batch result (weigh ``value`` by ``n_values``). State is kept
+    for each window and each of the ``lanes`` to which its runs and metrics are dealt by hash: two numbers for a run and metric
+    and a batch that brought values of it. A task holds the runs and metrics of one lane of one window at a time, so more of
+    them in a window need more lanes; a checkpoint keeps the number it began with. Call ``use_keyed_state`` before the query is started.
     """
     width_ms = _milliseconds(width)
     start = F.col("event_ms") - F.pmod("event_ms", F.lit(width_ms))
-    timed = _timed(metrics, ts, late).select("run_id", "name", start.alias("start_ms"), F.col("value").cast("double").alias("value"))
-    key = [timed.schema["run_id"], timed.schema["name"], timed.schema["start_ms"]]
-    out = StructType([*key, StructField("value", DoubleType()), StructField("n_values", LongType()), StructField("outcome", StringType())])
+    lane = F.pmod(F.xxhash64("run_id", "name"), F.lit(lanes)).cast("int")
+    timed = _timed(metrics, ts, late).select(start.alias("start_ms"), lane.alias("lane"), "run_id", "name", F.col("value").cast("double").alias("value"))
+    keys = StructType([timed.schema["run_id"], timed.schema["name"]])
+    made = [StructField("value", DoubleType()), StructField("n_values", LongType()), StructField("outcome", StringType())]
+    out = StructType([*keys, timed.schema["start_ms"], *made])
     # Partial sums of a batch would need a second stateful operator; rows of one key are summed in the first.
-    settled = timed.groupBy("run_id", "name", "start_ms").transformWithState(_Windows(width_ms), outputStructType=out, outputMode="Append", timeMode="EventTime")
+    settled = timed.groupBy("start_ms", "lane").transformWithState(_Windows(width_ms, keys), outputStructType=out, outputMode="Append", timeMode="EventTime")
     return settled.select("run_id", "name", F.timestamp_millis("start_ms").alias("window_start"), "value", "n_values", "outcome")
 
 

@@ -84,3 +84,30 @@ def test_windows_and_late_rows_are_the_batch_result(spark, tmp_path):
     batch = named(spark.read.schema(SCHEMA).parquet(f"{tmp_path}/in"))
     want = batch.groupBy("run_id", F.date_trunc("hour", "ts").alias("window_start")).agg(F.sum("value").alias("total"), F.count("value").alias("n"))
     assert merged.exceptAll(want).count() == 0 and merged.count() == want.count()
+
+
+def test_windows_of_many_runs_take_few_groups(spark, tmp_path, monkeypatch):
+    """State is kept for lanes of a window, in parts of bounded size: sums of several batches and null keys are merged, and groups do not grow with the runs."""
+    monkeypatch.setattr(kd, "KEYS_PER_PART", 7)
+    files = [[(g if g % 50 else None, n, float(g + n), 5.0) for g in range(300)] for n in range(2)]
+    stream = deliver(spark, str(tmp_path), files)
+    named = lambda df: df.select(F.col("g").alias("run_id"), F.when(F.col("g") % 3 > 0, "loss").alias("name"), "ts", F.col("reward").alias("value"))
+    metrics = named(stream)
+    counted = []
+    made = kd.settled_windows(with_closing(metrics, f"{tmp_path}/end"), lanes=4)
+
+    def start():
+        query = made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        counted.append(query)
+        return query
+
+    run_to_the_end(start, metrics, f"{tmp_path}/end")
+    held = [p["stateOperators"][0]["numRowsTotal"] for query in counted for p in query.recentProgress if p["stateOperators"]]
+    # A lane has its parts and what its timer needs, and there are four of them.
+    assert max(held) < 300
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert {r.outcome for r in out.collect()} == {"window"}
+    batch = named(spark.read.schema(SCHEMA).parquet(f"{tmp_path}/in"))
+    want = batch.groupBy("run_id", "name").agg(F.avg("value").alias("value"), F.count("value").alias("n_values"))
+    got = out.select("run_id", "name", "value", "n_values")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
