@@ -13,6 +13,7 @@ boxed answer of a long derivation is the one that counts.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,8 +22,15 @@ from rewardmill.functions.text import let
 
 
 BOX_MARK = r"\boxed"
-# A brace group after the marker whose body holds at most one inner level: the usual answers.
-_FLAT_BODY = r"^\s*\{((?:[^{}]|\{[^{}]*+\})*+)\}"
+# A brace group after the marker whose body holds at most so many inner levels. No way is tried twice.
+_LEVELS = 32
+
+
+def _body(levels: int) -> str:
+    return r"(?:[^{}]++|\{" + _body(levels - 1) + r"\})*+" if levels else r"[^{}]*+"
+
+
+_GROUP_BODY = rf"^\s*\{{({_body(_LEVELS)})\}}"
 _BRACE_PIECES = r"[{}]|[^{}]+"
 
 # The first look at a character rules out most of them before the branches are tried.
@@ -37,10 +45,8 @@ SPAN_MARKS = r"^(?:\$\$|\$|\\\[|\\\()|(?:(?<!\\)\$\$|\$|\\\]|\\\))$"
 ANSWER_TOKENS = r"(?is)(?=[$\\fa.!?\n])(?:" + LATEX_SPAN + r"|\\.|final answer is|answer|[.!?](?=\s)|\n\s*\n)"
 # A text whose only formula stands behind an answer word, and nothing else in it is marked.
 ONE_SPAN = r"(?is)^[^$\\]*answer[^$\\]*\$([^$\\]*(?:\\.[^$\\]*)*)\$[^$\\]*\z"
-# A text with one formula between dollars, whatever stands around it, and nothing else marked.
-ONLY_SPAN = r"^[^$\\]*\$([^$\\]+)\$[^$\\]*\z"
-# From the last answer word before any mark on, with room for a "final " before it.
-FROM_LAST_WORD = r"(?is)^[^$\\]*([^$\\]{6}answer.*)"
+# A text with one formula between dollars, whatever stands around it, and nothing marked outside of it.
+ONLY_SPAN = r"^[^$\\]*\$((?:[^$\\]|\\.)++)\$[^$\\]*\z"
 PLAIN_NUMBER = r"[-+]?(?:\d[\d,]*(?:\.\d+)?|\.\d+)(?:\s*/\s*\d+)?"
 
 NUMBER = r"(?:\d+\.?\d*|\.\d+)"
@@ -61,8 +67,8 @@ def _non_empty(text: Column) -> Column:
 def _brace_body(tail: Column) -> Column:
     """Body of the brace group that opens a text, at any depth; NULL when it does not close.
 
-    Braces are counted over the pieces between them. The usual short groups are
-    found by one pattern, with the same result.
+    Groups of at most ``_LEVELS`` inner levels are found by one pattern. Only where there are braces
+    enough for more are they counted over the pieces between them.
     """
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("state"), F.array().cast("array<string>").alias("body"))
 
@@ -71,7 +77,7 @@ def _brace_body(tail: Column) -> Column:
         depth = a["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
         state = (
             F.when(a["state"] >= 2, a["state"])
-            .when(a["state"] == 0, F.when(piece == "{", 1).when(F.trim(piece) == "", 0).otherwise(3))
+            .when(a["state"] == 0, F.when(piece == "{", 1).when(F.rlike(piece, F.lit(r"^\s*\z")), 0).otherwise(3))
             .otherwise(F.when(depth == 0, 2).otherwise(1))
         )
         inside = (a["state"] == 1) & (depth > 0)
@@ -81,7 +87,8 @@ def _brace_body(tail: Column) -> Column:
     counted = F.aggregate(
         _all(tail, _BRACE_PIECES), start, step, lambda a: F.when(a["state"] == 2, F.array_join(a["body"], ""))
     )
-    return let(F.regexp_extract(tail, _FLAT_BODY, 1), lambda flat: F.when(flat != "", flat).otherwise(counted))
+    deep = F.octet_length(tail) - F.octet_length(F.replace(tail, F.lit("{"), F.lit(""))) > _LEVELS
+    return let(F.regexp_extract(tail, _GROUP_BODY, 1), lambda body: F.when(body != "", body).when(deep, counted))
 
 
 def last_boxed(text: Column) -> Column:
@@ -92,7 +99,7 @@ def last_boxed(text: Column) -> Column:
     """
     quick = _non_empty(_brace_body(F.substring_index(text, r"\boxed", -1)))
     tails = F.split(text, r"\\boxed")
-    bodies = F.transform(F.slice(tails, F.lit(2), F.size(tails)), lambda tail: _non_empty(_brace_body(tail)))
+    bodies = F.transform(F.slice(tails, F.lit(2), F.size(tails) - 2), lambda tail: _non_empty(_brace_body(tail)))
     earlier = _last(F.filter(bodies, lambda body: body.isNotNull()))
     return F.when(F.contains(text, F.lit(r"\boxed")), F.coalesce(quick, earlier))
 
@@ -112,7 +119,8 @@ def anchored_span(text: Column) -> Column:
     The last answer word with an environment behind it counts, and of these the last one in the sentence
     that has the first: formulas on the way to the value do not end the search, remarks after it
     do not replace the value. "Final answer is" goes before other answer words. Texts with one
-    formula are settled by one pattern; the tokens of others are read from the last unmarked answer word on.
+    formula are settled by one pattern, others by their tokens; of what stands before the first mark only the last
+    answer word is kept, as nothing else there can change the result.
     """
     words = F.array(F.lit("answer"), F.lit("final answer is"))
     none = F.lit(None).cast("string")
@@ -135,17 +143,29 @@ def anchored_span(text: Column) -> Column:
     def spanned(part: Column) -> Column:
         return F.contains(part, F.lit("$")) | F.contains(part, F.lit(r"\(")) | F.contains(part, F.lit(r"\["))
 
-    def search(tail: Column) -> Column:
-        found = F.aggregate(_all(tail, ANSWER_TOKENS), start, step, lambda a: F.coalesce(a["final"], a["loose"]))
-        return F.when(spanned(tail), let(found, _span_body))
+    def last_word(lower: Column) -> Column:
+        final = F.lit("final answer is")
+        is_final = F.contains(lower, final) & ~F.contains(F.substring_index(lower, "final answer is", -1), F.lit("answer"))
+        return F.when(~F.contains(lower, F.lit("answer")), F.lit("")).when(is_final, final).otherwise(F.lit("answer"))
+
+    def search(part: Column) -> Column:
+        one = _non_empty(F.regexp_extract(part, ONE_SPAN, 1))
+        found = F.aggregate(_all(part, ANSWER_TOKENS), start, step, lambda a: F.coalesce(a["final"], a["loose"]))
+        return F.coalesce(one, let(found, _span_body))
+
+    # Long texts are cut by their bytes: patterns and places in characters take several times as long.
+    def shortened(before: Column) -> Column:
+        rest = F.substr(text.cast("binary"), F.octet_length(before) + F.lit(1)).cast("string")
+        return F.concat(let(F.lower(before), last_word), rest)
 
-    def by_tokens(near: Column) -> Column:
-        return let(F.when(near != "", near).otherwise(text), search)
+    def unmarked(before: Column) -> Column:
+        return F.when(F.contains(before, F.lit("\\")), F.substring_index(before, "\\", 1)).otherwise(before)
 
-    # Where nothing is marked before the last such answer word, what comes earlier holds no formula and cannot change the result.
-    one = _non_empty(F.regexp_extract(text, ONE_SPAN, 1))
-    several = F.when(F.rlike(text, F.lit("(?i)answer")), let(F.regexp_extract(text, FROM_LAST_WORD, 1), by_tokens))
-    return F.when(spanned(text), F.coalesce(one, several))
+    def worded(part: Column) -> Column:
+        return F.when(F.rlike(part, F.lit("(?i)answer")), search(part))
+
+    before = let(F.substring_index(text, "$", 1), unmarked)
+    return F.when(spanned(text), let(let(before, shortened), worded))
 
 
 def last_number(text: Column) -> Column:
@@ -208,6 +228,13 @@ _REWRITES = (
     (r"\.+$", ""),
     (r"^\(([A-Za-z])\)$", "$1"),
 )
+# Rules by place, and what a text holds in which one of them finds something; where none of these is found, the text stays as it is.
+_RULES = (
+    (slice(0, 2), r"\{,\}|[$~%\x{b0}\s]|\\(?:[lrdq,;:!$]|circ)"),
+    (slice(2, 5), r"\\(?:[dtc]frac|(?:frac|sqrt)[0-9])|\}[0-9]"),
+    (slice(5, 12), r"=|\\(?:text|mathrm|mbox|in|pm)|\.$|^\("),
+)
+_ANY_RULE = r"[$~%\x{b0}\s=]|\\(?:[lrdq,;:!$]|circ|text|mathrm|mbox|in|pm|[tc]frac|(?:frac|sqrt)[0-9])|\}[0-9]|\{,\}|\.$|^\("
 # What the rewrite rules leave as it is, or with a letter's name before it.
 _PLAIN = r"^(?:[A-Za-z]\s*=\s*)?([-+]?(?:\d+(?:\.\d+)?|\\frac\{\d+\}\{\d+\}))\z"
 _GROUPED_DIGITS = r"^[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?$"
@@ -219,18 +246,25 @@ def normalise(answer: Column) -> Column:
     The answer is named more than once: pass a column, not the expression that extracts it.
     """
     def rewritten(text: Column) -> Column:
-        for pattern, replacement in _REWRITES:
+        new = text
+        for places, sign in _RULES:
+            new = let(new, lambda t: F.when(F.rlike(t, F.lit(sign)), replaced(t, places)).otherwise(t))
+        return let(F.when(F.rlike(text, F.lit(_ANY_RULE)), new).otherwise(text), ungrouped)
+
+    def replaced(text: Column, places: slice) -> Column:
+        for pattern, replacement in _REWRITES[places]:
             text = F.regexp_replace(text, pattern, replacement)
-        return let(text, ungrouped)
+        return text
 
     def ungrouped(text: Column) -> Column:
-        return F.when(F.rlike(text, F.lit(_GROUPED_DIGITS)), F.replace(text, F.lit(","), F.lit(""))).otherwise(text)
+        grouped = F.contains(text, F.lit(",")) & F.rlike(text, F.lit(_GROUPED_DIGITS))
+        return F.when(grouped, F.replace(text, F.lit(","), F.lit(""))).otherwise(text)
 
     def unboxed(text: Column) -> Column:
         return F.when(F.contains(text, F.lit(BOX_MARK)), F.coalesce(last_boxed(text), text)).otherwise(text)
 
     def usual(plain: Column) -> Column:
-        return F.when(plain != "", plain).otherwise(let(answer, lambda text: rewritten(unboxed(text))))
+        return F.when(plain != "", plain).otherwise(let(let(answer, unboxed), rewritten))
 
     return let(F.regexp_extract(answer, _PLAIN, 1), usual)
 
@@ -239,6 +273,21 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group)
 
 
+# Stands between the groups of a match. Texts that hold it are no numbers.
+_BETWEEN = "\x01"
+
+
+def _groups(text: Column, pattern: str, count: int, read: Callable[[list[Column]], Column]) -> Column:
+    """``read`` of all groups of a pattern for a whole text, found by one match; NULL where it does not match."""
+    marked = F.regexp_replace(text, pattern + r"\R?", _BETWEEN.join(f"${n + 1}" for n in range(count)))
+
+    def parted(found: Column) -> Column:
+        fits = F.contains(found, F.lit(_BETWEEN)) & ~F.contains(text, F.lit(_BETWEEN))
+        return F.when(fits, let(F.split(found, _BETWEEN), lambda parts: read([parts[n] for n in range(count)])))
+
+    return let(marked, parted)
+
+
 def _double(text: Column) -> Column:
     return F.nullif(text, F.lit("")).try_cast("double")
 
@@ -261,20 +310,19 @@ _WHOLE = r"^\d+$"
 
 def _product(text: Column) -> Column:
     """Value of a coefficient times a root times pi; NULL for anything else."""
-    coefficient = F.coalesce(_double(_part(text, _PRODUCT, 2)), F.lit(1.0))
-    root = F.coalesce(F.sqrt(_double(_part(text, _PRODUCT, 3))), F.lit(1.0))
-    pi = F.when(_part(text, _PRODUCT, 4) != "", F.lit(math.pi)).otherwise(F.lit(1.0))
-    something = F.rlike(text, F.lit(r"\d|\\pi"))
-    return F.when(something & F.rlike(text, F.lit(_PRODUCT)), _signed(_part(text, _PRODUCT, 1), coefficient * root * pi))
+
+    def value(parts: list[Column]) -> Column:
+        coefficient = F.coalesce(_double(parts[1]), F.lit(1.0))
+        root = F.coalesce(F.sqrt(_double(parts[2])), F.lit(1.0))
+        pi = F.when(parts[3] != "", F.lit(math.pi)).otherwise(F.lit(1.0))
+        something = (parts[1] != "") | (parts[2] != "") | (parts[3] != "")
+        return F.when(something, _signed(parts[0], coefficient * root * pi))
+
+    return F.when(F.rlike(text, F.lit(_WHOLE)), text.try_cast("double")).otherwise(_groups(text, _PRODUCT, 4, value))
 
 
 def _quotient(text: Column) -> Column:
-    """Value of a fraction of products with products around it; a whole number before it makes a mixed number."""
-    parts = F.array(
-        F.regexp_replace(_part(text, _QUOTIENT, 2), r"(?:\\times|\\cdot|\*)$", ""),
-        _part(text, _QUOTIENT, 3), _part(text, _QUOTIENT, 4),
-        F.regexp_replace(_part(text, _QUOTIENT, 5), r"^(?:\\times|\\cdot|\*)", ""),
-    )
+    """Value of a fraction of products with products around it; a whole number before it makes a mixed number. NULL for anything else."""
 
     def value(p: Column) -> Column:
         before, above, below, behind = (p[n]["value"] for n in range(4))
@@ -285,7 +333,12 @@ def _quotient(text: Column) -> Column:
     def read(part: Column) -> Column:
         return F.struct(part.alias("text"), F.when(part == "", F.lit(1.0)).otherwise(_product(part)).alias("value"))
 
-    return _signed(_part(text, _QUOTIENT, 1), let(F.transform(parts, read), value))
+    def signed(parts: list[Column]) -> Column:
+        before = F.when(parts[1] == "", parts[1]).otherwise(F.regexp_replace(parts[1], r"(?:\\times|\\cdot|\*)$", ""))
+        behind = F.when(parts[4] == "", parts[4]).otherwise(F.regexp_replace(parts[4], r"^(?:\\times|\\cdot|\*)", ""))
+        return _signed(parts[0], let(F.transform(F.array(before, parts[2], parts[3], behind), read), value))
+
+    return _groups(text, _QUOTIENT, 5, signed)
 
 
 _ROOT = rf"^([-+]?)({NUMBER})?{_TIMES}\\sqrt\[(\d+)\]\{{({NUMBER})\}}$"
@@ -324,11 +377,10 @@ def _term(text: Column) -> Column:
     ratio = _double(F.substring_index(text, "/", 1)) / F.nullif(
         _double(F.substring_index(text, "/", -1)), F.lit(0.0)
     )
-    exponent = F.coalesce(_double(_part(text, _POWER, 4)), _double(_part(text, _POWER, 5)))
-    power = _signed(
-        _part(text, _POWER, 1),
-        F.coalesce(_double(_part(text, _POWER, 2)), F.lit(1.0)) * F.pow(_double(_part(text, _POWER, 3)), exponent),
-    )
+    def power(parts: list[Column]) -> Column:
+        exponent = F.coalesce(_double(parts[3]), _double(parts[4]))
+        return _signed(parts[0], F.coalesce(_double(parts[1]), F.lit(1.0)) * F.pow(_double(parts[2]), exponent))
+
     nth_root = F.when(
         F.rlike(text, F.lit(_ROOT)),
         _signed(
@@ -338,12 +390,12 @@ def _term(text: Column) -> Column:
     )
     return (
         F.when(F.rlike(text, F.lit(_DECIMAL)), text.try_cast("double"))
-        .when(F.contains(text, F.lit(r"\frac")), F.when(F.rlike(text, F.lit(_QUOTIENT)), _quotient(text)))
+        .when(F.contains(text, F.lit(r"\frac")), _quotient(text))
         .when(F.contains(text, F.lit("/")) & F.rlike(text, F.lit(_RATIO)), ratio)
         .when(F.contains(text, F.lit("/")), _product(_part(text, _OVER, 1)) / F.nullif(_double(_part(text, _OVER, 2)), F.lit(0.0)))
         .when(F.rlike(text, F.lit(_SCIENTIFIC)), text.try_cast("double"))
         .when(F.contains(text, F.lit(r"\sqrt[")), nth_root)
-        .when(F.contains(text, F.lit("^")), F.when(F.rlike(text, F.lit(_POWER)), power))
+        .when(F.contains(text, F.lit("^")), _groups(text, _POWER, 5, power))
         .when(F.contains(text, F.lit(r"\sqrt")) | F.contains(text, F.lit(r"\pi")), _product(text))
     )
 
@@ -379,6 +431,10 @@ def _same_rationals(left: Column, right: Column) -> Column:
     return F.try_multiply(a, d) == F.try_multiply(c, b)
 
 
+# A character that integers, quotients of integers and decimals do not have.
+_OTHER = r"[^-+0-9.\\{}/frac]"
+
+
 def _same_numbers(left: Column, right: Column, places: int) -> Column:
     """Integers by their digits, quotients of integers by cross products, decimals exactly to ``places``, all else as doubles rounded to ``places``."""
     def both(pattern: str) -> Column:
@@ -387,10 +443,11 @@ def _same_numbers(left: Column, right: Column, places: int) -> Column:
     exact = F.round(left.try_cast("decimal(38,10)"), places) == F.round(right.try_cast("decimal(38,10)"), places)
     numbers = F.transform(F.array(left, right), lambda text: F.round(_number_in(text), places))
     rounded = let(numbers, lambda n: n[0] == n[1])
+    other = F.rlike(left, F.lit(_OTHER)) | F.rlike(right, F.lit(_OTHER))
     return (
-        F.when(both(_INTEGER), _digits(left) == _digits(right))
-        .when(both(_RATIONAL), F.coalesce(_same_rationals(left, right), F.lit(False)))
-        .otherwise(F.coalesce(F.when(both(_DECIMAL), exact), rounded))
+        F.when(~other & both(_INTEGER), _digits(left) == _digits(right))
+        .when(~other & both(_RATIONAL), F.coalesce(_same_rationals(left, right), F.lit(False)))
+        .otherwise(F.coalesce(F.when(~other & both(_DECIMAL), exact), rounded))
     )
 
 
@@ -441,7 +498,7 @@ def same_answer(left: Column, right: Column, places: int = 6) -> Column:
     """
     def by_form(pair: Column) -> Column:
         l, r = pair["l"], pair["r"]
-        listed = F.rlike(l, F.lit(_LIST)) & F.rlike(r, F.lit(_LIST)) & F.contains(l, F.lit(","))
+        listed = F.contains(l, F.lit(",")) & F.rlike(l, F.lit(_LIST)) & F.rlike(r, F.lit(_LIST))
         return F.when(listed, _same_lists(l, r, places)).otherwise(F.coalesce(_same_numbers(l, r, places), F.lit(False)))
 
     # The usual answers, short numbers and quotients, are settled here, with the same result; the rest of the rules stays
