@@ -47,6 +47,8 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_completed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group statistics in append mode, the last groups brought out when the stream is over."""
+    # All groups of the table are open at once.
+    kd.use_keyed_state(spark)
     issued = F.timestamp_seconds(F.col("step") * 60)
     scored = ss.score_stream(
         _rollout_stream(spark, sf_dir).withColumn("ts", issued),

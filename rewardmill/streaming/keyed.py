@@ -28,12 +28,19 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 # Runs and metrics of a window in one cell of its state, so that a cell stays small.
 KEYS_PER_PART = 2000
 _STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
+# The stores of all partitions on an executor share one bounded memory (500 MB if the session sets no other).
+_BOUNDED_KEY = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
 _END_MS = int(pd.Timestamp(THE_END, tz="UTC").timestamp() * 1000)
 
 
 def use_keyed_state(spark: SparkSession) -> None:
-    """Choose the state store for queries that this session starts from now on."""
+    """Choose the state store for queries that this session starts from now on: state on the executors' disks, in bounded memory.
+
+    Spark's own choice holds all open groups in the heap. A bound set by the user stays.
+    """
     spark.conf.set(_STORE_KEY, STORE)
+    if spark.conf.get(_BOUNDED_KEY, None) is None:
+        spark.conf.set(_BOUNDED_KEY, "true")
 
 
 def _milliseconds(wait: str) -> int:

@@ -42,7 +42,8 @@ def completed_groups(
 
     A group is a session of its key: rows less than ``wait`` apart belong together, wherever the hour turns. The
     state per group is an aggregate of fixed size, not its rows. ``is_complete`` tells full groups
-    from short and oversized ones. A stream that ends is closed with ``closing.run_to_the_end``; rows
+    from short and oversized ones. Many open groups do not fit the executors' heap: call ``keyed.use_keyed_state``
+    before the query is started. A stream that ends is closed with ``closing.run_to_the_end``; rows
     later than ``wait`` behind the watermark are dropped by Spark.
     """
     return (

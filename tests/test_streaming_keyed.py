@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,22 @@ def test_windows_of_many_runs_take_few_groups(spark, tmp_path, monkeypatch):
     want = batch.groupBy("run_id", "name").agg(F.avg("value").alias("value"), F.count("value").alias("n_values"))
     got = out.select("run_id", "name", "value", "n_values")
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_open_groups_of_the_query_do_not_lie_in_the_heap(spark, small, monkeypatch):
+    """Whatever store the session had, the state of the completed groups is written as that of a store on disk, in bounded memory."""
+    from rewardmill.plans import stream_queries as sq
+
+    monkeypatch.setattr(sq, "scratch_path", lambda session, name, make=sq.scratch_path: made.setdefault(name, make(session, name)))
+    made = {}
+    store = spark.conf.get(kd._STORE_KEY)
+    spark.conf.unset(kd._STORE_KEY)
+    try:
+        got = sq.stream_completed_groups(spark, small)
+        orders = spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey").distinct().count()
+        assert got.count() == orders
+        files = {f.suffix for f in Path(made["offsets"].removeprefix("file:")).glob("state/0/*/*")}
+        assert ".delta" not in files and files & {".zip", ".changelog"}
+        assert spark.conf.get(kd._BOUNDED_KEY) == "true"
+    finally:
+        spark.conf.set(kd._STORE_KEY, store)
